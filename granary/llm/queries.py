@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.runtime import ship
 
-from . import quality, url_filter
+from . import quality, token_counts, url_filter, warc
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        # Whole texts pass to Python in these batches: their bytes bound a worker's memory.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         return f(spark, sf_dir)
 
     return run
@@ -24,6 +26,8 @@ QUERIES = {
     for name, f in {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op10_warc": warc.op10_warc,
     }.items()
 }
-ORACLE = {"op1_url_filter": url_filter.OP1_SQL, "op2_quality_rules": quality.OP2_SQL}
+ORACLE = {"op1_url_filter": url_filter.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op10_warc": warc.OP10_SQL}
