@@ -114,3 +114,22 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
         if not changed:
             return label
+
+
+def settle(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, n_links, component_id) for each class.
+
+    ``classes``: key, rep (the smallest id with that content), n (rows). ``linked``:
+    key, links (rows linked directly, copies aside), top (a class of the same
+    component, the same for all of a group that wasn't split) and split, once or
+    more for each class that may link. A component's id is its smallest rep.
+    """
+    tops = linked.where("not split").select("key", "top")
+    split = linked.where("split")
+    if split.head(1):
+        tops = tops.union(components(split.where("key <> top").select(F.col("key").alias("a"), F.col("top").alias("b"))).select("node", "root"))
+    counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
+    named = classes.select("key", "n", "rep").join(tops, "key", "left").join(counts, "key", "left")
+    named = written(named.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("top", "key").alias("top")), "named")
+    least = written(named.groupBy("top").agg(F.min("rep").alias("component_id")), "least")
+    return written(named.join(least, "top").select("key", "n_links", "component_id"), "settled")

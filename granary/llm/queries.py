@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.runtime import ship
 
-from . import embedding_dedup, packing, quality, token_counts, url_filter, warc
+from . import embedding_dedup, ngram_join, packing, quality, token_counts, url_filter, warc
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +29,7 @@ QUERIES = {
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
         "op10_warc": warc.op10_warc,
     }.items()
 }
