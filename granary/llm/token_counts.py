@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import column, fresh, table
 
-CACHE = 250_000
+CACHE = 400_000
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How byte-level BPE cuts a text into words.
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
