@@ -225,7 +225,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     rows, held = [], 0
         yield pd.DataFrame(rows, columns=fields)
 
-    return manifest.repartition("path").mapInPandas(read, RECORDS)
+    files = manifest.repartitionByRange(max(1, manifest.count()), "path")  # a task each: a number asked for isn't coalesced
+    return files.mapInPandas(read, RECORDS)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
