@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.runtime import ship
 
-from . import embedding_dedup, ngram_join, packing, quality, token_counts, url_filter, warc
+from . import embedding_dedup, html_extract, ngram_join, packing, quality, token_counts, url_filter, warc
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,7 @@ QUERIES = {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_html_extraction": html_extract.op4_html_extraction,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
