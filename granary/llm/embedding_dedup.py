@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, table, written
-from .graph import components, grouped, in_blocks, roots
+from .graph import components, grouped, in_blocks, roots, settle
 
 ROTATIONS, EPSILON, BLOCK = 8, 4.0, 1024
 _FRAMES: dict = {}
@@ -179,16 +179,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     members = groups.join(classes.select(F.col("key").alias("node"), "n", "raw"), "node").join(coded.select(F.col("key").alias("node"), "code", "factors"), "node")
     linked = written(grouped(in_blocks(members, ["root"], F.col("node"), BLOCK), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
-    tops = linked.where("not split").select(F.col("key").alias("node"), "top")
-    if linked.where("split").head(1):
-        split = linked.where("split")
-        far = components(split.where("key <> top").select(F.col("key").alias("a"), F.col("top").alias("b"))).withColumnRenamed("root", "top")
-        tops = tops.union(far)
-    counts = linked.groupBy(F.col("key").alias("node")).agg(F.sum("links").alias("links"))
-    named = classes.select(F.col("key").alias("node"), "n", "rep").join(tops, "node", "left").join(counts, "node", "left")
-    named = written(named.select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("top", "node").alias("top")), "named")
-    least = named.groupBy("top").agg(F.min("rep").alias("component_id"))
-    final = written(named.join(least, "top").select(F.col("node").alias("key"), "n_links", "component_id"), "final")
+    final = settle(classes, linked)
     out = rows.select("vec_id", "key").join(final, "key", "left")
     found = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), found.alias("component_id"), F.coalesce(F.col("vec_id") == found, F.lit(False)).alias("kept"))
