@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.runtime import ship
 
-from . import embedding_dedup, html_extract, ngram_join, packing, quality, token_counts, url_filter, warc
+from . import embedding_dedup, html_extract, language_id, ngram_join, packing, quality, token_counts, url_filter, warc
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +30,8 @@ QUERIES = {
         "op4_html_extraction": html_extract.op4_html_extraction,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_language_id": language_id.op7_language_id,
+        "language_id_pages": language_id.language_id_pages,
         "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
         "op10_warc": warc.op10_warc,
     }.items()
