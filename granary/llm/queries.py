@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.runtime import ship
 
-from . import embedding_dedup, html_extract, language_id, ngram_join, packing, quality, token_counts, url_filter, warc
+from . import embedding_dedup, html_extract, language_id, ngram_join, packing, quality, sentencepiece_scan, token_counts, url_filter, warc
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,6 +33,7 @@ QUERIES = {
         "op7_language_id": language_id.op7_language_id,
         "language_id_pages": language_id.language_id_pages,
         "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
+        "op9_sentencepiece": sentencepiece_scan.op9_sentencepiece,
         "op10_warc": warc.op10_warc,
     }.items()
 }
