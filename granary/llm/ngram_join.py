@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import WORD, column, table, written
 from .graph import components, grouped, in_blocks, roots, settle, small
 
-SIZE, DEPTH, LIMIT, BLOCK, FOUR = 128, 3, 256, 256, 4.0
+SIZE, DEPTH, LIMIT, FOUR = 128, 3, 256, 4.0
+#: Rows of a block, least and most: of signatures, and of texts.
+BLOCKS, TEXT_BLOCKS = (256, 1024), (64, 256)
 _WORD = regex.compile(WORD)
 _MULTIPLY = np.random.default_rng(11).integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +118,7 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """(doc_id, n_links, class_id, kept) for each row of ``docs``.
+    """(doc_id, n_links, class_id, kept, text_key) for each row of ``docs``.
 
     Links are other rows whose sets of word ``n``-grams have a Jaccard similarity
     of ``threshold`` or more; class_id is the smallest doc_id reachable by links,
@@ -134,11 +136,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [signature(s).astype("<u4").tobytes() if x and len(s := shingles(x, n)) else None for x in b["t"]]
-            yield pd.DataFrame({"doc_id": b["i"].astype("Int64"), "key": [k if s else None for k, s in zip(b["key"], found, strict=True)], "signature": found})
+            found = [signature(s).astype("<u4") if x and len(s := shingles(x, n)) else None for x in b["t"]]
+            yield pd.DataFrame({"doc_id": b["i"].astype("Int64"), "key": [k if s is not None else None for k, s in zip(b["key"], found, strict=True)], "signature": [None if s is None else s.tobytes() for s in found], "sketch": [None if s is None else s.astype(np.uint8).tobytes() for s in found]})
 
-    rows = written(own.withColumn("key", key).mapInPandas(sign, "doc_id long, key binary, signature binary"), "signatures")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"))
+    rows = written(own.withColumn("key", key).mapInPandas(sign, "doc_id long, key binary, signature binary, sketch binary"), "signatures")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     runs = runs_for(recall)
 
@@ -171,13 +173,12 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     met = leaves[0].select("key", "node")
     for more in leaves[1:]:
         met = met.union(more.select("key", "node"))
-    bytes_ = F.col("signature")
     least = math.floor(SIZE * (threshold - FOUR * math.sqrt(threshold * (1 - threshold) / SIZE)))
 
     def tie(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         one, two = [], []
         keys, own, block = frame["key"].to_numpy(), frame["own"].to_numpy(), frame[["bi", "bj"]].to_numpy()
-        low = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), SIZE, 4)[:, :, 0]
+        low = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), SIZE)
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             m = e - s
             if m < 2:
@@ -200,7 +201,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 two += list(keys[s:e][root[tied]])
         return pd.DataFrame({"a": one, "b": two})
 
-    met = in_blocks(written(met, "leaves").join(signed.select("key", bytes_), "key"), ["node"], F.col("key"), 4 * BLOCK)
+    met = in_blocks(written(met, "leaves").join(classes.select("key", "sketch"), "key"), ["node"], F.col("key"), *BLOCKS)
     ties = written(grouped(met, ["node", "bi", "bj"], tie, "a binary, b binary").distinct(), "ties")
     groups = components(ties).withColumnRenamed("node", "key")
     members = groups.join(classes.select("key", "n", "rep"), "key")
@@ -226,12 +227,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         return pd.concat(parts, ignore_index=True)
 
     texts = own.withColumn("key", key).join(small(members), "key").where(F.col("i").eqNullSafe(F.col("rep"))).select("key", "root", "n", "t")
-    linked = written(grouped(in_blocks(texts, ["root"], F.col("key"), BLOCK), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
+    linked = written(grouped(in_blocks(texts, ["root"], F.col("key"), *TEXT_BLOCKS), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
     final = settle(classes, linked)
     out = rows.select("doc_id", "key").join(final, "key", "left")
     found = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), found.alias("class_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), found.alias("class_id"), F.col("doc_id").eqNullSafe(found).alias("kept"), F.col("key").alias("text_key"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: float) -> DataFrame:
+    """``docs`` without the rows that ``jaccard_join`` doesn't keep: of each class its smallest doc_id stays, with all rows that repeat it."""
+    gone = jaccard_join(docs, doc_id, text, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    gone = small(written(gone.distinct(), "gone"))
+    return docs.join(gone, (F.substring(F.unhex(F.sha2(column(docs, text), 256)), 1, 16) == F.col("gone_key")) & column(docs, doc_id).cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")

@@ -11,18 +11,22 @@ from granary.runtime import ship
 from . import embedding_dedup, html_extract, language_id, ngram_join, packing, quality, sentencepiece_scan, token_counts, url_filter, warc
 
 
-def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def prepared(spark: SparkSession) -> None:
+    """The package on the executors, and whole texts in batches whose bytes a worker can hold."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        # Whole texts pass to Python in these batches: their bytes bound a worker's memory.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        prepared(spark)
         return f(spark, sf_dir)
 
     return run
 
 
 QUERIES = {
-    name: _shipped(f)
+    name: _prepared(f)
     for name, f in {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_quality_rules": quality.op2_quality_rules,
