@@ -20,20 +20,22 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def in_blocks(df: DataFrame, group: list[str], member: Column, block: int) -> DataFrame:
+def in_blocks(df: DataFrame, group: list[str], member: Column, least: int, most: int) -> DataFrame:
     """``df`` with ``bi``, ``bj``, ``own`` (ints) and ``split``, so that any two members of a group meet in one (bi, bj).
 
-    A group of up to ``block`` rows stays whole: bi = bj = 0. A larger one is
-    dealt by a hash of ``member`` into blocks of about ``block`` rows, and a
-    row goes to each pair of blocks that its own (``own``) is in. So a task
-    holds two blocks at most, whatever the size of a group.
+    A group of up to ``least`` rows stays whole: bi = bj = 0. A larger one is
+    dealt by a hash of ``member`` into blocks of a sixteenth of it, but of at
+    least ``least`` and at most ``most`` rows, and a row goes to each pair of
+    blocks that its own (``own``) is in. So a task holds two blocks of ``most``
+    rows at most, whatever the size of a group.
     """
-    large = written(df.groupBy(*group).agg(F.count("*").alias("rows_")).where(F.col("rows_") > block), "large")
+    large = written(df.groupBy(*group).agg(F.count("*").alias("rows_")).where(F.col("rows_") > least), "large")
     if not large.head(1):
         return df.withColumns({"bi": F.lit(0), "bj": F.lit(0), "own": F.lit(0), "split": F.lit(False)})
     out = df.join(small(large), group, "left")
-    blocks = F.coalesce(F.ceil(F.col("rows_") / block), F.lit(1)).cast("int")
-    out = out.withColumn("split", F.col("rows_").isNotNull()).withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int"))
+    rows = F.col("rows_")
+    blocks = F.coalesce(F.ceil(rows / F.least(F.greatest(rows / 16, F.lit(least)), F.lit(most))), F.lit(1)).cast("int")
+    out = out.withColumn("split", rows.isNotNull()).withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return out.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("other", "rows_")
 
