@@ -30,7 +30,7 @@ def embed_with(df: DataFrame, load: Callable[[], Embedder], name: str, text: str
             texts = [x or "" for x in b]
             yield pd.Series([v for i in range(0, len(texts), batch) for v in model(texts[i : i + batch])], dtype=object)
 
-    return df.withColumn("embedding", V.normalized(run(F.col(text))))
+    return df.withColumn("embedding", run(F.col(text))).withColumn("embedding", V.normalized(F.col("embedding")))
 
 
 def hashed_embedding(text: Column, dimensions: int = V.DIMENSIONS) -> Column:
