@@ -31,15 +31,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut there.
 
     The files survive the loss of any executor. They stay until the folder is
-    cleaned, because results that are still lazy read them.
+    cleaned, because results that are still lazy read them. ``rows``, an upper
+    bound of the table's rows, spares small tables many small files: the last
+    step then runs in a task for ``per_file`` rows.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

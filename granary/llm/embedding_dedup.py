@@ -110,7 +110,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     rows = written(vectors.select(column(vectors, vec_id).cast("long").alias("i"), column(vectors, embedding).alias("x")).mapInPandas(prepare, "vec_id long, key binary, raw binary"), "vectors")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", rows.count(), 2_000)
     total, widest = classes.agg(F.count("*"), F.max(F.octet_length("raw"))).first()
     bits, bands = bands_for(total, (widest or 8) // 8, threshold, recall)
 
@@ -151,7 +151,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         return pd.DataFrame({"a": one, "b": two})
 
     met = coded.select("key", "code", "factors", F.explode("buckets").alias("bucket"))
-    ties = written(grouped(in_blocks(met, ["bucket"], F.col("key"), *BLOCKS), ["bucket", "bi", "bj"], tie, "a binary, b binary").distinct(), "ties")
+    ties = written(grouped(in_blocks(met, ["bucket"], F.col("key"), *BLOCKS, bands * total), ["bucket", "bi", "bj"], tie, "a binary, b binary", ("key",)).distinct(), "ties")
     groups = components(ties)  # of classes that may link
 
     def link(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
@@ -178,7 +178,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         return pd.DataFrame({"key": keys, "links": count, "top": root_of, "split": frame["split"]})
 
     members = groups.join(classes.select(F.col("key").alias("node"), "n", "raw"), "node").join(coded.select(F.col("key").alias("node"), "code", "factors"), "node")
-    linked = written(grouped(in_blocks(members, ["root"], F.col("node"), *BLOCKS), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
+    linked = written(grouped(in_blocks(members, ["root"], F.col("node"), *BLOCKS, total), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
     final = settle(classes, linked)
     out = rows.select("vec_id", "key").join(final, "key", "left")
     found = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

@@ -20,31 +20,31 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def in_blocks(df: DataFrame, group: list[str], member: Column, least: int, most: int) -> DataFrame:
+def in_blocks(df: DataFrame, group: list[str], member: Column, least: int, most: int, rows: int | None = None) -> DataFrame:
     """``df`` with ``bi``, ``bj``, ``own`` (ints) and ``split``, so that any two members of a group meet in one (bi, bj).
 
     A group of up to ``least`` rows stays whole: bi = bj = 0. A larger one is
     dealt by a hash of ``member`` into blocks of a sixteenth of it, but of at
     least ``least`` and at most ``most`` rows, and a row goes to each pair of
     blocks that its own (``own``) is in. So a task holds two blocks of ``most``
-    rows at most, whatever the size of a group.
+    rows at most, whatever the size of a group. ``rows``: at least those of ``df``.
     """
-    large = written(df.groupBy(*group).agg(F.count("*").alias("rows_")).where(F.col("rows_") > least), "large")
+    large = written(df.groupBy(*group).agg(F.count("*").alias("rows_")).where(F.col("rows_") > least), "large", rows and rows // least)
     if not large.head(1):
         return df.withColumns({"bi": F.lit(0), "bj": F.lit(0), "own": F.lit(0), "split": F.lit(False)})
     out = df.join(small(large), group, "left")
-    rows = F.col("rows_")
-    blocks = F.coalesce(F.ceil(rows / F.least(F.greatest(rows / 16, F.lit(least)), F.lit(most))), F.lit(1)).cast("int")
-    out = out.withColumn("split", rows.isNotNull()).withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int"))
+    size = F.col("rows_")
+    blocks = F.coalesce(F.ceil(size / F.least(F.greatest(size / 16, F.lit(least)), F.lit(most))), F.lit(1)).cast("int")
+    out = out.withColumn("split", size.isNotNull()).withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return out.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("other", "rows_")
 
 
-def grouped(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str, then: tuple[str, ...] = ()) -> DataFrame:
     """Rows of equal keys pass to ``run`` together, many small groups at a time.
 
-    ``run`` gets a frame sorted by group and the positions where groups begin
-    (and the end), and returns rows of ``schema`` or None.
+    ``run`` gets a frame sorted by group, within it by ``then``, and the positions
+    where groups begin (and the end), and returns rows of ``schema`` or None.
     """
     fields = [x.strip().split()[0] for x in schema.split(",")]
 
@@ -80,7 +80,7 @@ def grouped(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.ndar
             if out is not None and len(out):
                 yield out[fields]
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInPandas(each, schema)
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *then).mapInPandas(each, schema)
 
 
 def roots(linked: np.ndarray) -> np.ndarray:
@@ -99,18 +99,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the smallest node reachable.
 
     Labels flow along edges and then jump to their label's label, so rounds are
-    few (the logarithm of the longest path). Each round is a written table. Both
+    few (the logarithm of the longest path). Each round is a written table, and
+    ``edges`` is one. Both
     joins have one row a key on one side, so a node with very many links is split
     by the adaptive skew join.
     """
-    spark = edges.sparkSession
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    spark, n = edges.sparkSession, 2 * edges.count()
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges", n)
+    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels", n)
     while True:
         near = both.join(label.select(F.col("node").alias("a"), "root"), "a").groupBy("b").agg(F.min("root").alias("near"))
         flown = label.join(near.withColumnRenamed("b", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = written(flown.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"), "was"), "labels")
+        new = written(flown.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"), "was"), "labels", n)
         changed = new.where("root <> was").head(1)
         forget(spark, label)
         label = new.select("node", "root")
@@ -126,12 +127,13 @@ def settle(classes: DataFrame, linked: DataFrame) -> DataFrame:
     component, the same for all of a group that wasn't split) and split, once or
     more for each class that may link. A component's id is its smallest rep.
     """
+    n = classes.count()
     tops = linked.where("not split").select("key", "top")
     split = linked.where("split")
     if split.head(1):
-        tops = tops.union(components(split.where("key <> top").select(F.col("key").alias("a"), F.col("top").alias("b"))).select("node", "root"))
+        tops = tops.union(components(written(split.where("key <> top").select(F.col("key").alias("a"), F.col("top").alias("b")).distinct(), "far")).select("node", "root"))
     counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
     named = classes.select("key", "n", "rep").join(tops, "key", "left").join(counts, "key", "left")
-    named = written(named.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("top", "key").alias("top")), "named")
-    least = written(named.groupBy("top").agg(F.min("rep").alias("component_id")), "least")
-    return written(named.join(least, "top").select("key", "n_links", "component_id"), "settled")
+    named = written(named.select("key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("top", "key").alias("top")), "named", n)
+    least = written(named.groupBy("top").agg(F.min("rep").alias("component_id")), "least", n)
+    return written(named.join(least, "top").select("key", "n_links", "component_id"), "settled", n)

@@ -141,7 +141,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     rows = written(own.withColumn("key", key).mapInPandas(sign, "doc_id long, key binary, signature binary, sketch binary"), "signatures")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", rows.count(), 2_000)
     runs = runs_for(recall)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,8 +162,9 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     nodes = written(signed.mapInPandas(start, "key binary, node long"), "nodes")
     leaves = []
     for level in range(1, DEPTH + 1):
-        counts = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        nodes = written(nodes.join(small(counts), "node"), "members")
+        at_most = nodes.count()
+        counts = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", at_most // 2, 200_000)
+        nodes = written(nodes.join(small(counts), "node"), "members", at_most, 200_000)
         last = level == DEPTH
         leaves.append(nodes if last else nodes.where(F.col("size") <= LIMIT))
         large = nodes.where(F.col("size") > LIMIT)
@@ -201,11 +202,12 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 two += list(keys[s:e][root[tied]])
         return pd.DataFrame({"a": one, "b": two})
 
-    met = in_blocks(written(met, "leaves").join(classes.select("key", "sketch"), "key"), ["node"], F.col("key"), *BLOCKS)
-    ties = written(grouped(met, ["node", "bi", "bj"], tie, "a binary, b binary").distinct(), "ties")
+    met = written(met, "leaves", at_most := sum(x.count() for x in leaves), 200_000)
+    met = in_blocks(met.join(classes.select("key", "sketch"), "key"), ["node"], F.col("key"), *BLOCKS, at_most)
+    # Sorted, a class is tied to the smallest of its component in each node, mostly the same one: few distinct ties.
+    ties = written(grouped(met, ["node", "bi", "bj"], tie, "a binary, b binary", ("key",)).distinct(), "ties")
     groups = components(ties).withColumnRenamed("node", "key")
-    members = groups.join(classes.select("key", "n", "rep"), "key")
-    members = written(members, "groups")
+    members = written(groups.join(classes.select("key", "n", "rep"), "key"), "groups", tied := groups.count())
 
     def link(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         parts = []
@@ -227,7 +229,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         return pd.concat(parts, ignore_index=True)
 
     texts = own.withColumn("key", key).join(small(members), "key").where(F.col("i").eqNullSafe(F.col("rep"))).select("key", "root", "n", "t")
-    linked = written(grouped(in_blocks(texts, ["root"], F.col("key"), *TEXT_BLOCKS), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
+    linked = written(grouped(in_blocks(texts, ["root"], F.col("key"), *TEXT_BLOCKS, tied), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
     final = settle(classes, linked)
     out = rows.select("doc_id", "key").join(final, "key", "left")
     found = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
