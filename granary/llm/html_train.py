@@ -17,6 +17,8 @@ import numpy as np
 from .html_extract import HIDDEN, INPUTS, blocks, read_one_way, scores, vectors
 
 SYLLABLES = ["th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve", "sch ung ein ich der und auf zu ber ge ver lich keit heit st pf tz ä ö ü", "le la de eau ment tion que oi ou é è ê vi re pa aux", "ción que os as ar ado mente ll rr ñ es ez í ó"]
+#: Words that texts and their surroundings share, so that no word by itself gives a block away.
+COMMON = "the of and to in is that for with on as are this be by at from or an not we you it was which have new now more here home page about first second one two all read news der die das und ist nicht le la les et est une el los que es una".split()
 NAMES = {
     "content": "content main-content post post-body entry entry-content article article-body story story-text text body-copy page-content prose markdown-body",
     "nav": "nav menu navbar navigation main-menu topnav breadcrumb breadcrumbs pagination tabs links toc",
@@ -33,11 +35,17 @@ NAMES = {
 LABELS = {"nav": "Home About News Contact Products Next Previous Archive Login", "footer": "All rights reserved Privacy Terms Imprint Contact © 2024", "notice": "We use cookies Accept Close Your browser is not supported", "form": "Search Email Name Subscribe Submit Password", "comments": "Reply says wrote ago Report Like 3 replies", "share": "Share Tweet Facebook Print Email", "ad": "Advertisement Sponsored Buy now Learn more", "side": "Related Popular Read more Tags Latest", "header": "Welcome to the home of"}
 
 
+ALL_LABELS = " ".join(LABELS.values()).split()
+
+
 class Generator:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
 
     def word(self) -> str:
+        k = self.r.random()
+        if k < self.common:
+            return self.r.choice(COMMON if k < 0.9 * self.common else ALL_LABELS)
         return "".join(self.r.choices(self.sounds, k=self.r.choice((1, 1, 2, 2, 3, 4))))
 
     def words(self, low: int, high: int) -> str:
@@ -56,7 +64,8 @@ class Generator:
         name = self.r.choice(NAMES[kind].split())
         if r < 0.15:
             name = name + " " + self.r.choice(NAMES["plain"].split())
-        return f"<{tag}>" if r > 0.93 else f'<{tag} {self.r.choice(["class", "class", "id"])}="{name}">'
+        bare = 0.96 if kind in ("nav", "share", "side", "form") else 0.6 if kind == "plain" else 2  # without a name, prose can't be told from the text
+        return f"<{tag}>" if r > bare else f'<{tag} {self.r.choice(["class", "class", "id"])}="{name}">'
 
     def out(self, html: str, main: bool = False) -> str:
         """Text with a mark by which its block's label is known."""
@@ -86,11 +95,14 @@ class Generator:
             return (f"<{kind}>{body}</{kind}>") if r.random() < 0.65 else self.named(kind) + body + "</div>"
         if kind in ("ad", "notice"):
             body = r.choice([self.prose(1, 3), f"<p>{self.prose(1, 3)}</p>", f"{label} {self.words(1, 6)}", f"<a href='/b'>{self.words(2, 8)}</a>", f"<p>{self.prose(1, 2)}</p><button>{self.words(1, 2)}</button>"])
-            tag = r.choice(["div", "div", "aside", "section", "p"])
+            tag = r.choice(["div", "div", "aside", "section", *["p"] * ("<p>" not in body)])
             return self.named(kind, tag).replace(">", f' role="{r.choice(["alert", "dialog", "banner"])}">' if kind == "notice" and r.random() < 0.2 else ">", 1) + body + f"</{tag}>"
         if kind == "form":
-            body = f"<label>{self.words(1, 3)}</label><input name=q><button>{self.words(1, 2)}</button>" + (f"<p>{self.prose(1, 2)}</p>" if r.random() < 0.4 else "") + ("<select><option>A one<option>B two</select>" if r.random() < 0.2 else "")
-            return ("<form>" if r.random() < 0.4 else self.named("form", "form")) + body + "</form>"
+            parts = [f"<label>{self.words(1, 3)}</label>" * (r.random() < 0.5), "<input name=q>", f"<textarea>{self.words(1, 3)}</textarea>" * (r.random() < 0.2)]
+            parts += [f"<p>{self.prose(1, 2)}</p>" * (r.random() < 0.3), "<select><option>A one<option>B two</select>" * (r.random() < 0.2)]
+            r.shuffle(parts)
+            body = "".join(parts) + f"<button>{self.words(1, 2)}</button>" * (r.random() < 0.8) + f"<p>{self.prose(1, 2)}</p>" * (r.random() < 0.2)
+            return ("<form>" if r.random() < 0.5 else self.named("form", "form")) + body + "</form>"
         if kind == "comments":
             one = lambda: self.named("comments") + r.choice([f"<p>{self.prose(1, 4)}</p>", f"<b>{self.word()}</b> {label.split()[1]} <p>{self.prose(1, 3)}</p>", self.prose(1, 3), f"<h4>{self.word()}</h4><p>{self.prose(1, 5)}</p><a href='#r'>Reply</a>"]) + "</div>"
             tag = r.choice(["div", "section", "ol"])
@@ -104,25 +116,26 @@ class Generator:
             parts.append(main("h1", self.words(2, 9)))
         for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             k = r.random()
-            if k < 0.72:
+            if k < 0.62:
                 parts.append(main("p", self.prose()))
-            elif k < 0.8:
+            elif k < 0.7:
                 parts.append(main(r.choice(["h2", "h3"]), self.words(1, 7)))
-            elif k < 0.86:
+            elif k < 0.76:
                 parts.append("<ul>" + "".join(main("li", self.words(1, 12)) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif k < 0.9:
+            elif k < 0.8:
                 parts.append(main("blockquote", self.prose(1, 3)) if r.random() < 0.5 else "<blockquote>" + main("p", self.prose(1, 3)) + "</blockquote>")
-            elif k < 0.92:
+            elif k < 0.82:
                 parts.append("<table><tr>" + main("td", self.words(1, 3)) + main("td", self.words(1, 3)) + "</tr></table>")
-            elif k < 0.94:
+            elif k < 0.84:
                 parts.append(main("pre", self.words(3, 15)))
             else:
-                parts.append(self.junk(r.choice(["ad", "share", "form", "side", "notice", "script", "ad"])))
+                parts.append(self.junk(r.choice(["ad", "share", "form", "form", "side", "notice", "script"])))
         return "".join(parts)
 
     def page(self) -> str:
         r = self.r
         self.sounds = r.choice(SYLLABLES).split()
+        self.common = r.choice((0, 0.2, 0.5, 0.8))
         before = [self.junk(k) for k in ("notice", "header", "nav", "ad", "form", "side") if r.random() < 0.45]
         after = [self.junk(k) for k in ("share", "side", "ad", "comments", "form", "nav", "notice", "footer") if r.random() < 0.4]
         r.shuffle(before)
@@ -184,7 +197,7 @@ def gradients(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: dict[str, np.nd
     return g, loss
 
 
-def train(pages: int = 4000, epochs: int = 10, seed: int = 5, say=print) -> dict[str, np.ndarray]:  # noqa: ANN001
+def train(pages: int = 8000, epochs: int = 14, seed: int = 5, say=print) -> dict[str, np.ndarray]:  # noqa: ANN001
     rng, make = np.random.default_rng(seed), Generator(seed)
     data = [d for d in (labelled(make.page()) for _ in range(pages)) if len(d[1])]
     w = {f"x{s}": rng.standard_normal((INPUTS, 4 * HIDDEN)).astype(np.float32) * 0.08 for s in "fb"} | {f"h{s}": rng.standard_normal((HIDDEN, 4 * HIDDEN)).astype(np.float32) * 0.2 for s in "fb"}
