@@ -96,8 +96,10 @@ def runs_for(recall: float, depth: int = DEPTH) -> int:
 
 
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many elements sets[left] and sets[right] share, exactly: products of incidence matrices, some columns at a time."""
-    whole = np.concatenate(sets)
+    """How many elements different sets[left] and sets[right] share, exactly: products of incidence matrices, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(whole := np.concatenate(sets)):
+        return out
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(whole, kind="stable")
     whole, owner = whole[order], owner[order]
@@ -108,7 +110,6 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     owner, column_ = owner[shared], column_[shared]
     if len(column_):
         column_ = np.cumsum(np.r_[0, column_[1:] != column_[:-1]])
-    out = np.zeros((len(left), len(right)), np.int64)
     for start in range(0, int(column_[-1]) + 1 if len(column_) else 0, 4096):
         a, z = np.searchsorted(column_, [start, start + 4096])
         part = np.zeros((len(sets), 4096), np.float32)

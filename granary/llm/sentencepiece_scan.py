@@ -342,7 +342,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     ``ids`` (little-endian 32-bit integers) of a document's chunks, one after the
     other, are the library's for its text. ``round_trip`` says that they decode to
-    the text they cover. A null text is empty: one chunk of no ids. Rows that
+    the text they cover (U+2581 counts as a space, which the library makes of it). A null text is empty: one chunk of no ids. Rows that
     repeat a doc_id are documents of their own, with rows of their own; a null
     doc_id stays null. An empty table gives an empty one. Extra columns don't matter.
     """
