@@ -39,8 +39,9 @@ def tokens(c: Column) -> Column:
 
 def without_repeats(lines: Column) -> Column:
     """An array without elements equal to the one before."""
-    pairs = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(lines, i - 1)).alias("before")))
-    return F.transform(F.filter(pairs, lambda p: p.before.isNull() | (p.x != p.before)), lambda p: p.x)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))))
+    pairs = F.zip_with(lines, before, lambda x, y: F.struct(x.alias("x"), y.alias("y")))  # the arrays are made once, not in the lambda
+    return F.transform(F.filter(pairs, lambda p: p.x.isNotNull() & (p.y.isNull() | (p.x != p.y))), lambda p: p.x)
 
 
 def clean_lines(c: Column) -> Column:

@@ -79,9 +79,11 @@ def scan_scores(docs: DataFrame, query: str, id: str = "id", text: str = "text")
     known = terms.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(total))
     one = known.agg(F.collect_list(F.struct("term", "times", _effective(F.col("idf"), F.col("mean_idf")).alias("idf"))).alias("q"))
     base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), tokens(F.col(text)).alias("w"))
+    asked = tokens(F.lit(query))  # a constant: a document's tokens are read once for all of them
+    base = base.select("id", "text", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains(asked, x)).alias("hits"))
     base = base.crossJoin(F.broadcast(one.crossJoin(total.select("avgdl"))))
-    tf = lambda q: F.size(F.filter("w", lambda x: x == q.term))
-    score = F.aggregate("q", F.lit(0.0), lambda s, q: s + q.times * F.when(tf(q) > 0, _score(q.idf, tf(q), F.size("w"), F.col("avgdl"))).otherwise(0.0))
+    tf = lambda q: F.size(F.filter("hits", lambda x: x == q.term))
+    score = F.aggregate("q", F.lit(0.0), lambda s, q: s + q.times * F.when(tf(q) > 0, _score(q.idf, tf(q), F.col("dl"), F.col("avgdl"))).otherwise(0.0))
     return base.select("id", "text", score.alias("score"))
 
 
