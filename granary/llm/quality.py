@@ -124,7 +124,8 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules(), cle
             verdicts = pd.DataFrame([v for v, _ in found], columns=fields)
             yield pd.DataFrame({"v": verdicts.to_dict("records"), "t": [None if x is None else t for x, (_, t) in zip(texts, found, strict=True)] if clean else None})
 
-    out = docs.withColumn(name, run(column(docs, text)))
+    # Called non-deterministic so that a filter on the verdict doesn't judge each text a second time.
+    out = docs.withColumn(name, run.asNondeterministic()(column(docs, text)))
     v = F.col(f"`{name}`")
     if clean:
         out = out.withColumn(new, v["t"])
