@@ -6,6 +6,16 @@ import os
 from dataclasses import dataclass, field
 
 
+#: Subject areas of the catalogue.
+AREAS = (
+    "COMP", "ELEC", "ENGG", "MECH", "CVEN", "MMAN", "MTRN", "SENG", "DESN", "MINE", "PTRL", "SOMA", "FOOD", "CEIC", "MANF", "SOLA",
+    "MATH", "PHYS", "CHEM", "BIOS", "BIOL", "PSYC", "AVIA", "DATA", "GEOS", "MSCI", "OPTM", "PATH", "SCIF", "MATS",
+    "ACCT", "FINS", "MARK", "MGMT", "COMM", "ECON", "INFS", "TABL", "ACTL", "RISK",
+    "ARTS", "HIST", "MDIA", "POLS", "SOCI", "LING", "PHIL", "MUSC", "MODL", "EDST", "SRAP", "LAWS", "JURD",
+    "MFAC", "MDCN", "PHAR", "PHCM", "PUBH", "HDAT", "HEAL", "NURS", "SWCH", "ARCH", "BENV", "IDES", "PLAN", "LAND", "CONS", "GENL", "GENC",
+)
+
+
 def _list(text: str) -> tuple[str, ...]:
     return tuple(x.strip() for x in text.split(",") if x.strip())
 
@@ -20,7 +30,7 @@ class Site:
     catalogue: str = "https://handbook.example.edu"
     catalogue_name: str = "Example Handbook"
     year: str = "2026"
-    areas: tuple[str, ...] = ("COMP", "MATH", "PHYS", "ARTS", "LAWS")
+    areas: tuple[str, ...] = AREAS
     levels: tuple[str, ...] = ("undergraduate", "postgraduate")
 
     def listing_urls(self) -> list[str]:

@@ -333,7 +333,7 @@ def collection_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", "url").orderBy("page_id").limit(10)
 
 
-@query("""SELECT format('https://handbook.example.edu/{}/courses/2026?query={}', level, area) AS url, area FROM (VALUES ('COMP'), ('MATH'), ('PHYS'), ('ARTS'), ('LAWS')) a(area), (VALUES ('undergraduate'), ('postgraduate')) l(level)
+@query(f"""SELECT 'https://handbook.example.edu/' || level || '/courses/2026?query=' || area AS url, area FROM (SELECT unnest({list(SITE.areas)}) AS area), (VALUES ('undergraduate'), ('postgraduate')) l(level)
 UNION ALL SELECT 'https://handbook.example.edu/' || x, NULL FROM (VALUES (''), ('undergraduate/courses/2026'), ('postgraduate/courses/2026'), ('undergraduate/programs/2026'), ('postgraduate/programs/2026'), ('research/programs/2026')) v(x)""")
 def seed_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.catalogue_seeds(spark, SITE)
