@@ -117,6 +117,8 @@ class Writer:
     def _close(self) -> None:
         self.out.close()
         final = f"{self.name}-{len(self.files):04d}.warc.zst"
+        if self.fs.get_file_info(f"{self.folder}/{final}").is_file:  # of an attempt whose result was lost
+            self.fs.delete_file(f"{self.folder}/{final}")
         self.fs.move(self.temp, f"{self.folder}/{final}")
         self.files.append((f"{self.uri}/{final}", self.n, self.size))
         self.out = None
