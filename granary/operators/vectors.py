@@ -48,7 +48,7 @@ def hashed_similarity(docs: DataFrame, query: str, id: str = "id", text: str = "
     mine = F.transform(tokens(F.col(text)), lambda t: V.bucket(t))
     theirs = F.transform(tokens(F.lit(query)), lambda t: V.bucket(t))
     runs = lambda a: F.transform(F.array_distinct(a), lambda b: F.struct(b.alias("b"), F.size(F.filter(a, lambda x: x == b)).cast("double").alias("n")))
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.array_sort(mine).alias("m"))
+    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.sort_array(mine).alias("m"))
     q = docs.sparkSession.range(1).select(runs(theirs).alias("q"))
     # Sorted, equal dimensions are neighbours: a run's length is the distance between its ends.
     last = F.filter(F.transform("m", lambda x, i: F.struct(x.alias("b"), i.alias("i"))), lambda p: F.get("m", p.i + 1).isNull() | (F.get("m", p.i + 1) != p.b))
