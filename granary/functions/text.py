@@ -170,5 +170,15 @@ def render_markdown(c: Column) -> Column:
 
 
 def response_time(ms: Column) -> Column:
-    """Above a second as seconds with one decimal, else as milliseconds."""
-    return F.when(ms > 1000, F.format_string("%.1fs", ms / 1000)).otherwise(F.concat(ms.cast("string"), F.lit("ms")))
+    """Above a second as seconds with one decimal, else as milliseconds, which are whole numbers.
+
+    The decimal is that of JavaScript's ``(ms / 1000).toFixed(1)``: the tenth nearest
+    to the double, and of two as near the larger. Only where ``ms`` ends in 50 can the
+    double lie below the half that it stands for; its exact error, from the double's
+    upper and lower halves, tells.
+    """
+    x = ms / 1000
+    upper = x * 134217729.0 - (x * 134217729.0 - x)  # 2 ** 27 + 1
+    below = (ms % 100 == 50) & ((upper * 1000 - ms) + (x - upper) * 1000 < 0)
+    tenths = F.floor((ms + 50) / 100) - F.when(below, 1).otherwise(0)
+    return F.when(ms > 1000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))).otherwise(F.concat(ms.cast("string"), F.lit("ms")))

@@ -84,3 +84,21 @@ def test_vectors(spark):
 def test_settings_come_from_the_environment():
     s = Settings.from_env({"MAX_PAGES": "7", "ALLOWED_DOMAINS": "a.b, c.d,"})
     assert s.max_pages == 7 and s.site.allowed_domains == ("a.b", "c.d") and s.chunk_size == 500
+
+
+def test_response_times_are_those_of_to_fixed(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    found = spark.range(50, 200_000, 100).select("id", X.response_time(F.col("id")).alias("label")).collect()
+    assert all(r.label == (f"{Decimal(r.id / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)}s" if r.id > 1000 else f"{r.id}ms") for r in found)
+    assert {r.label for r in found if r.id in (1050, 1150, 1250)} == {"1.1s", "1.3s"}
+    assert spark.range(1).select(X.response_time(F.lit(None).cast("long"))).first()[0] is None
+
+
+def test_every_document_has_a_response_label(spark, tmp_path):
+    from granary.queries import QUERIES
+
+    rows = [(1, 1050, "a<b"), (2, 1150, "c"), (3, None, "d&e"), (4, 50, None), (5, 1234, "f")]
+    spark.createDataFrame(rows, "doc_id long, n_chars long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.label, r.escaped) for r in QUERIES["response_labels"](spark, str(tmp_path)).collect()}
+    assert found == {1: ("1.1s", "a&lt;b"), 2: ("1.1s", "c"), 3: (None, "d&amp;e"), 4: ("50ms", None), 5: ("1.2s", "f")}
