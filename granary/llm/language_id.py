@@ -26,8 +26,10 @@ from .common import column, fresh, table, written
 from .graph import small
 
 BUCKETS, EFFECTIVE, KAPPA = 1 << 14, 60.0, 20.0
-#: Labelled rows for fitting: about as many at most, of at most so many characters, and so many of a language at least.
+#: Labelled rows for fitting: about as many, shared among the languages, of at most so many characters; languages with so many rows at least.
 SAMPLE_ROWS, SAMPLE_CHARS, LEAST_ROWS = 4000, 20_000, 5
+#: A language's share of the sample at least, however many languages there are.
+LANGUAGE_ROWS = 200
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
@@ -63,29 +65,45 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> LanguageModel:
-    """A model from a sample of rows with a label and a text: see SAMPLE_ROWS. Other rows only don't serve for fitting."""
+    """A model from a sample of rows with a label and a text: see SAMPLE_ROWS. Other rows only don't serve for fitting.
+
+    Each language has a share of its own, so every one with LEAST_ROWS labelled
+    rows is in the model, whatever the size of the others; without such a one,
+    those with the most rows. Longer texts serve only for a language with too few
+    others. The text with the least hash is always taken: a language may have many
+    copies of few texts.
+    """
     rows = docs.select(column(docs, label).alias("l"), column(docs, text).alias("t")).where("l is not null and l <> '' and t is not null")
-    n = rows.count()
-    share = min(1.0, SAMPLE_ROWS / max(1, n))
-    sample = rows.where((F.char_length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    hashed, fits = F.pmod(F.xxhash64("t"), F.lit(1 << 30)), F.char_length("t") <= SAMPLE_CHARS
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.min(hashed).alias("first"), F.count_if(fits).alias("n_fit"), F.min(F.when(fits, hashed)).alias("first_fit"))
+    found = sizes.where(F.col("n") >= LEAST_ROWS).collect()  # a row a language
+    if not found:
+        most = sizes.agg(F.max("n")).first()[0]
+        found = sizes.where(F.col("n") == most).collect() if most else []
+    if not found:
+        return LanguageModel({})
+    wanted = max(SAMPLE_ROWS // len(found), LANGUAGE_ROWS)
+    shares = []
+    for r in found:
+        long = r.n_fit < min(LEAST_ROWS, r.n)
+        n, first = (r.n, r.first) if long else (r.n_fit, r.first_fit)
+        shares.append((r.l, long, max(first + 1, int(min(1.0, wanted / n) * (1 << 30)))))
+    shares_ = F.broadcast(docs.sparkSession.createDataFrame(shares, "l string, long boolean, below long"))
+    sample = rows.join(shares_, "l").where((hashed < F.col("below")) & (F.col("long") | fits)).select("l", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        n_rows: dict[str, int] = {}
         for b in batches:
             for lang, x in zip(b["l"], b["t"], strict=True):
                 total[lang] = total.get(lang, 0) + np.bincount(grams(x), minlength=BUCKETS)
-                n_rows[lang] = n_rows.get(lang, 0) + 1
         for lang, c in total.items():
             at = np.flatnonzero(c)
-            yield pd.DataFrame({"l": lang, "bucket": np.r_[-1, at], "n": np.r_[n_rows[lang], c[at]]})
+            yield pd.DataFrame({"l": lang, "bucket": at, "n": c[at]})
 
-    counts = sample.mapInPandas(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 a language
-    rows_of = {r.l: r.n for r in counts if r.bucket < 0}
-    made = {x: np.zeros(BUCKETS) for x, k in rows_of.items() if k >= min(LEAST_ROWS, max(rows_of.values()))}
+    counts = sample.mapInPandas(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS a language
+    made = {r.l: np.zeros(BUCKETS) for r in found}
     for r in counts:
-        if r.bucket >= 0 and r.l in made:
-            made[r.l][r.bucket] = r.n
+        made[r.l][r.bucket] = r.n
     return LanguageModel(made)
 
 

@@ -235,6 +235,16 @@ def test_languages_of_held_out_texts(spark):
     assert all(r.language_ == r.want and r.accepted and r.confidence > 0.9 for r in found)
 
 
+def test_rare_languages_are_in_the_model(spark):
+    rows = [(prose("en", 6, i), "en") for i in range(20_000)] + [(prose("de", 30, i), "de") for i in range(5)] + [("ville rivière époque", "fr")] * 6
+    rows += [("slova reka gorod " * 2000, "ru")] * 5 + [("x y", "zz")] * 4
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert language_id.fit(docs).languages == ["de", "en", "fr", "ru"]
+    found = language_id.identify(docs, language_id.fit(docs)).where("accepted and language = 'de'")
+    assert {r.lang for r in found.collect()} == {"de"} and found.count() == 5
+    assert language_id.fit(docs.where("lang in ('zz')")).languages == ["zz"]
+
+
 def test_evidence_decides_where_texts_do_not(spark):
     docs = labelled(spark)
     model = language_id.fit(docs)
