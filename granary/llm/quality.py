@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from .common import WORD, column, fresh, table
 
 _WORD = regex.compile(WORD)
-_END = regex.compile(r"""[.!?…:;"'”’»)\]]$""")
+#: End marks of all scripts with the marks and brackets that may follow them; Thai and Lao write none.
+_END = regex.compile(r"""[.!?…:;"'”’»)\]\p{Sentence_Terminal}：；︰؛།༎」』】〉》〕〗）］｝｣＂＇\p{Thai}\p{Lao}]$""")
 _SEPARATOR = regex.compile(r"^[|»›•·>/–—-]+$")
 _LOWER, _UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 SYMBOLS = "#*$%&|<>"
@@ -38,7 +39,8 @@ VERDICTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 class Rules:
     """Limits. Of a line: words below which it needs an end mark; symbols a word
     and separators a word at most; words from which capitals alone, and few
-    distinct words, fail it. Of a document: per cent of its words it may lose.
+    distinct words, fail it; words from which a site's phrase fails it only if
+    over half of its words belong to such. Of a document: per cent of its words it may lose.
     """
 
     short_line: int = 8
@@ -47,6 +49,7 @@ class Rules:
     caps_words: int = 3
     repeat_words: int = 10
     distinct_pct: int = 34
+    phrase_words: int = 20
     max_lost_pct: int = 50
 
 
@@ -63,7 +66,8 @@ def line_fails(line: str, words: list[str], rules: Rules) -> str | None:
         return "capitals"
     if n >= rules.repeat_words and len(set(words)) * 100 < rules.distinct_pct * n:
         return "repetition"
-    if _PHRASE.search(line.lower()):
+    found = _PHRASE.findall(line.lower())
+    if found and (n < rules.phrase_words or 2 * sum(len(x.split()) for x in found) > n):
         return "boilerplate"
     return None
 

@@ -82,6 +82,23 @@ def test_lines_are_judged_one_by_one():
     assert fails(PROSE.strip()) is None
 
 
+@pytest.mark.parametrize("line", ["这条河缓缓流过一座{}座古老的城镇。", "老人说：「河水流了{}年。」", "नदी{0} पुराने{0} नगर{0} से{0} बहती{0} है।", "هل{0} يجري{0} النهر{0} عبر{0} مدن{0} قديمة؟", "แม่น้ำไหลผ่านเมืองเก่า {} แห่งอย่างช้า"])
+def test_end_marks_of_all_scripts(line):
+    text = "\n".join(line.format(i) for i in range(60))  # no three words come twice
+    verdict, stay = quality.judge(text)
+    assert verdict[-1] and stay == text
+
+
+def test_a_phrase_in_passing_costs_no_long_line():
+    r = random.Random(1)
+    words = [f"word{r.randrange(999)}" for _ in range(80)]
+    text = " ".join([*words[:40], "see the privacy policy or click here,", *words[40:]]) + "."
+    assert quality.judge(text)[0][-1] and quality.judge(text)[1] == text
+    for line in ("This work is licensed under the GNU General Public License, version 3.", " ".join(quality.PHRASES)):
+        assert quality.line_fails(line, line.split(), quality.Rules()) == "boilerplate"
+    assert len(line.split()) >= quality.Rules().phrase_words
+
+
 def test_documents_that_lose_too_much_go():
     r = random.Random(0)
     good, bad = "\n".join(" ".join(f"word{r.randrange(999)}" for _ in range(30)) + "." for _ in range(3)), "\n".join("menu entry | another | third" + str(i) for i in range(30))
