@@ -274,10 +274,16 @@ def typed_fields(html: Column, kind: Column) -> Column:
 
 
 def join_urls(base: Column, href: Column) -> Column:
-    """Any reference resolved against a base, by RFC 3986."""
+    """Any reference resolved against a base, by RFC 3986; null where either can't be one."""
+
+    def joined(b: str | None, h: str | None) -> str | None:
+        try:
+            return None if b is None or h is None else urljoin(b, h)
+        except ValueError:
+            return None
 
     @F.pandas_udf("string")
     def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
+        return pd.Series([joined(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
 
     return run(base, href)

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.functions.html import join_urls
 
 
-def links(pages: DataFrame, native: bool = True) -> DataFrame:
-    """(src, href, url) for each link. ``native`` resolves absolute and root-relative ones only (others null), without Python."""
+def resolved(src: Column, href: Column) -> Column:
+    """``href`` against ``src`` as ``join_urls`` does it; plain absolute and root-relative ones don't go to Python."""
+    plain = href.rlike(r"^(?:[a-z][a-z0-9+.-]*:/)?/[^\s\x00-\x20]*$") & ~href.rlike(r"(?:^|/)\.\.?(?:[/?#;]|$)") & ~href.rlike(r"[?#;](?:#|$)|[\[\]]")
+    rest = F.coalesce(~plain, F.lit(False))
+    return F.when(rest, join_urls(F.when(rest, src), F.when(rest, href))).otherwise(X.resolve_link(src, href))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(src, href, url) for each link; the url of what can't be one is null."""
     out = pages.select(F.col("url").alias("src"), F.explode(X.hrefs(F.col("html"))).alias("href"))
-    return out.withColumn("url", X.resolve_link(F.col("src"), F.col("href")) if native else join_urls(F.col("src"), F.col("href")))
+    return out.withColumn("url", resolved(F.col("src"), F.col("href")))
 
 
 def valid_links(found: DataFrame, domains: tuple[str, ...]) -> DataFrame:
@@ -24,12 +31,12 @@ def valid_links(found: DataFrame, domains: tuple[str, ...]) -> DataFrame:
 def new_links(found: DataFrame, visited: DataFrame) -> DataFrame:
     """(norm_url) of links that, normalized, aren't among the visited urls; each once."""
     seen = visited.select(X.normalize_url(F.col("url")).alias("norm_url")).distinct()
-    return found.select(X.normalize_url(F.col("url")).alias("norm_url")).distinct().join(seen, "norm_url", "left_anti")
+    return found.where("url is not null").select(X.normalize_url(F.col("url")).alias("norm_url")).distinct().join(seen, "norm_url", "left_anti")
 
 
 def detail_links(listing: DataFrame) -> DataFrame:
     """(url, type) of course and program pages that listing pages link to, each once."""
-    found = links(listing).withColumn("type", X.page_kind(F.col("href"))).where("type is not null")
+    found = links(listing).withColumn("type", X.page_kind(F.col("href"))).where("type is not null and url is not null")
     return found.groupBy("url").agg(F.min("type").alias("type"))
 
 

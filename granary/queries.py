@@ -235,7 +235,7 @@ def link_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {HREFS} SELECT page_id, href, url FROM links")
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pages(spark, sf_dir).select("page_id", "url", F.explode(X.hrefs(F.col("html"))).alias("href"))
-    return rows.select("page_id", "href", X.resolve_link(F.col("url"), F.col("href")).alias("url"))
+    return rows.select("page_id", "href", crawl.resolved(F.col("url"), F.col("href")).alias("url"))
 
 
 @query(f"WITH {HREFS} SELECT page_id, href, url FROM links")

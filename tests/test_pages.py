@@ -147,3 +147,19 @@ def test_response_filters(spark):
 
 def test_settings_of_chunks():
     assert (Settings().chunk_size, Settings().chunk_overlap, Settings().min_chunk) == (500, 80, 50)
+
+
+def test_links_of_all_kinds(spark):
+    from urllib.parse import urljoin
+
+    base = "https://h.example/a/b?x"
+    hrefs = ["page2.html", "../x", "?page=2", "#f", "/c/../d", "/e", "//g/i", "http://o/e", "HTTPS://h.example/q", "https:r", "mailto:u@h", " /s ", "/t;", "./undergraduate/courses/2026/COMP1511", "http://[bad"]
+    forms = ["<a href='{}'>", '<A HREF="{}">', '<a title="a > b" data-href="no" href = "{}" href="no">']
+    html = "".join(forms[i % 3].format(x) for i, x in enumerate(hrefs)) + "<a\nhref=un/quoted class=z><a href><a><abbr href=no><a href=it's><a href=>" + '<a x="' + "y" * 9 + " z" * 20_000 + '" href=last>'
+    rows = spark.createDataFrame([(base, html)], "url string, html string")
+    found = {r.href: r.url for r in crawl.links(rows).collect()}
+    want = {x: urljoin(base, x) for x in [*hrefs[:-1], "un/quoted", "it's", "last"]} | {"http://[bad": None}
+    assert found == want
+    new = {r.norm_url for r in crawl.new_links(crawl.links(rows), rows).collect()}
+    assert {"https://h.example/a/page2.html", "https://h.example/x", "https://h.example/a/un/quoted", "https://h.example/d"} <= new and None not in new and "https://h.example/a/b" not in new
+    assert [tuple(r) for r in crawl.detail_links(rows).collect()] == [("https://h.example/a/undergraduate/courses/2026/COMP1511", "course")]
