@@ -20,7 +20,9 @@ from granary.sources import files
 
 
 def refresh(spark: SparkSession, fetched: DataFrame, settings: Settings = Settings(), skip_main: bool = False, skip_handbook: bool = False, areas: list[str] | None = None, full_rebuild: bool = False) -> dict:
-    """Runs all steps and gives counts. Every step is a table on disk before the next reads it.
+    """Runs all steps over all of ``fetched`` and gives counts. Every step is a table on disk before the next reads it.
+
+    ``settings.max_pages`` is a budget of fetching and cuts nothing here.
 
     New chunks replace those with their id; what a site no longer has stays, unless
     ``full_rebuild`` empties the collection first.
@@ -28,7 +30,7 @@ def refresh(spark: SparkSession, fetched: DataFrame, settings: Settings = Settin
     ship(spark)
     general, typed, chunks = f"{settings.raw_dir}/all_pages", f"{settings.raw_dir}/handbook_pages", f"{settings.processed_dir}/chunks"
     if not skip_main:
-        files.write_json_lines(pages.general_pages(fetched.limit(settings.max_pages), settings.site), general)
+        files.write_json_lines(pages.general_pages(fetched, settings.site), general)
     if not skip_handbook:
         wanted = fetched if not areas else fetched.where(X.code_of(F.col("url"), "course").substr(1, 4).isin(*areas) | (X.page_kind(F.col("url")) == "program"))
         files.write_json_lines(pages.typed_pages(wanted, settings.site), typed)

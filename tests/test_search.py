@@ -162,3 +162,10 @@ def test_refresh_and_stream(spark, tmp_path):
     assert c.read().count() == first["collection"]
     upsert_stream(spark, str(tmp_path / "raw/all_pages"), c, str(tmp_path / "ck"), s).awaitTermination()
     assert c.read().count() == first["collection"]
+
+
+def test_refresh_takes_all_fetched_pages(spark, tmp_path):
+    text = "<title>A</title><main><h1>Head</h1><p>" + "Some words here. " * 10 + "</p></main>"
+    fetched = spark.createDataFrame([(f"https://www.example.edu/p{i}", text + f"<p>Number {i} of them all</p>") for i in range(7)], "url string, html string")
+    s = Settings(raw_dir=str(tmp_path / "raw"), processed_dir=str(tmp_path / "p"), index_dir=str(tmp_path / "i"), site=Site(), max_pages=3)
+    assert refresh(spark, fetched, s)["n_pages"] == 7
