@@ -9,13 +9,15 @@ error is below EPSILON times a known deviation but for one pair in some 30,000.
 
 1. Equal vectors are one class, so copies cost no comparison.
 2. Classes meet in buckets: bands of bits of their codes. The bits of a band grow
-   with the logarithm of the rows, and the number of bands is what the wanted
-   recall at the threshold takes.
+   with the logarithm of the rows, the number of bands is what the wanted recall at
+   the threshold takes, and as many rotations are made as give those bits.
 3. Within a bucket, the estimate and its bound decide which pairs could reach the
-   threshold; these tie classes into candidate groups (a few rows a bucket).
-4. Each candidate group gets its vectors once, in blocks, and the pairs whose
-   bound reaches the threshold are computed anew in double precision. Only these
-   link. Links are counted where they are found and never written pair by pair.
+   threshold; these tie classes into candidate groups. In a large bucket pivots
+   settle what is near them (``graph.linked``).
+4. Each candidate group gets its vectors once, and the pairs whose bound reaches
+   the threshold are computed anew in double precision. Only these link. Links are
+   counted where they are found and never written pair by pair; what lies within
+   half the angle of one vector is counted without being compared.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,19 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, table, written
-from .graph import components, grouped, in_blocks, roots, settle
+from .graph import Relation, components, linked, settle
 
-ROTATIONS, EPSILON, BLOCKS = 8, 4.0, (128, 1024)
+#: Rotations of a stored code, and deviations of its bound.
+ROTATIONS, EPSILON = 8, 4.0
 _FRAMES: dict = {}
 
 
-def frames(dim: int, seed: int = 7) -> np.ndarray:
-    """ROTATIONS random rotations of ``dim`` dimensions, one below the other."""
-    if (dim, seed) not in _FRAMES:
+def frames(dim: int, many: int = ROTATIONS, seed: int = 7) -> np.ndarray:
+    """``many`` random rotations of ``dim`` dimensions, one below the other; more of them begin with the same ones."""
+    if (dim, many, seed) not in _FRAMES:
         rng = np.random.default_rng([seed, dim])
-        turned = [np.linalg.qr(rng.standard_normal((dim, dim))) for _ in range(ROTATIONS)]
-        _FRAMES[dim, seed] = np.concatenate([q * np.sign(np.diag(r)) for q, r in turned])
-    return _FRAMES[dim, seed]
+        turned = [np.linalg.qr(rng.standard_normal((dim, dim))) for _ in range(many)]
+        _FRAMES[dim, many, seed] = np.concatenate([q * np.sign(np.diag(r)) for q, r in turned])
+    return _FRAMES[dim, many, seed]
 
 
 def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +77,60 @@ def may_reach(a: np.ndarray, b: np.ndarray, factors: np.ndarray, threshold: floa
     return estimate + EPSILON * np.sqrt((u[:, None] + v[None, :] + u[:, None] * v[None, :]) / max(1, dim - 1) / 2) >= threshold
 
 
-def bands_for(rows: int, dim: int, threshold: float, recall: float) -> tuple[int, int]:
+def bands_for(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     """Bits a band and bands: buckets of about eight strangers, ``recall`` for a pair at the threshold."""
     agree = 1 - math.acos(min(1.0, threshold)) / math.pi
-    total = ROTATIONS * dim
-    bits = max(1, min(30, total, round(math.log2(max(2, rows) / 8))))
-    while bits > 1 and (need := math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))) * bits > total:
-        bits -= 1  # else the code has too few bits for that many bands
-    return bits, max(1, min(total // bits, math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))))
+    bits = max(1, min(30, round(math.log2(max(2, rows) / 8))))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-(min(agree, 1 - 1e-9) ** bits))))
+
+
+def buckets(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """The bucket of each unit vector in each band."""
+    dim = unit.shape[1]
+    many = max(ROTATIONS, -(-bits * bands // dim))
+    plain = (unit @ frames(dim, many)[: bits * bands].T > 0).reshape(len(unit), bands, bits)
+    return plain @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(bands, dtype=np.int64) << 31) + (np.int64(dim) << 44)
+
+
+class Estimated:
+    """Codes of a group, near if the bound of the estimate reaches ``threshold``; with ``unit`` only if the vectors do."""
+
+    def __init__(self, codes: np.ndarray, factors: np.ndarray, dim: int, threshold: float, unit: np.ndarray | None = None):
+        self.factors, self.threshold, self.unit = factors, threshold, unit
+        self.halves = decode(codes, factors, dim)
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        a, b = self.halves
+        out = may_reach(a[left], b[left], self.factors[left], self.threshold, (a[right], b[right], self.factors[right]))
+        if self.unit is not None:  # compute anew what the bound doesn't settle
+            one, two = out.any(1), out.any(0)
+            out[np.ix_(one, two)] &= self.unit[left[one]] @ self.unit[right[two]].T >= self.threshold
+        return out
+
+    def close(self, one: int, right: np.ndarray) -> np.ndarray:
+        """Half the angle away: angles obey the triangle inequality."""
+        return self.unit[right] @ self.unit[one] >= math.cos(math.acos(min(1.0, self.threshold)) / 2) + 1e-9
+
+
+@dataclass(frozen=True)
+class Codes(Relation):
+    """Rows with ``code`` and ``factors``, and for ``exact`` the vector (``raw``)."""
+
+    threshold: float
+    exact: bool
+
+    def read(self, frame: pd.DataFrame) -> tuple[pd.Series, ...]:
+        return tuple(frame[c].to_numpy() for c in ("code", "factors", "raw" if self.exact else "code"))
+
+    def space(self, items: tuple[np.ndarray, ...], s: int, e: int) -> Estimated:
+        codes, factors, raw = (b"".join(x[s:e]) for x in items)
+        dim = len(items[0][s]) * 8 // ROTATIONS
+        unit = None
+        if self.exact:
+            unit = np.frombuffer(raw, "<f8").reshape(e - s, -1)
+            unit = unit / np.abs(unit).max(1, keepdims=True)
+            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        return Estimated(np.frombuffer(codes, np.uint8).reshape(e - s, -1), np.frombuffer(factors, "<f4").reshape(e - s, 2), dim, self.threshold, unit)
 
 
 def _matrix(values: pd.Series, kind: str) -> np.ndarray:
@@ -111,78 +161,32 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = written(vectors.select(column(vectors, vec_id).cast("long").alias("i"), column(vectors, embedding).alias("x")).mapInPandas(prepare, "vec_id long, key binary, raw binary"), "vectors")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"))
     classes = written(classes, "classes", rows.count(), 2_000)
-    total, widest = classes.agg(F.count("*"), F.max(F.octet_length("raw"))).first()
-    bits, bands = bands_for(total, (widest or 8) // 8, threshold, recall)
+    # Vectors of another length are another space; lengths after the most common hundred take the last one's plan.
+    lengths = classes.groupBy(F.octet_length("raw").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(100).collect()
+    plans = {r.size: bands_for(r.n, threshold, recall) for r in lengths}
+    rare = bands_for(lengths[-1].n if lengths else 2, threshold, recall)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sizes = b["raw"].map(len)
-            for size, own in b.groupby(sizes):
+            for size, own in b.groupby(b["raw"].map(len)):
                 x = _matrix(own["raw"], "<f8").astype(np.float64)
                 x = x / np.abs(x).max(1, keepdims=True)
-                codes, factors = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                plain = np.unpackbits(codes, axis=1, count=ROTATIONS * (size // 8))
-                here = min(bands, plain.shape[1] // bits)
-                keys = plain[:, : here * bits].reshape(len(own), here, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                keys += (np.arange(here, dtype=np.int64) << 31) + (np.int64(size // 8) << 44)
-                yield pd.DataFrame({"key": own["key"].to_numpy(), "code": [c.tobytes() for c in codes], "factors": [f.astype("<f4").tobytes() for f in factors], "buckets": list(keys)})
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                codes, factors = encode(x)
+                yield pd.DataFrame({"key": own["key"].to_numpy(), "code": [c.tobytes() for c in codes], "factors": [f.astype("<f4").tobytes() for f in factors], "buckets": list(buckets(x, *plans.get(size, rare)))})
 
     coded = written(classes.select("key", "raw").mapInPandas(code, "key binary, code binary, factors binary, buckets array<long>"), "codes")
-
-    def tie(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
-        one, two = [], []
-        keys, dims, own = frame["key"].to_numpy(), (frame["bucket"].to_numpy() >> 44), frame["own"].to_numpy()
-        block = frame[["bi", "bj"]].to_numpy()
-        codes, factors = frame["code"].to_numpy(), frame["factors"].to_numpy()
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s < 2:
-                continue
-            f = np.frombuffer(b"".join(factors[s:e]), "<f4").reshape(e - s, 2)
-            a, b = decode(np.frombuffer(b"".join(codes[s:e]), np.uint8).reshape(e - s, -1), f, int(dims[s]))
-            near = may_reach(a, b, f, threshold)
-            if block[s, 0] != block[s, 1]:  # pairs within a block are another task's
-                near &= own[s:e, None] != own[None, s:e]
-            np.fill_diagonal(near, False)
-            if near.any():
-                root = roots(near)
-                tied = np.flatnonzero(root != np.arange(e - s))
-                one += list(keys[s:e][tied])
-                two += list(keys[s:e][root[tied]])
-        return pd.DataFrame({"a": one, "b": two})
-
     met = coded.select("key", "code", "factors", F.explode("buckets").alias("bucket"))
-    ties = written(grouped(in_blocks(met, ["bucket"], F.col("key"), *BLOCKS, bands * total), ["bucket", "bi", "bj"], tie, "a binary, b binary", ("key",)).distinct(), "ties")
-    groups = components(ties)  # of classes that may link
-
-    def link(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        keys, copies, own = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["own"].to_numpy()
-        block, raw, codes, factors = frame[["bi", "bj"]].to_numpy(), frame["raw"].to_numpy(), frame["code"].to_numpy(), frame["factors"].to_numpy()
-        count, root_of = np.zeros(len(frame), np.int64), keys.copy()
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            x = np.frombuffer(b"".join(raw[s:e]), "<f8").reshape(e - s, -1)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            f = np.frombuffer(b"".join(factors[s:e]), "<f4").reshape(e - s, 2)
-            a, b = decode(np.frombuffer(b"".join(codes[s:e]), np.uint8).reshape(e - s, -1), f, x.shape[1])
-            near = may_reach(a, b, f, threshold)
-            if block[s, 0] != block[s, 1]:
-                near &= own[s:e, None] != own[None, s:e]
-            np.fill_diagonal(near, False)
-            again = near.any(1)  # rows with a pair that the bound doesn't settle
-            x = x[again]
-            exact = np.zeros_like(near)
-            exact[np.ix_(again, again)] = x @ x.T >= threshold
-            near &= exact | exact.T
-            count[s:e] = near @ copies[s:e]
-            root_of[s:e] = keys[s:e][roots(near)]
-        return pd.DataFrame({"key": keys, "links": count, "top": root_of, "split": frame["split"]})
-
-    members = groups.join(classes.select(F.col("key").alias("node"), "n", "raw"), "node").join(coded.select(F.col("key").alias("node"), "code", "factors"), "node")
-    linked = written(grouped(in_blocks(members, ["root"], F.col("node"), *BLOCKS, total), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
-    final = settle(classes, linked)
+    sizes = coded.select(F.explode("buckets").alias("bucket"), F.octet_length("code").alias("w")).groupBy("bucket").agg(F.count("*").alias("rows_"), F.sum("w").alias("bytes_"))
+    ties = linked(met, ["bucket"], ["code", "factors"], Codes(threshold, False), sizes)
+    groups = components(written(ties.select(F.col("key").alias("a"), F.col("top").alias("b")).distinct(), "ties")).withColumnRenamed("node", "key")  # of classes that may link
+    members = written(groups.join(classes.select("key", "n", "raw"), "key").join(coded.select("key", "code", "factors"), "key"), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("rows_"), F.sum(F.octet_length("raw")).alias("bytes_"))
+    found = written(linked(members, ["root"], ["raw", "code", "factors"], Codes(threshold, True), sizes, True), "links")
+    final = settle(classes, found)
     out = rows.select("vec_id", "key").join(final, "key", "left")
-    found = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), found.alias("component_id"), F.coalesce(F.col("vec_id") == found, F.lit(False)).alias("kept"))
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

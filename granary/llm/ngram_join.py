@@ -13,17 +13,19 @@ at the threshold that had to go all DEPTH levels down.
 1. Equal texts are one class, so copies cost no comparison.
 2. Nodes are counted before anything but keys moves; nodes of one member end there.
 3. Comparing is by a byte of each token; pairs that agree in as many as the
-   threshold less FOUR deviations tie their classes into candidate groups (a few
-   rows a node).
-4. Each candidate group gets its texts once, in blocks. Its shingle sets are
-   intersected exactly, and only pairs at or above the threshold link. Links are
-   counted where they are found and never written pair by pair.
+   threshold less FOUR deviations tie their classes into candidate groups. In a
+   large node pivots settle what is near them (``graph.linked``).
+4. Each candidate group gets its shingle sets once. They are intersected exactly,
+   and only pairs at or above the threshold link. Links are counted where they are
+   found and never written pair by pair; where only the classes are wanted, links
+   to a pivot are enough.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, column, table, written
-from .graph import components, grouped, in_blocks, roots, settle, small
+from .common import WORD, column, forget, table, written
+from .graph import Relation, components, linked, settle, small
 
 SIZE, DEPTH, LIMIT, FOUR = 128, 3, 256, 4.0
-#: Rows of a block, least and most: of signatures, and of texts.
-BLOCKS, TEXT_BLOCKS = (256, 1024), (64, 256)
 _WORD = regex.compile(WORD)
 _MULTIPLY = np.random.default_rng(11).integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -95,36 +95,115 @@ def runs_for(recall: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
-def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many elements different sets[left] and sets[right] share, exactly: products of incidence matrices, some columns at a time."""
-    out = np.zeros((len(left), len(right)), np.int64)
-    if not len(whole := np.concatenate(sets)):
-        return out
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(whole, kind="stable")
-    whole, owner = whole[order], owner[order]
-    first = np.r_[True, whole[1:] != whole[:-1]]
-    times = np.diff(np.r_[np.flatnonzero(first), len(whole)])
-    column_ = np.cumsum(first) - 1
-    shared = times[column_] > 1  # what only one set has is in no intersection
-    owner, column_ = owner[shared], column_[shared]
-    if len(column_):
-        column_ = np.cumsum(np.r_[0, column_[1:] != column_[:-1]])
-    for start in range(0, int(column_[-1]) + 1 if len(column_) else 0, 4096):
-        a, z = np.searchsorted(column_, [start, start + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[a:z], column_[a:z] - start] = 1
-        out += (part[left] @ part[right].T).astype(np.int64)
-    return out
-
-
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+class Agreeing:
+    """Sketches of a group, near if at least ``least`` bytes agree."""
+
+    def __init__(self, low: np.ndarray, least: int):
+        self.low, self.least = low, least
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        a, b = self.low[left], self.low[right]
+        if len(a) * len(b) <= 1024:
+            return (a[:, None, :] == b[None, :, :]).sum(2) >= self.least
+        same = np.zeros((len(a), len(b)), np.uint8)
+        for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+            same += x[:, None] == y[None, :]
+        return same >= self.least
+
+
+@dataclass(frozen=True)
+class Sketches(Relation):
+    """Rows with a ``sketch``: a byte of each of SIZE tokens."""
+
+    least: int
+
+    def read(self, frame: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), SIZE)
+
+    def space(self, items: np.ndarray, s: int, e: int) -> Agreeing:
+        return Agreeing(items[s:e], self.least)
+
+
+class Intersecting:
+    """Sets of a group as columns of an incidence matrix, near if their Jaccard similarity is at least ``threshold``."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: float):
+        self.threshold, self.size = threshold, np.array([len(x) for x in sets])
+        self.ends = np.r_[0, np.cumsum(self.size)]
+        self.columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.width = int(self.columns.max()) + 1 if len(self.columns) else 0
+
+    def _of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in rows, column) of each element of the sets at ``rows``."""
+        sizes = self.size[rows]
+        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(np.arange(len(rows)), sizes), self.columns[np.repeat(self.ends[rows], sizes) + inner]
+
+    def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many elements sets[left] and sets[right] share, exactly."""
+        if len(left) <= 64:
+            owner, columns = self._of(right)
+            ends, mark, out = np.r_[0, np.cumsum(self.size[right])], np.zeros(self.width, bool), np.zeros((len(left), len(right)), np.int64)
+            for k, i in enumerate(left):
+                own = self.columns[self.ends[i] : self.ends[i + 1]]
+                mark[own] = True
+                total = np.r_[0, np.cumsum(mark[columns])]
+                out[k] = total[ends[1:]] - total[ends[:-1]]
+                mark[own] = False
+            return out
+        (one, a), (two, b) = self._of(left), self._of(right)
+        here = np.zeros((2, self.width), bool)  # what only one side has is in no intersection
+        here[0, a] = here[1, b] = True
+        place, both = np.cumsum(here.all(0)) - 1, here.all(0)
+        out, width = np.zeros((len(left), len(right)), np.float32), int(both.sum())
+        sides = []
+        for owner, columns in ((one, a), (two, b)):
+            owner, columns = owner[both[columns]], place[columns[both[columns]]]
+            order = np.argsort(columns, kind="stable")
+            sides.append((owner[order], columns[order]))
+        for start in range(0, width, 4096):
+            parts = []
+            for (owner, columns), n in zip(sides, out.shape, strict=True):
+                s, e = np.searchsorted(columns, [start, start + 4096])
+                part = np.zeros((n, min(4096, width - start)), np.float32)
+                part[owner[s:e], columns[s:e] - start] = 1
+                parts.append(part)
+            out += parts[0] @ parts[1].T
+        return out.astype(np.int64)
+
+    def alike(self, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+        both = self.shared(left, right)
+        return both >= least * (self.size[left][:, None] + self.size[right][None, :] - both)
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.alike(left, right, self.threshold - 1e-12)
+
+    def close(self, one: int, right: np.ndarray) -> np.ndarray:
+        """Half the distance away: the Jaccard distance is a metric."""
+        return self.alike(np.array([one]), right, (1 + self.threshold) / 2 + 1e-9)[0]
+
+
+@dataclass(frozen=True)
+class Sets(Relation):
+    """Rows with ``shingles``: the distinct hashes of their n-grams."""
+
+    threshold: float
+
+    def read(self, frame: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u8") for x in frame["shingles"]]
+
+    def space(self, items: list[np.ndarray], s: int, e: int) -> Intersecting:
+        return Intersecting(items[s:e], self.threshold)
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995, count: bool = True) -> DataFrame:
     """(doc_id, n_links, class_id, kept, text_key) for each row of ``docs``.
 
     Links are other rows whose sets of word ``n``-grams have a Jaccard similarity
     of ``threshold`` or more; class_id is the smallest doc_id reachable by links,
     itself included, and ``kept`` says that it is the row's own. ``recall`` is the
-    wanted share of found pairs at the threshold; no pair below it links.
+    wanted share of found pairs at the threshold; no pair below it links. Without
+    ``count`` n_links is null: classes need fewer comparisons than counts.
     Texts of fewer than n words have one n-gram, all their words; null texts and
     texts without words link with nothing, not even with each other. Rows that
     repeat a doc_id count one by one. A null doc_id is the smallest only in a
@@ -140,9 +219,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             found = [signature(s).astype("<u4") if x and len(s := shingles(x, n)) else None for x in b["t"]]
             yield pd.DataFrame({"doc_id": b["i"].astype("Int64"), "key": [k if s is not None else None for k, s in zip(b["key"], found, strict=True)], "signature": [None if s is None else s.tobytes() for s in found], "sketch": [None if s is None else s.astype(np.uint8).tobytes() for s in found]})
 
-    rows = written(own.withColumn("key", key).mapInPandas(sign, "doc_id long, key binary, signature binary, sketch binary"), "signatures")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    signed = written(own.withColumn("key", key).mapInPandas(sign, "doc_id long, key binary, signature binary, sketch binary"), "signatures")
+    rows = written(signed.select("doc_id", "key"), "rows")
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes", rows.count(), 2_000)
+    forget(spark, signed)
     runs = runs_for(recall)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,88 +240,56 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             row, node = children(b["node"].to_numpy().astype(np.int64).view(np.uint64), signatures, threshold)
             yield pd.DataFrame({"key": b["key"].to_numpy()[row], "node": node.view(np.int64)})
 
-    signed = classes.select("key", "signature")
-    nodes = written(signed.mapInPandas(start, "key binary, node long"), "nodes")
+    by_key = classes.select("key", "signature")
+    nodes = written(by_key.mapInPandas(start, "key binary, node long"), "nodes")
     leaves = []
     for level in range(1, DEPTH + 1):
         at_most = nodes.count()
         counts = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", at_most // 2, 200_000)
-        nodes = written(nodes.join(small(counts), "node"), "members", at_most, 200_000)
+        members = written(nodes.join(small(counts), "node"), "members", at_most, 200_000)
+        forget(spark, nodes)
+        forget(spark, counts)
         last = level == DEPTH
-        leaves.append(nodes if last else nodes.where(F.col("size") <= LIMIT))
-        large = nodes.where(F.col("size") > LIMIT)
-        if last or not large.head(1):
+        leaves.append(members if last else members.where(F.col("size") <= LIMIT))
+        large = members.where(F.col("size") > LIMIT)
+        if last or large.isEmpty():
             break
-        nodes = written(large.select("key", "node").join(signed, "key").mapInPandas(split, "key binary, node long"), "nodes")
-    met = leaves[0].select("key", "node")
+        nodes = written(large.select("key", "node").join(by_key, "key").mapInPandas(split, "key binary, node long"), "nodes")
+    met = leaves[0].select("key", "node", "size")
     for more in leaves[1:]:
-        met = met.union(more.select("key", "node"))
+        met = met.union(more.select("key", "node", "size"))
     least = math.floor(SIZE * (threshold - FOUR * math.sqrt(threshold * (1 - threshold) / SIZE)))
-
-    def tie(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        one, two = [], []
-        keys, own, block = frame["key"].to_numpy(), frame["own"].to_numpy(), frame[["bi", "bj"]].to_numpy()
-        low = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), SIZE)
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            m = e - s
-            if m < 2:
-                continue
-            part = np.ascontiguousarray(low[s:e])
-            if m <= 32:
-                same = (part[:, None, :] == part[None, :, :]).sum(2)
-            else:
-                same, turned = np.zeros((m, m), np.uint8), np.ascontiguousarray(part.T)
-                for c in turned:
-                    same += c[:, None] == c[None, :]
-            near = same >= least
-            if block[s, 0] != block[s, 1]:
-                near &= own[s:e, None] != own[None, s:e]
-            np.fill_diagonal(near, False)
-            if near.any():
-                root = roots(near)
-                tied = np.flatnonzero(root != np.arange(m))
-                one += list(keys[s:e][tied])
-                two += list(keys[s:e][root[tied]])
-        return pd.DataFrame({"a": one, "b": two})
-
-    met = written(met, "leaves", at_most := sum(x.count() for x in leaves), 200_000)
-    met = in_blocks(met.join(classes.select("key", "sketch"), "key"), ["node"], F.col("key"), *BLOCKS, at_most)
+    sizes = met.select("node", F.col("size").alias("rows_"), (F.col("size") * SIZE).alias("bytes_")).where(F.col("rows_") > 1).distinct()
     # Sorted, a class is tied to the smallest of its component in each node, mostly the same one: few distinct ties.
-    ties = written(grouped(met, ["node", "bi", "bj"], tie, "a binary, b binary", ("key",)).distinct(), "ties")
+    ties = linked(met.join(classes.select("key", "sketch"), "key"), ["node"], ["sketch"], Sketches(least), sizes)
+    ties = written(ties.select(F.col("key").alias("a"), F.col("top").alias("b")).distinct(), "ties")
+    for table_ in leaves:
+        forget(spark, table_)
     groups = components(ties).withColumnRenamed("node", "key")
-    members = written(groups.join(classes.select("key", "n", "rep"), "key"), "groups", tied := groups.count())
-
-    def link(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        parts = []
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            g = frame.iloc[s:e].drop_duplicates("key")  # a text whose doc_id is repeated comes once a row
-            keys, copies, own, cross = g["key"].to_numpy(), g["n"].to_numpy(), g["own"].to_numpy(), g["bi"].iloc[0] != g["bj"].iloc[0]
-            sets = [np.unique(shingles(x, n)) for x in g["t"]]
-            near = np.zeros((len(g), len(g)), bool)
-            left = np.flatnonzero(own == g["bi"].iloc[0]) if cross else np.arange(len(g))
-            right = np.flatnonzero(own == g["bj"].iloc[0]) if cross else left
-            if len(left) and len(right):
-                both = intersections(sets, left, right)
-                size = np.array([len(x) for x in sets])
-                close = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
-                near[np.ix_(left, right)] = close
-                near |= near.T
-            np.fill_diagonal(near, False)
-            parts.append(pd.DataFrame({"key": keys, "links": near @ copies, "top": keys[roots(near)], "split": g["split"].to_numpy()}))
-        return pd.concat(parts, ignore_index=True)
-
-    texts = own.withColumn("key", key).join(small(members), "key").where(F.col("i").eqNullSafe(F.col("rep"))).select("key", "root", "n", "t")
-    linked = written(grouped(in_blocks(texts, ["root"], F.col("key"), *TEXT_BLOCKS, tied), ["root", "bi", "bj"], link, "key binary, links long, top binary, split boolean"), "links")
-    final = settle(classes, linked)
-    out = rows.select("doc_id", "key").join(final, "key", "left")
-    found = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), found.alias("class_id"), F.col("doc_id").eqNullSafe(found).alias("kept"), F.col("key").alias("text_key"))
+    members = written(groups.join(classes.select("key", "n", "rep"), "key"), "groups", groups.count())
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"root": b["root"], "key": b["key"], "n": b["n"], "shingles": [np.unique(shingles(x, n)).astype("<u8").tobytes() for x in b["t"]]})
+
+    # By key and doc_id, so that rows of a text with many copies go to many tasks.
+    texts = own.withColumn("key", key).join(small(members).withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("i").eqNullSafe(F.col("rep")))
+    sets = written(texts.select("root", "key", "n", "t").mapInPandas(gather, "root binary, key binary, n long, shingles binary"), "sets")
+    if members.count() < sets.count():  # rows that repeat a doc_id and its text
+        sets = written(sets.groupBy("root", "key", "n").agg(F.first("shingles").alias("shingles")), "sets")
+    sizes = sets.groupBy("root").agg(F.count("*").alias("rows_"), F.sum(F.octet_length("shingles")).alias("bytes_"))
+    found = written(linked(sets, ["root"], ["shingles"], Sets(threshold), sizes, count), "links")
+    final = settle(classes, found)
+    out = rows.join(final, "key", "left")
+    class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    links = F.coalesce("n_links", F.lit(0).cast("long")) if count else F.lit(None).cast("long")
+    return out.select("doc_id", links.alias("n_links"), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), F.col("key").alias("text_key"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: float) -> DataFrame:
     """``docs`` without the rows that ``jaccard_join`` doesn't keep: of each class its smallest doc_id stays, with all rows that repeat it."""
-    gone = jaccard_join(docs, doc_id, text, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
-    gone = small(written(gone.distinct(), "gone"))
+    gone = jaccard_join(docs, doc_id, text, count=False, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    gone = small(written(gone, "gone"))
     return docs.join(gone, (F.substring(F.unhex(F.sha2(column(docs, text), 256)), 1, 16) == F.col("gone_key")) & column(docs, doc_id).cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
 
 

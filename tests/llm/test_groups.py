@@ -45,19 +45,54 @@ def test_components(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
-def test_blocks_bring_every_pair_together_once(spark):
-    rows = spark.range(700).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("g"), "id")
-    met = defaultdict(int)
-    blocks = defaultdict(list)
-    for r in graph.in_blocks(rows, ["g"], F.col("id"), 50, 100).collect():
-        blocks[r.g, r.bi, r.bj].append(r)
-    for (_, bi, bj), own in blocks.items():
-        assert len(own) < 300
-        for a in own:
-            for b in own:
-                if a.id < b.id and (bi == bj or a.own != b.own):
-                    met[a.id, b.id] += 1
-    assert len(met) == 600 * 599 // 2 and set(met.values()) == {1}
+class Steps(graph.Relation):
+    """Numbers, near if they are at most ``reach`` apart."""
+
+    def __init__(self, reach):
+        self.reach = reach
+
+    def read(self, frame):
+        return np.frombuffer(b"".join(frame["x"]), "<i8")
+
+    def space(self, items, s, e):
+        from types import SimpleNamespace
+
+        own, reach = items[s:e], self.reach
+        return SimpleNamespace(near=lambda a, b: np.abs(own[a][:, None] - own[b][None, :]) <= reach, close=lambda i, b: np.abs(own[b] - own[i]) <= reach / 2)
+
+
+@pytest.mark.parametrize(("reach", "count"), [(40, True), (40, False), (3, True), (3, False), (100_000, True), (100_000, False)])
+def test_large_groups_lose_no_link(spark, monkeypatch, reach, count):
+    """A split group's links and components are those of brute force, whether nearly all or few rows settle at the pivots."""
+    monkeypatch.setattr(graph, "LEAST", 60)
+    monkeypatch.setattr(graph, "MOST", 150)
+    rng = np.random.default_rng(reach)
+    value = np.r_[rng.integers(0, 2500, 700), rng.integers(0, 2500, 30), 10_000]
+    group = np.r_[np.zeros(700, int), np.ones(30, int), 2]
+    copies = rng.integers(1, 4, len(value))
+    rows = [(int(g), i.to_bytes(4, "big"), int(n), int(v).to_bytes(8, "little")) for i, (g, n, v) in enumerate(zip(group, copies, value, strict=True))]
+    df = written(spark.createDataFrame(rows, "g long, key binary, n long, x binary"), "rows")
+    sizes = df.groupBy("g").agg(F.count("*").alias("rows_"), F.sum(F.octet_length("x")).alias("bytes_"))
+    found = written(graph.linked(df, ["g"], ["x"], Steps(reach), sizes, count), "found")
+    near = (np.abs(value[:, None] - value[None, :]) <= reach) & (group[:, None] == group[None, :]) & ~np.eye(len(value), dtype=bool)
+    want = union_find(len(value), [(a, b) for a, b in zip(*np.nonzero(near), strict=True)])
+    classes = df.select("key", F.col("n"), F.col("key").alias("rep"))
+    settled = {int.from_bytes(r.key, "big"): (r.n_links, int.from_bytes(r.component_id, "big")) for r in graph.settle(classes, found).collect()}
+    assert [settled[i][1] for i in range(len(value))] == want
+    if count:
+        assert [settled[i][0] for i in range(len(value))] == (near @ copies + copies - 1).tolist()
+
+
+def test_a_close_group_meets_in_few_rows(spark, monkeypatch):
+    """Rows given to a task beyond the first are in proportion to the group where copies are close."""
+    monkeypatch.setattr(graph, "LEAST", 50)
+    monkeypatch.setattr(graph, "MOST", 100)
+    given = {}
+    for n in (1000, 4000):
+        df = written(spark.range(n).select(F.lit(0).alias("g"), F.unhex(F.hex("id")).alias("key"), F.lit(1).cast("long").alias("n"), F.unhex(F.lit("00" * 8)).alias("x")), "rows")
+        sizes = df.groupBy("g").agg(F.count("*").alias("rows_"), F.sum(F.octet_length("x")).alias("bytes_"))
+        given[n] = graph.linked(df, ["g"], ["x"], Steps(1), sizes, True).count()
+    assert given[4000] <= 4.1 * given[1000]
 
 
 # 5: embeddings
@@ -258,9 +293,11 @@ def test_runs_grow_with_recall_and_depth():
 @given(st.lists(st.lists(st.integers(0, 30), max_size=20), min_size=1, max_size=8))
 def test_intersections_are_exact(lists):
     sets = [np.unique(np.array(x, np.uint64)) for x in lists]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     at = np.arange(len(sets))
-    found = ngram_join.intersections(sets, at, at)
-    assert all(found[i, j] == len(set(x) & set(y)) for i, x in enumerate(lists) for j, y in enumerate(lists) if i != j)
+    assert ngram_join.Intersecting(sets, 0.8).shared(at, at).tolist() == want
+    many = np.arange(65) % len(sets)  # as a product of matrices
+    assert (ngram_join.Intersecting(sets, 0.8).shared(many, at) == np.array(want)[many]).all()
 
 
 # 9: SentencePiece
