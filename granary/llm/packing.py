@@ -1,26 +1,34 @@
 """Best-fit packing: bulk-synchronous best fit over runs of equal lengths.
 
-Documents are range-sorted by length, and so are the gaps that sequences have
-left. Lengths are integers up to the capacity, so both sorted lists are a few
-thousand runs of equal members, whatever the number of documents; a sweep needs
-only how long each run is. A round takes the longest waiting run, sweeps the gaps
-upwards from its length (the successors), and lets each gap take as many of its
-documents as fit. Where more documents want the gaps of a run than it has, ranks
-decide: the first ranks get them, the others go on to the next successor and at
-last to new sequences. Then the gaps are updated and the next round begins. As
-documents go from long to short, the result is that of best fit decreasing.
+Waiting documents and the gaps that sequences have left are two tables of runs:
+documents of one length (by rank), gaps of one room (by sequence). Lengths are
+integers up to the capacity, so the tables have some thousands of rows, whatever
+the number of documents. They are packed in rounds, each a written table:
+
+1. Documents and gaps are range-sorted by size together. Each of RANGES ranges is a
+   task of its own and sweeps its runs from large to small: a run of documents takes
+   its successor, the tightest gap that no longer document of the range has taken,
+   and each gap takes as many of its documents as fit. Where more documents want the
+   gaps of a run than it has, ranks decide: the first ranks get them, the others go
+   on to the next successor. Gaps are updated, and the range is swept again until
+   nothing moves.
+2. What is left of all ranges, documents whose successor lies in another range, is
+   swept in one range.
+3. Documents that fit no gap open sequences, the longest first: all above half of
+   the capacity, and if there are none, in OPEN of as many sequences as the rest
+   takes at least. Then the next round begins. More at once would not wait for the
+   gaps that the longest leave.
 
 Ranks are found without a task that sees a whole run: rows are dealt by length and
-a hash, ranked there, and shifted by the counts of the hashes before. Only the
-counts by length (at most ``capacity`` rows) come to the driver; what it plans is
-a table of segments, which every row then looks up by its length and rank.
+a hash, ranked there, and shifted by the counts of the hashes before. What the
+rounds find is a table of segments, which every row looks up by length and rank.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +41,8 @@ from .token_counts import _byte_of
 
 #: Rows that one (length, hash) cell should have at most, if all rows had one length.
 CELL_ROWS = 100_000
+#: Ranges of a round's first sweep, and the share of the sequences wanted for what is left that a round opens.
+RANGES, OPEN = 8, 0.4
 #: How byte-level BPE cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict = {}
@@ -97,50 +107,111 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end:
     return docs.select(column(docs, doc_id).cast("long").alias("i"), column(docs, text).alias("t")).mapInPandas(run, schema)
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Segments (length, first rank, documents, first sequence, offset, documents a sequence), and the number of sequences.
+GAP, DOCUMENT, SEGMENT, OPENED = range(4)
+#: A gap's size is its room, first its sequence; a document's its length and rank. A segment's ``n`` documents of a length lie ``each`` to a sequence.
+_RUNS = "kind int, size long, first long, n long, sequence long, offset long, each long"
+Run = tuple[int, int]  # the first rank or sequence, and how many
 
-    ``counts``: documents by length, each from 1 to ``capacity``.
-    """
-    segments: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by the room left: runs of sequences (first, how many)
-    sizes: list[int] = []  # the keys of gaps, sorted
-    sequences = 0
-
-    def leave(room: int, first: int, n: int) -> None:
-        if room and n:
-            if room not in gaps:
-                insort(sizes, room)
-                gaps[room] = []
-            gaps[room].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, waiting = 0, counts[length]
-        while waiting:
-            at = bisect_left(sizes, length)  # the successor
-            if at < len(sizes):
-                room = sizes[at]
-                first, n = gaps[room].pop()
-                if not gaps[room]:
-                    del gaps[room]
-                    del sizes[at]
-            else:
-                room, first = capacity, sequences
-                n = -(-waiting // (capacity // length))
-                sequences += n
-            each = room // length
+
+def sweep(documents: dict[int, Run], gaps: dict[int, list[Run]], capacity: int) -> list[tuple]:
+    """One sweep from large to small; both tables are updated. Returns the segments it found."""
+    found, open_, new = [], [], defaultdict(list)
+    for size in sorted({*documents, *gaps}, reverse=True):
+        open_ += [(size, first, n) for first, n in gaps.get(size, ())]
+        rank, waiting = documents.pop(size, (0, 0))
+        while waiting and open_:
+            room, first, n = open_.pop()  # the successor
+            each = room // size
             taken = min(waiting, n * each)
             full, rest = divmod(taken, each)
-            segments.append((length, rank, taken, first, capacity - room, each))
-            leave(room - each * length, first, full)
-            leave(room - rest * length, first + full, 1 if rest else 0)
-            leave(room, first + full + bool(rest), n - full - bool(rest))
+            found.append((SEGMENT, size, rank, taken, first, capacity - room, each))
+            if full:
+                new[room - each * size].append((first, full))
+            if rest:
+                new[room - rest * size].append((first + full, 1))
+            used = full + bool(rest)
+            if n > used:
+                open_.append((room, first + used, n - used))
             rank, waiting = rank + taken, waiting - taken
-    return segments, sequences
+        if waiting:
+            documents[size] = rank, waiting
+    gaps.clear()
+    for room, first, n in open_:
+        new[room].append((first, n))
+    new.pop(0, None)
+    gaps.update(new)
+    return found
+
+
+def opened(documents: dict[int, Run], gaps: dict[int, list[Run]], capacity: int, sequences: int, share: float) -> tuple[list[tuple], int]:
+    """Segments in new sequences, from number ``sequences`` on, and the number of the next one; both tables are updated."""
+    wanted = max(1, int(-(-sum(size * n for size, (_, n) in documents.items()) // capacity) * share))
+    found, start, long = [], sequences, 2 * max(documents) > capacity
+    for size in sorted(documents, reverse=True):
+        left = wanted - (sequences - start)
+        if long and 2 * size <= capacity or not long and left <= 0:
+            break
+        rank, waiting = documents.pop(size)
+        each = capacity // size
+        n = -(-waiting // each) if long else min(left, -(-waiting // each))
+        taken = min(waiting, n * each)
+        full, rest = divmod(taken, each)
+        found.append((SEGMENT, size, rank, taken, sequences, 0, each))
+        for room, first, many in ((capacity - each * size, sequences, full), (capacity - rest * size, sequences + full, int(rest > 0))):
+            if room and many:
+                gaps.setdefault(room, []).append((first, many))
+        sequences += n
+        if waiting > taken:
+            documents[size] = rank + taken, waiting - taken
+    return found, sequences
+
+
+def swept(runs: pd.DataFrame, capacity: int, sequences: int | None = None, share: float = OPEN) -> pd.DataFrame:
+    """The runs of a range after sweeps until nothing moves, and the segments found; with ``sequences`` new ones are opened from that number on."""
+    documents = {size: (first, n) for kind, size, first, n in zip(*(runs[c].tolist() for c in ("kind", "size", "first", "n")), strict=True) if kind == DOCUMENT}
+    gaps: dict[int, list[Run]] = {}
+    for kind, first, size, n in sorted(zip(*(runs[c].tolist() for c in ("kind", "first", "size", "n")), strict=True)):
+        if kind == GAP:
+            gaps.setdefault(size, []).append((first, n))
+    found: list[tuple] = []
+    while documents and gaps and (moved := sweep(documents, gaps, capacity)):
+        found += moved
+    if sequences is not None and documents:
+        new, after = opened(documents, gaps, capacity, sequences, share)
+        found += [*new, (OPENED, 0, 0, after - sequences, 0, 0, 0)]
+    found += [(DOCUMENT, size, first, n, 0, 0, 0) for size, (first, n) in documents.items()]
+    found += [(GAP, size, first, n, 0, 0, 0) for size, own in gaps.items() for first, n in own]
+    return pd.DataFrame(found, columns=[x.split()[0] for x in _RUNS.split(", ")])
+
+
+def segments(runs: DataFrame, capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """(length, first rank, documents, first sequence, offset, documents a sequence) of all documents, and the number of sequences.
+
+    ``runs``: l, n, the number of documents by length, each from 1 to ``capacity``.
+    """
+    spark, sequences, found = runs.sparkSession, 0, []
+    state = runs.select(F.lit(DOCUMENT).alias("kind"), F.col("l").cast("long").alias("size"), *[F.lit(0).cast("long").alias(c) for c in ("first", "sequence", "offset", "each")], F.col("n").cast("long").alias("n"))
+
+    def superstep(state: DataFrame, ranges: int) -> tuple[DataFrame, list]:
+        nonlocal sequences
+        start = sequences if ranges == 1 else None
+        out = state.groupBy(F.floor(F.col("size") * ranges / (capacity + 1)).alias("range")).applyInPandas(lambda own: swept(own, capacity, start), _RUNS)
+        out = written(out, "round")
+        done = out.where(f"kind >= {SEGMENT}").collect()  # some thousands in all rounds
+        sequences += sum(r.n for r in done if r.kind == OPENED)
+        return out.where(f"kind < {SEGMENT}"), [(r.size, r.first, r.n, r.sequence, r.offset, r.each) for r in done if r.kind == SEGMENT]
+
+    ranges = 1  # there are no gaps yet
+    while True:
+        state, new = superstep(state, ranges)
+        found += new
+        if ranges == 1 and state.where(f"kind = {DOCUMENT}").isEmpty():
+            return found, sequences
+        ranges = RANGES if ranges == 1 else 1
 
 
 def pack(items: DataFrame, keys: list[str], capacity: int, length: str = "length") -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset`` (long): as few sequences of ``capacity`` as best fit decreasing makes.
+    """``items`` with ``sequence_id`` and ``offset`` (long): about as few sequences of ``capacity`` as best fit decreasing makes.
 
     Every length is from 1 to ``capacity``; another one, or null, raises
     ValueError. ``keys`` order items of equal length; rows equal in all keys are
@@ -157,13 +228,13 @@ def pack(items: DataFrame, keys: list[str], capacity: int, length: str = "length
     cells = max(64, -(-n // CELL_ROWS))
     items = items.withColumn(cell, F.pmod(F.xxhash64(*[column(items, k) for k in keys]), F.lit(cells)).cast("int"))
     counts = written(items.groupBy(size.alias("l"), F.col(cell).alias("c")).agg(F.count("*").alias("n")), "runs")
-    segments, _ = plan({r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}, capacity)
+    found, _ = segments(counts.groupBy("l").agg(F.sum("n").alias("n")), capacity)
     before = Window.partitionBy("l").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("l", "c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
     inside = Window.partitionBy(size, F.col(cell)).orderBy(*[column(items, k) for k in keys])
     ranked = items.withColumn(rank, F.row_number().over(inside) - 1)
     ranked = ranked.join(shift, (column(ranked, length) == F.col("l")) & (F.col(cell) == F.col("c"))).withColumn(rank, F.col(rank) + F.col(base)).drop("l", "c", base, cell)
-    table_ = spark.sparkContext.broadcast(np.array(segments, np.int64).reshape(-1, 6))
+    table_ = spark.sparkContext.broadcast(np.array(found, np.int64).reshape(-1, 6))
 
     @F.pandas_udf("s long, o long")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
