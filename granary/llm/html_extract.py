@@ -11,6 +11,7 @@ from pages that html_train generates; no page of any table is used.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import io
 import math
@@ -39,17 +40,27 @@ BLOCKS = frozenset(
 #: Which open elements a start tag closes, and which it doesn't look beyond.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 KEEPS_P = frozenset("button option optgroup select caption tbody td tfoot th thead tr legend title summary noscript".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag, quoted values whole. Possessive: no backtracking.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Elements nested deeper count as parts of their parent, as browsers do.
+DEEPEST = 512
+#: Character references of more digits than a code point has.
+_LARGE = re.compile(r"&#(?:0*+[1-9]\d{7,}+);?")
+_ZEROS = re.compile(r"&#0+(?=\d)")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"\w+")
+_DIGIT = re.compile(r"\d")
 _END = re.compile(r"[.!?…:;\"'”’»)\]]$")
 _MODEL: list = []
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    bits: np.ndarray  # of the path, within PATH
+    names: int  # in the path
     parts: list[str] = field(default_factory=list)
     linked: int = 0  # characters within <a>
 
@@ -57,6 +68,67 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+def decoded(text: str) -> str:
+    """``text`` with its character references resolved; numbers beyond Unicode are the replacement character."""
+    if "&" not in text:
+        return text
+    return html_lib.unescape(_ZEROS.sub("&#", _LARGE.sub("\ufffd", text)))
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
+    """(tag, whether it is an end tag, attributes) of each tag in order, and ("", False, text) for what is between.
+
+    Every character is looked at a bounded number of times: a page's first tag
+    whose quotes don't end makes all later tags end at the next ``>``. A tag that
+    doesn't end takes the rest of the page with it, as in browsers. The content of
+    RAW elements is passed over.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    lower = None
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            yield "", False, page[at:start]
+        if start == n:
+            return
+        m = _TAG.match(page, start) if last > start else None
+        if m:
+            rest = _REST.match(page, m.end()) if quotes else None
+            if rest is None:
+                quotes = False
+                end = page.index(">", m.end())
+                attributes, at = page[m.end() : end], end + 1
+            else:
+                attributes, at = rest[1], rest.end()
+            tag, closing = m[1].lower(), page[start + 1] == "/"
+            yield tag, closing, attributes
+            if tag in RAW and not closing:
+                lower = page.translate(_LOWER) if lower is None else lower
+                at = _close(lower, tag, at)
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), start):
+            at = page.index(">", start) + 1 if last > start else n
+        elif _TAG.match(page, start):
+            return
+        else:
+            yield "", False, "<"
+            at = start + 1
+
+
+def _close(page: str, tag: str, at: int) -> int:
+    """Where the end tag of a RAW element begins, or the page's end."""
+    while (at := page.find(f"</{tag}", at)) >= 0:
+        after = at + 2 + len(tag)
+        if after == len(page) or page[after] in " \t\n\r\f/>":
+            return at
+        at = after
+    return len(page)
+
+
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element says of itself: its tag, and the parts of its class, id and role."""
     out = [tag]
@@ -64,7 +136,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
         for m in _ATTRIBUTE.finditer(attributes):
             kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if kind in ("class", "id", "role"):
-                out += [f".{x.lower()}" for x in _PART.findall(html_lib.unescape(value))]
+                out += [f".{x.lower()}" for x in _PART.findall(decoded(value))]
             elif kind == "hidden" or value == "true" or re.search(r"display\s*:\s*none", value):
                 out.append("!hidden")
     return tuple(out)
@@ -73,95 +145,95 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, blank ones left out. Nothing raises: end tags that fit nothing are passed over."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    stack: list[tuple[str, tuple[str, ...], list[int]]] = []
+    open_: dict[str, int] = {}
+    counts, names, bits = np.zeros(PATH, np.int32), 0, None  # of the open elements' names
     current: Block | None = None
-    linked, at, n = False, 0, len(page)
+    linked = False
+
+    def push(tag: str, own: tuple[str, ...]) -> None:
+        nonlocal names, bits
+        at = [i for name in own for i in _bits(name, PATH)]
+        np.add.at(counts, at, 1)
+        names, bits = names + len(own), None
+        open_[tag] = open_.get(tag, 0) + 1
+        stack.append((tag, own, at))
 
     def cut(to: int) -> None:
-        nonlocal path
+        nonlocal names, bits
+        for tag, own, at in stack[to:]:
+            np.add.at(counts, at, -1)
+            names -= len(own)
+            open_[tag] -= 1
         del stack[to:]
-        path = tuple(x for _, names in stack for x in names)
+        bits = None
 
-    def closed(names: set[str] | frozenset[str], beyond: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in beyond:
-                return
-            if stack[i][0] in names:
-                return cut(i)
+    def closed(tags: set[str] | frozenset[str], beyond: set[str]) -> None:
+        if any(open_.get(x) for x in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in beyond:
+                    return
+                if stack[i][0] in tags:
+                    return cut(i)
 
-    while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m[7] is not None:
+    for tag, end, value in tokens(page):
+        if not tag:
             if current is None:
-                current = Block(path)
+                if bits is None:
+                    leaf = _bits("leaf " + stack[-1][1][-1], PATH) if stack else ()
+                    bits = np.r_[np.flatnonzero(counts), leaf].astype(int)
+                current = Block(bits, names)
                 out.append(current)
-            text = html_lib.unescape(m[7])
+            text = decoded(value)
             current.parts.append(text)
             if linked:
                 current.linked += len(text.strip())
-            continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        end, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag == "a":
+        elif tag == "a":
             linked = not end
         elif tag == "br":
             if current is not None:
                 current.parts.append(" ")
         elif tag in RAW and not end:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = close.start() if close else n
-            if tag != "template":
-                current = None if tag in ("textarea", "iframe") else current
+            current = None if tag in ("textarea", "iframe") else current
         elif tag in BLOCKS:
             current = None
             if end:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        cut(i)
-                        break
+                if open_.get(tag):
+                    cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             else:
                 if tag not in KEEPS_P:
                     closed({"p"}, {"button", "td", "th", "div", "section", "article", "aside", "li", "blockquote", "table", "body"})
                 if tag in CLOSES:
                     closed(*CLOSES[tag])
-                if tag not in VOID and not attributes.endswith("/"):
-                    names = _names(tag, attributes)
-                    stack.append((tag, names))
-                    path += names
+                if tag not in VOID and not value.endswith("/") and len(stack) < DEEPEST:
+                    push(tag, _names(tag, value))
     return [b for b in out if b.text()]
 
 
+@functools.lru_cache(1 << 16)
 def _bits(token: str, size: int) -> tuple[int, int]:
     h = zlib.crc32(token.encode())
     return h % size, (h >> 16) * 31 % size
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row of INPUTS a block."""
-    x = np.zeros((len(page), INPUTS), np.float32)
+def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row of INPUTS a block, for the blocks from ``start`` to ``stop``."""
     n = len(page)
-    paths: dict[tuple, list[int]] = {}
-    for k, b in enumerate(page):
+    stop = n if stop is None else min(stop, n)
+    x = np.zeros((stop - start, INPUTS), np.float32)
+    for row, k in enumerate(range(start, stop)):
+        b = page[k]
         text = b.text()
         words = _WORD.findall(text.lower())
         distinct = set(words)
-        if b.path not in paths:
-            bits = [i for name in set(b.path) for i in _bits(name, PATH)]
-            if b.path:
-                bits += _bits("leaf " + b.path[-1], PATH)
-            paths[b.path] = bits
-        x[k, paths[b.path]] = 1
+        x[row, b.bits] = 1
         if words:
             at = [PATH + zlib.crc32(w.encode()) % WORDS for w in distinct]
-            x[k] += np.bincount(at, minlength=INPUTS) / math.sqrt(len(distinct))
+            x[row] += np.bincount(at, minlength=INPUTS) / math.sqrt(len(distinct))
         chars = len(text)
-        x[k, PATH + WORDS :] = (
-            math.log1p(chars) / 8, math.log1p(len(words)) / 6, min(1.0, b.linked / max(1, chars)), bool(_END.search(text)), sum(c.isdigit() for c in text[:200]) / min(200, max(1, chars)),
-            k / n, (n - k) / n, math.log1p(n) / 8, len(words) < 5, len(words) > 25, len(distinct) / (len(words) or 1), len(b.path) / 10,
+        x[row, PATH + WORDS :] = (
+            math.log1p(chars) / 8, math.log1p(len(words)) / 6, min(1.0, b.linked / max(1, chars)), bool(_END.search(text[-4:])), len(_DIGIT.findall(text)) / max(1, chars),
+            k / n, (n - k) / n, math.log1p(n) / 8, len(words) < 5, len(words) > 25, len(distinct) / (len(words) or 1), min(b.names, 40) / 10,
         )
     return x
 
@@ -196,21 +268,32 @@ def read_one_way(x: np.ndarray, mask: np.ndarray, w: np.ndarray, keep: list | No
     return out
 
 
+def gates(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    """What the LSTM's gates get from vectors, for the way forward and the way back."""
+    return np.concatenate([x @ model["xf"] + model["bf"], x @ model["xb"] + model["bb"]], 1)
+
+
 def scores(pages: list[np.ndarray], model: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each page's vectors, the log-odds that its blocks are main text. Pages of like length are read together."""
+    """For each page's vectors, the log-odds that its blocks are main text."""
     model = model or labeller()
+    return _read([gates(x, model) for x in pages], model)
+
+
+def _read(pages: list[np.ndarray], model: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The same for pages' gates. Pages of like length are read together."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
+    width = 4 * HIDDEN
     while order:
         steps = len(pages[order[-1]])
         take = max(1, min(256, 400_000 // steps))  # blocks together
         group, order = order[-take:], order[:-take]
-        x = np.zeros((steps, len(group), INPUTS), np.float32)
+        x = np.zeros((steps, len(group), 2 * width), np.float32)
         mask = np.zeros((steps, len(group)), np.float32)
         for j, k in enumerate(group):
             x[: len(pages[k]), j], mask[: len(pages[k]), j] = pages[k], 1
-        forward = read_one_way(x @ model["xf"] + model["bf"], mask, model["hf"])
-        back = read_one_way((x @ model["xb"] + model["bb"])[::-1], mask[::-1], model["hb"])[::-1]
+        forward = read_one_way(x[..., :width], mask, model["hf"])
+        back = read_one_way(x[::-1, :, width:], mask[::-1], model["hb"])[::-1]
         z = forward @ model["of"] + back @ model["ob"] + model["b"]
         for j, k in enumerate(group):
             out[k] = z[: len(pages[k]), j]
@@ -219,8 +302,10 @@ def scores(pages: list[np.ndarray], model: dict[str, np.ndarray] | None = None)
 
 def main_texts(pages: list[str | None]) -> list[str]:
     """The main text of each page: its blocks in order, one a line. Null and empty pages have none."""
+    model = labeller()
     read = [blocks(p) if p else [] for p in pages]
-    return ["\n".join(b.text() for b, z in zip(own, zs, strict=True) if z > 0) for own, zs in zip(read, scores([vectors(p) for p in read]), strict=True)]
+    seen = [np.concatenate([gates(vectors(p, i, i + 4096), model) for i in range(0, len(p), 4096)]) if p else np.zeros((0, 8 * HIDDEN), np.float32) for p in read]
+    return ["\n".join(b.text() for b, z in zip(own, zs, strict=True) if z > 0 or bare) for own, zs, bare in zip(read, _read(seen, model), (not any(b.names for b in p) for p in read), strict=True)]
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -228,7 +313,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The whole html is read; null counts as empty. White space, no-break spaces
     included, becomes one space within a block, and ``<br>`` counts as white
-    space. Unclosed, crossed and unknown tags don't raise. Pages are read one by
+    space. A page without markup is all main text. Unclosed, crossed and unknown
+    tags don't raise, and take time in proportion to the page. Pages are read one by
     one, so repeated rows get equal texts and an empty table an empty result.
     Where ``pages`` has columns of these names, the new ones get a ``_``.
     """

@@ -141,6 +141,9 @@ class Generator:
         r.shuffle(before)
         if r.random() < 0.3:
             r.shuffle(after)
+        if r.random() < 0.04:  # bare text, with or without a body around it
+            text = self.out(self.prose(1, 12).translate({60: None, 62: None, 47: None}), True)
+            return r.choice([text, text, f"<html><body>{text}</body></html>", f"<body>{text}", f"<pre>{text}</pre>", f"<p>{text}", f"<div>{text}</div>"])
         k, body = r.random(), self.article()
         if k < 0.55:
             body = "<article>" + body + (self.junk("comments") if r.random() < 0.1 else "") + "</article>"
