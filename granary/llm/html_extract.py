@@ -48,7 +48,7 @@ DEEPEST = 512
 #: Character references of more digits than a code point has.
 _LARGE = re.compile(r"&#(?:0*+[1-9]\d{7,}+);?")
 _ZEROS = re.compile(r"&#0+(?=\d)")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"\w+")
@@ -59,7 +59,7 @@ _MODEL: list = []
 
 @dataclass
 class Block:
-    bits: np.ndarray  # of the path, within PATH
+    bits: list[int]  # of the path, within PATH
     names: int  # in the path
     parts: list[str] = field(default_factory=list)
     linked: int = 0  # characters within <a>
@@ -84,7 +84,6 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
     RAW elements is passed over.
     """
     at, n, last, quotes = 0, len(page), page.rfind(">"), True
-    lower = None
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -105,8 +104,8 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
             tag, closing = m[1].lower(), page[start + 1] == "/"
             yield tag, closing, attributes
             if tag in RAW and not closing:
-                lower = page.translate(_LOWER) if lower is None else lower
-                at = _close(lower, tag, at)
+                close = _CLOSE[tag].search(page, at)
+                at = close.start() if close else n
         elif page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = n if end < 0 else end + 3
@@ -119,16 +118,6 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
             at = start + 1
 
 
-def _close(page: str, tag: str, at: int) -> int:
-    """Where the end tag of a RAW element begins, or the page's end."""
-    while (at := page.find(f"</{tag}", at)) >= 0:
-        after = at + 2 + len(tag)
-        if after == len(page) or page[after] in " \t\n\r\f/>":
-            return at
-        at = after
-    return len(page)
-
-
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element says of itself: its tag, and the parts of its class, id and role."""
     out = [tag]
@@ -147,14 +136,16 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], list[int]]] = []
     open_: dict[str, int] = {}
-    counts, names, bits = np.zeros(PATH, np.int32), 0, None  # of the open elements' names
+    counts: dict[int, int] = {}  # of the open elements' names, by bit
+    names, bits = 0, None
     current: Block | None = None
     linked = False
 
     def push(tag: str, own: tuple[str, ...]) -> None:
         nonlocal names, bits
         at = [i for name in own for i in _bits(name, PATH)]
-        np.add.at(counts, at, 1)
+        for i in at:
+            counts[i] = counts.get(i, 0) + 1
         names, bits = names + len(own), None
         open_[tag] = open_.get(tag, 0) + 1
         stack.append((tag, own, at))
@@ -162,7 +153,11 @@ def blocks(page: str) -> list[Block]:
     def cut(to: int) -> None:
         nonlocal names, bits
         for tag, own, at in stack[to:]:
-            np.add.at(counts, at, -1)
+            for i in at:
+                if counts[i] == 1:
+                    del counts[i]
+                else:
+                    counts[i] -= 1
             names -= len(own)
             open_[tag] -= 1
         del stack[to:]
@@ -180,8 +175,7 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             if current is None:
                 if bits is None:
-                    leaf = _bits("leaf " + stack[-1][1][-1], PATH) if stack else ()
-                    bits = np.r_[np.flatnonzero(counts), leaf].astype(int)
+                    bits = [*counts, *(_bits("leaf " + stack[-1][1][-1], PATH) if stack else ())]
                 current = Block(bits, names)
                 out.append(current)
             text = decoded(value)
@@ -228,8 +222,8 @@ def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> np.nd
         distinct = set(words)
         x[row, b.bits] = 1
         if words:
-            at = [PATH + zlib.crc32(w.encode()) % WORDS for w in distinct]
-            x[row] += np.bincount(at, minlength=INPUTS) / math.sqrt(len(distinct))
+            at = [zlib.crc32(w.encode()) % WORDS for w in distinct]
+            x[row, PATH : PATH + WORDS] = np.bincount(at, minlength=WORDS) / math.sqrt(len(distinct))
         chars = len(text)
         x[row, PATH + WORDS :] = (
             math.log1p(chars) / 8, math.log1p(len(words)) / 6, min(1.0, b.linked / max(1, chars)), bool(_END.search(text[-4:])), len(_DIGIT.findall(text)) / max(1, chars),
