@@ -9,8 +9,10 @@ and gives a struct.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -58,15 +60,15 @@ class Node:
             else:
                 stack += reversed(x.children)
 
-    def find(self, fits: Callable[[Node], bool]) -> Node | None:
-        return next((x for x in self.walk() if fits(x)), None)
-
     def text(self, between: str = "") -> str:
         return between.join(self.strings())
 
     def stripped(self) -> str:
         return "".join(y for x in self.strings() if (y := x.strip()))
 
+    def find(self, fits: Callable[[Node], bool]) -> Node | None:
+        return next((x for x in self.walk() if fits(x)), None)
+
     def drop(self, fits: Callable[[Node], bool]) -> None:
         """Remove subtrees."""
         stack = [self]
@@ -75,32 +77,95 @@ class Node:
             node.children = [x for x in node.children if isinstance(x, str) or not fits(x)]
             stack += [x for x in node.children if isinstance(x, Node)]
 
-    def above(self, fits: Callable[[Node], bool]) -> Node | None:
-        node = self.parent
-        while node is not None and not fits(node):
-            node = node.parent
-        return node
 
-    def next_element(self) -> Node | None:
-        if self.parent is None:
-            return None
-        after = self.parent.children[self.parent.children.index(self) + 1 :]
-        return next((x for x in after if isinstance(x, Node)), None)
+class Tree:
+    """The elements below a node in document order, and where each one's strings lie among all strings.
+
+    Made in one pass; texts are slices of what is joined once.
+    """
+
+    def __init__(self, root: Node):
+        self.nodes, self.raw, self.index = [], [], {}
+        self.following: dict[int, int] = {}  # the next element with the same parent, by id
+        self.first, self.after, self.up = [], [], []  # of a node: its strings, and its parent's position
+        stack: list[tuple[Node | str | int, int]] = [(root, -1)]
+        while stack:
+            x, up = stack.pop()
+            if isinstance(x, str):
+                self.raw.append(x)
+            elif isinstance(x, int):
+                self.after[x] = len(self.raw)
+            else:
+                at = self.index[id(x)] = len(self.nodes)
+                self.nodes.append(x)
+                self.first.append(len(self.raw))
+                self.after.append(0)
+                self.up.append(up)
+                stack.append((at, 0))
+                stack += [(y, at) for y in reversed(x.children)]
+                elements = [id(y) for y in x.children if isinstance(y, Node)]
+                self.following.update(zip(elements, elements[1:], strict=False))
+        bare = [x.strip() for x in self.raw]
+        self.joined, self.ends = "".join(bare), [0, *accumulate(map(len, bare))]
+        self.breaks = [m.start() for m in re.finditer("\n", self.joined)]
+        small = [x.lower() for x in bare]
+        self.small, self.small_ends = "".join(small), [0, *accumulate(map(len, small))]
+
+    def strings(self, at: int) -> list[str]:
+        return self.raw[self.first[at] : self.after[at]]
+
+    def span(self, at: int) -> tuple[int, int]:
+        """Where an element's text lies in ``joined``."""
+        return self.ends[self.first[at]], self.ends[self.after[at]]
+
+    def stripped(self, at: int) -> str:
+        start, end = self.span(at)
+        return self.joined[start:end]
+
+    def broken(self, start: int, end: int) -> bool:
+        """Whether a line ends in ``joined[start:end]``."""
+        return bisect_left(self.breaks, start) < bisect_left(self.breaks, end)
+
+    def saying(self, name: str, tags: frozenset[str]) -> Iterator[int]:
+        """Elements of these tags whose text has ``name``, case aside, in document order."""
+        name = name.lower()
+        starts = [m.start() for m in re.finditer(f"(?={re.escape(name)})", self.small)]
+        for at, node in enumerate(self.nodes):
+            if node.tag in tags:
+                start, end = self.small_ends[self.first[at]], self.small_ends[self.after[at]]
+                k = bisect_left(starts, start)
+                if k < len(starts) and starts[k] + len(name) <= end:
+                    yield at
+
+    def around(self, pattern: str) -> list[int]:
+        """For each element the nearest one above it with a class that fits, or -1."""
+        fits = re.compile(pattern, re.I)
+        out: list[int] = []
+        for up in self.up:
+            out.append(-1 if up < 0 else up if any(map(fits.search, self.nodes[up].classes)) else out[up])
+        return out
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, int] = {}  # open elements by tag
 
     def _close(self, tags: set[str] | frozenset[str], within: set[str]) -> None:
         node = self.at
-        while node.parent is not None and node.tag not in within:
+        while any(self.open.get(t) for t in tags) and node.parent is not None and node.tag not in within:
             if node.tag in tags:
-                self.at = node.parent
-                return
+                return self._up(node)
             node = node.parent
 
+    def _up(self, node: Node) -> None:
+        """Close ``node`` and what is open within it."""
+        end = node.parent
+        while self.at is not end:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS_P:
             self._close({"p"}, {"table", "button"})
@@ -110,18 +175,18 @@ class _Builder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent or self.at
+            self._up(self.at)
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
-        while node.parent is not None:
+        while self.open.get(tag):
             if node.tag == tag:
-                self.at = node.parent
-                return
+                return self._up(node)
             node = node.parent
 
     def handle_data(self, data: str) -> None:
@@ -145,24 +210,31 @@ def cleaned(text: str) -> str:
     return "\n".join(out)
 
 
+HEADINGS, TEXTS = frozenset("h1 h2 h3 h4".split()), frozenset("p li td dd dt span div".split())
+
+
 def sections(root: Node, mode: str = "all") -> list[tuple[str, str]]:
     """(heading, content) in document order. ``all`` takes text of nested elements once for each; ``leaf`` once."""
-    out: list[tuple[str, str]] = []
-    heading, held = "", []
+    tree, out, held = Tree(root), [], []
+    heading, last = "", None
+    inner = [False] * len(tree.nodes)  # has a text element below it
+    for at in range(len(tree.nodes) - 1, 0, -1):
+        if up := tree.up[at]:
+            inner[up] = inner[up] or inner[at] or tree.nodes[at].tag in TEXTS
 
     def done() -> None:
         if text := cleaned("\n".join(held)):
             out.append((heading, text))
 
-    for node in root.walk():
-        if node.tag in ("h1", "h2", "h3", "h4"):
+    for at, node in enumerate(tree.nodes[1:], 1):
+        if node.tag in HEADINGS:
             done()
-            heading, held = node.stripped(), []
-        elif node.tag in ("p", "li", "td", "dd", "dt", "span", "div"):
-            if mode == "leaf" and node.find(lambda x: x.tag in ("p", "li", "td", "dd", "dt", "span", "div")):
-                continue
-            if len(text := node.stripped()) > 10:
-                held.append(text)
+            heading, held, last = tree.stripped(at), [], None
+        elif node.tag in TEXTS and not (mode == "leaf" and inner[at]):
+            start, end = span = tree.span(at)
+            if end - start > 10 and (span != last or tree.broken(start, end)):  # a line that repeats the one before goes anyway
+                held.append(tree.joined[start:end])
+                last = span
     done()
     return out
 
@@ -203,25 +275,44 @@ def read_page(html: str | None, brand: str, mode: str = "all") -> dict:
     }
 
 
-def named_section(root: Node, name: str) -> str:
-    """The text of the accordion, card or section that a heading of that name stands in, or of the element with such a test id."""
-    for node in root.walk():
-        if node.tag in ("h2", "h3", "h4", "button", "div") and name.lower() in (label := node.stripped()).lower():
-            around = node.above(lambda x: any(map(_named("Accordion|Card|Section|ReadMore"), x.classes)))
-            if around is not None and len(found := cleaned(around.text("\n")).replace(label, "", 1).strip()) > 20:
-                return found
-    el = root.find(lambda x: _named(name)(x.attributes.get("data-testid", "")) if "data-testid" in x.attributes else False)
-    return cleaned(el.text("\n")) if el else ""
+PARTS = frozenset("h2 h3 h4 button div".split())
 
 
-def attribute(root: Node, name: str) -> str:
-    """The text of the element after the one that has a string with that name."""
-    says = _named(name)
-    for node in [root, *root.walk()]:
-        if any(isinstance(x, str) and says(x) for x in node.children) and (after := node.next_element()) is not None:
-            if (value := after.stripped()) and len(value) < 200:
-                return value
-    return ""
+class Catalogue:
+    """A catalogue page, read by the names of its parts and attributes."""
+
+    def __init__(self, root: Node):
+        self.tree = Tree(root)
+        self.frames = self.tree.around("Accordion|Card|Section|ReadMore")
+        self.contents: dict[int, str] = {}
+
+    def content(self, at: int) -> str:
+        if at not in self.contents:
+            self.contents[at] = cleaned("\n".join(self.tree.strings(at)))
+        return self.contents[at]
+
+    def part(self, name: str) -> str:
+        """What stands in the frame (accordion, card or section) of the first element that says ``name`` and whose frame says more.
+
+        Failing that, the text of the first element with such a test id.
+        """
+        framed = ((at, self.frames[at]) for at in self.tree.saying(name, PARTS) if self.frames[at] >= 0)
+        texts = (self.content(frame).replace(self.tree.stripped(at), "", 1).strip() for at, frame in framed)
+        if found := next((x for x in texts if len(x) > 20), ""):
+            return found
+        says = _named(name)
+        marked = (at for at, x in enumerate(self.tree.nodes) if says(x.attributes.get("data-testid", "")))
+        return next(map(self.content, marked), "")
+
+    def value(self, *names: str) -> str:
+        """What follows the first string that says one of ``names``, taken in turn: a short text of the next element."""
+        followed = [x for x in self.tree.nodes if id(x) in self.tree.following]
+        for says in map(_named, names):
+            said = (x for x in followed if any(isinstance(y, str) and says(y) for y in x.children))
+            values = (self.tree.stripped(self.tree.index[self.tree.following[id(x)]]) for x in said)
+            if found := next((v for v in values if 0 < len(v) < 200), ""):
+                return found
+        return ""
 
 
 #: Named parts of catalogue pages and the labels they get.
@@ -236,9 +327,9 @@ def read_typed_page(html: str | None, kind: str) -> dict:
     title = head.stripped() if head else ""
     if not title and (el := root.find(lambda x: x.tag == "title")):
         title = re.sub(r"^Handbook\s*[-–—]\s*", "", el.stripped())
-    parts = [f"{label}: {text}" for name, label in (COURSE_PARTS if kind == "course" else PROGRAM_PARTS) if (text := named_section(root, name))]
-    get = lambda *names: next((v for n in names if (v := attribute(root, n))), "")
-    out = {"title": title, "faculty": get("Faculty"), "school": get("School"), "offering_terms": get("Offering Terms", "Term"), "duration": get("Duration")}
+    page = Catalogue(root)
+    parts = [f"{label}: {text}" for name, label in (COURSE_PARTS if kind == "course" else PROGRAM_PARTS) if (text := page.part(name))]
+    out = {"title": title, "faculty": page.value("Faculty"), "school": page.value("School"), "offering_terms": page.value("Offering Terms", "Term"), "duration": page.value("Duration")}
     if not parts and (body := root.find(lambda x: x.tag == "main") or root.find(lambda x: x.tag == "body")):
         body.drop(lambda x: x.tag in {"script", "style", "nav", "footer", "header"})
         parts = [text] if (text := cleaned(body.text("\n"))) else []

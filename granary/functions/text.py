@@ -158,20 +158,49 @@ def escape_html(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def _inline(c: Column) -> Column:
+    """Strong and emphasized runs, and links to the web or within the site."""
+    c = F.regexp_replace(c, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    c = F.regexp_replace(c, r"\*([^*\s][^*]*)\*", "<em>$1</em>")
+    return F.regexp_replace(c, r"""\[([^\[\]]+)\]\(((?:https?://|/|#)[^()\s"]*)\)""", '<a href="$2" target="_blank" rel="noopener">$1</a>')
+
+
+def _spans(line: Column) -> Column:
+    """A line with its inline parts; what stands between two backticks is code and nothing else."""
+    parts = F.split(line, "`", -1)
+    last = F.size(parts) - 1
+
+    def part(x: Column, i: Column) -> Column:
+        alone = F.concat(F.lit("`"), _inline(x))  # a backtick that no other one closes
+        return F.when(i % 2 == 0, _inline(x)).when(i == last, alone).otherwise(F.concat(F.lit("<code>"), x, F.lit("</code>")))
+
+    return F.array_join(F.transform(parts, part), "")
+
+
+#: What a line is, by its beginning; the line without it is what it says.
+MARKS = (("h1", r"^# (?=.)"), ("h2", r"^## (?=.)"), ("h3", r"^### (?=.)"), ("ul", r"^[-*] (?=.)"), ("ol", r"^\d+\. (?=.)"))
+
+
 def render_markdown(c: Column) -> Column:
-    """Headings, emphasis, code, links, lists and paragraphs of a small Markdown as HTML."""
-    out = escape_html(F.coalesce(c, F.lit("")))
-    for pattern, by in (
-        (r"(?m)^### (.+)$", "<h3>$1</h3>"), (r"(?m)^## (.+)$", "<h2>$1</h2>"), (r"(?m)^# (.+)$", "<h1>$1</h1>"),
-        (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"\*(.+?)\*", "<em>$1</em>"), (r"`(.+?)`", "<code>$1</code>"),
-        (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2" target="_blank" rel="noopener">$1</a>'),
-        (r"(?m)^[-*] (.+)$", "<li>$1</li>"), (r"((?:<li>.*</li>\n?)+)", "<ul>$1</ul>"), (r"(?m)^\d+\. (.+)$", "<li>$1</li>"),
-    ):
-        out = F.regexp_replace(out, pattern, by)
-    out = F.concat(F.lit("<p>"), F.replace(out, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>"))
-    for pattern, by in ((r"([^>])\n([^<])", "$1<br>$2"), (r"<p>\s*</p>", ""), (r"<p>(<[hul])", "$1"), (r"(</[hul]\d?>)</p>", "$1")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(out)
+    """A small Markdown as HTML: each line is a heading, an item of a list, blank, or text.
+
+    Items that follow each other are one list, ``<ol>`` if they are numbered, and
+    lines of text one paragraph with ``<br>`` between them. Null and blank texts are empty.
+    """
+    lines = F.split(escape_html(F.coalesce(c, F.lit(""))), r"\r?\n", -1)
+    kind = lambda x: reduce(lambda out, m: out.when(x.rlike(m[1]), m[0]), MARKS, F.when(F.trim(x) == "", "")).otherwise("p")
+    kinds = F.transform(lines, kind)
+    tag = lambda name, end="": F.when(name == "", "").otherwise(F.concat(F.lit(f"<{end}"), name, F.lit(">")))
+
+    def rendered(line: Column, i: Column) -> Column:
+        own, before = F.get(kinds, i), F.when(i > 0, F.get(kinds, i - 1)).otherwise("")
+        goes_on = (own == before) & own.isin("ul", "ol", "p")
+        said = _spans(reduce(lambda x, m: F.when(own == m[0], F.regexp_replace(line, m[1], "")).otherwise(x), MARKS, line))
+        item = F.when(own.isin("ul", "ol"), F.concat(F.lit("<li>"), said, F.lit("</li>"))).when(own == "", "").otherwise(said)
+        between = F.when(goes_on & (own == "p"), "<br>").when(goes_on, "").otherwise(F.concat(tag(before, "/"), tag(own)))
+        return F.concat(between, item)
+
+    return F.concat(F.array_join(F.transform(lines, rendered), ""), tag(F.element_at(kinds, -1), "/"))
 
 
 def response_time(ms: Column) -> Column:

@@ -19,7 +19,7 @@ def _metadata(heading: Column, index: Column, kind: Column) -> Column:
     return F.struct(F.col("url"), _text("title").alias("title"), heading.alias("section_heading"), trail.alias("breadcrumbs"), index.cast("int").alias("chunk_index"), kind.cast("string").alias("content_type"))
 
 
-def chunk_typed_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def chunk_typed_pages(pages: DataFrame, settings: Settings = Settings(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of course and program pages: whole if short, else their content in pieces, each below the header."""
     line = lambda label, name, end="": F.when(_text(name) != "", F.concat(F.lit(label), F.col(name), F.lit(end)))
     level = F.when(_text("level") != "", F.concat(F.lit("Level: "), F.initcap("level")))
@@ -29,14 +29,14 @@ def chunk_typed_pages(pages: DataFrame, settings: Settings = Settings()) -> Data
     base = pages.withColumn("header", header).withColumn("whole", F.concat("header", F.lit("\n\n"), _text("content")))
     short = F.char_length("whole") <= 3 * settings.chunk_size
     kind = F.col("type")
-    atomic = base.where(short).select(X.chunk_id(F.col("url"), F.lit("atomic_0")).alias("id"), X.strip(F.col("whole")).alias("text"), _metadata(F.lit(""), F.lit(0), kind).alias("metadata"))
+    atomic = base.where(short).select(X.chunk_id(F.col("url"), F.lit("atomic_0")).alias("id"), X.strip(F.col("whole")).alias("text"), _metadata(F.lit(""), F.lit(0), kind).alias("metadata"), *carry)
     pieces = base.where(~short).select("*", F.posexplode(split(_text("content"), settings.chunk_size, settings.chunk_overlap)).alias("i", "piece"))
     pieces = pieces.where(F.char_length(X.strip(F.col("piece"))) >= settings.min_chunk)
-    parts = pieces.select(X.chunk_id(F.col("url"), F.concat(F.lit("hb_"), F.col("i"))).alias("id"), F.concat("header", F.lit("\n\n"), X.strip(F.col("piece"))).alias("text"), _metadata(F.lit(""), F.col("i"), kind).alias("metadata"))
+    parts = pieces.select(X.chunk_id(F.col("url"), F.concat(F.lit("hb_"), F.col("i"))).alias("id"), F.concat("header", F.lit("\n\n"), X.strip(F.col("piece"))).alias("text"), _metadata(F.lit(""), F.col("i"), kind).alias("metadata"), *carry)
     return atomic.unionByName(parts)
 
 
-def chunk_general_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def chunk_general_pages(pages: DataFrame, settings: Settings = Settings(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of each section; of the whole content where a page has no sections.
 
     A chunk's index counts the chunks that a page keeps, over its sections. A
@@ -55,17 +55,17 @@ def chunk_general_pages(pages: DataFrame, settings: Settings = Settings()) -> Da
 
     rows = rows.select("*", F.posexplode(F.flatten(F.transform("parts", kept))).alias("k", "chunk"))
     heading = F.col("chunk.heading")
-    by_section = rows.select(X.chunk_id(F.col("url"), F.concat(heading, F.lit("_"), F.col("chunk.i"))).alias("id"), F.col("chunk.t").alias("text"), _metadata(heading, F.col("k"), F.lit(None)).alias("metadata"))
+    by_section = rows.select(X.chunk_id(F.col("url"), F.concat(heading, F.lit("_"), F.col("chunk.i"))).alias("id"), F.col("chunk.t").alias("text"), _metadata(heading, F.col("k"), F.lit(None)).alias("metadata"), *carry)
     plain = base.where(~F.col("has_sections") & (F.char_length(_text("content")) >= settings.min_chunk)).select("*", F.posexplode(split(_text("content"), settings.chunk_size, settings.chunk_overlap)).alias("i", "piece"))
     plain = plain.where(F.char_length(X.strip(F.col("piece"))) >= settings.min_chunk)
-    whole = plain.select(X.chunk_id(F.col("url"), F.col("i")).alias("id"), X.strip(F.col("piece")).alias("text"), _metadata(F.lit(""), F.col("i"), F.lit(None)).alias("metadata"))
+    whole = plain.select(X.chunk_id(F.col("url"), F.col("i")).alias("id"), X.strip(F.col("piece")).alias("text"), _metadata(F.lit(""), F.col("i"), F.lit(None)).alias("metadata"), *carry)
     return by_section.unionByName(whole)
 
 
-def chunk_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Chunks of all pages, each by its type."""
+def chunk_pages(pages: DataFrame, settings: Settings = Settings(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of all pages, each by its type, with the columns ``carry`` of their page."""
     typed = F.coalesce(F.col("type").isin("course", "program"), F.lit(False))
-    return chunk_general_pages(pages.where(~typed), settings).unionByName(chunk_typed_pages(pages.where(typed), settings))
+    return chunk_general_pages(pages.where(~typed), settings, carry).unionByName(chunk_typed_pages(pages.where(typed), settings, carry))
 
 
 def chunk_statistics(pages: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.functions.html import join_urls
+from granary.runtime import shared_path
 
 
 def resolved(src: Column, href: Column) -> Column:
@@ -48,12 +49,9 @@ def crawl_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, max_pag
     none is given), so a lost executor costs a round at most.
     """
     spark = edges.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
     def kept(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.persist()
-        path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/crawl-{uuid.uuid4().hex}"
+        path = f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}" if folder else shared_path(spark, "crawl")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

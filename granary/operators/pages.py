@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.config import Site
 from granary.functions import html as H
 from granary.functions import text as X
+from granary.operators.vectors import latest
 
 
 def html_only(fetched: DataFrame, content_type: str = "content_type") -> DataFrame:
@@ -23,6 +24,22 @@ def fresh_responses(fetched: DataFrame, hours: int = 24, fetched_at: str = "fetc
     return fetched.where(F.col(fetched_at) > F.current_timestamp() - F.expr(f"INTERVAL {int(hours)} HOURS"))
 
 
+def usable(fetched: DataFrame, hours: int | None = None) -> DataFrame:
+    """What a crawl would have kept, by the columns that ``fetched`` has.
+
+    Responses of HTML (``content_type``) that succeeded (``status``), of one url the
+    last (``fetched_at``), and with ``hours`` no older ones. Null statuses and types
+    are left out.
+    """
+    if "content_type" in fetched.columns:
+        fetched = html_only(fetched)
+    if "status" in fetched.columns:
+        fetched = succeeded(fetched)
+    if "fetched_at" in fetched.columns:
+        fetched = latest(fetched if hours is None else fresh_responses(fetched, hours), "url", "fetched_at")
+    return fetched
+
+
 def general_pages(fetched: DataFrame, site: Site, mode: str = "all") -> DataFrame:
     """Page records of ``fetched`` (url, html): urls to be skipped and pages without content are left out.
 

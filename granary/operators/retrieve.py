@@ -38,21 +38,21 @@ def fuse(by_vector: DataFrame, by_words: DataFrame, n: int | None = None, vector
     return out.select("first.text", "first.metadata", "score", "vector_rank", "bm25_rank", "rank")
 
 
-def hybrid_search(docs: DataFrame, query: str, n: int = 5, id: str = "id", text: str = "text", metadata: str = "metadata", has_words: bool = True, digits: int | None = None) -> DataFrame:
-    """The n best documents for a query by words and by hashed embedding, fused. Without a lexical list, by embedding alone."""
-    from pyspark.sql import Window
+def hybrid_search(index: lexical.Bm25Index | None, collection: DataFrame, query: str, n: int = 5, vector: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """The n best results for a question: the ``index``'s by words and the ``collection``'s by embedding, fused.
 
+    Both are read as they were stored; only the question is tokenized and embedded.
+    ``vector`` is its embedding (one row, ``query``); without one it is the hashed
+    one, whose collection has unit vectors. Without an index, by embedding alone.
+    The index keeps rows with equal ids apart, each with its own text and metadata.
+    """
     k = candidates(n)
-    near = vectors.hashed_similarity(docs, query, id, text)
-    if digits is not None:
-        near = near.withColumn("similarity", F.round("similarity", digits))
-    near = near.orderBy(F.desc("similarity"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))
-    scored = lexical.scan_scores(docs, query, id, text) if has_words else near.where("false").withColumn("score", F.lit(0.0))
-    words = lexical.top_k(scored, k, digits)
-    meta = docs.select(F.col(id).alias("id"), F.col(metadata).alias("metadata"))
-    late = lambda df: meta.join(F.broadcast(df), "id") if metadata != id else df.withColumn("metadata", F.col("id"))  # noqa: E731  metadata of the k that are left
-    return fuse(late(near), late(words), n, digits=digits)
+    near = vectors.search(collection, vectors.embedded_query(collection.sparkSession, query) if vector is None else vector, k, digits=digits, unit=vector is None)
+    words = lexical.search(index, query, k, digits) if index is not None else near.where("false")
+    return fuse(near, words, n, digits=digits)
 
 
-def vector_only_search(collection: DataFrame, query: list[float], n: int = 5) -> DataFrame:
-    return vectors.search(collection, query, n)
+def vector_only_search(collection: DataFrame, query: str | list[float] | DataFrame, n: int = 5, digits: int | None = None) -> DataFrame:
+    """The n results nearest to a question, or to its embedding."""
+    plain = isinstance(query, str)
+    return vectors.search(collection, vectors.embedded_query(collection.sparkSession, query) if plain else query, n, digits=digits, unit=plain)

@@ -33,86 +33,139 @@ def embed_with(df: DataFrame, load: Callable[[], Embedder], name: str, text: str
     return df.withColumn("embedding", run(F.col(text))).withColumn("embedding", V.normalized(F.col("embedding")))
 
 
+def _counts(text: Column, dimensions: int = V.DIMENSIONS) -> Column:
+    """How often the terms of each hash occur: (b, n) of the dimensions that occur, in order.
+
+    Sorted, equal dimensions are neighbours: a run's length is the distance between its ends.
+    """
+    m = F.sort_array(F.transform(tokens(text), lambda t: V.bucket(t, dimensions)))
+    ends = lambda m: F.filter(F.transform(m, lambda x, i: F.struct(x.alias("b"), i.alias("i"))), lambda p: F.get(m, p.i + 1).isNull() | (F.get(m, p.i + 1) != p.b))
+    runs = lambda e: F.transform(e, lambda p, k: F.struct(p.b.alias("b"), (p.i - F.coalesce(F.get(e, k - 1).getField("i"), F.lit(-1))).cast("double").alias("n")))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a name for a value within an expression
+    return once(m, lambda m: once(ends(m), runs))
+
+
 def hashed_embedding(text: Column, dimensions: int = V.DIMENSIONS) -> Column:
     """The default embedding, without a model: how often the terms of each hash occur, normalized. It knows no meanings."""
-    buckets = F.transform(tokens(text), lambda t: V.bucket(t, dimensions))
-    return V.normalized(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+
+    def dense(c: Column) -> Column:
+        length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.n * x.n))
+        parts = F.transform(c, lambda p, k: F.concat(zeros(p.b - F.coalesce(F.get(c, k - 1).getField("b"), F.lit(-1)) - 1), F.array(p.n / length)))
+        return F.concat(F.flatten(parts), zeros(dimensions - 1 - F.coalesce(F.get(c, F.size(c) - 1).getField("b"), F.lit(-1))))
+
+    return once(_counts(text, dimensions), dense)
 
 
 def hashed_similarity(docs: DataFrame, query: str, id: str = "id", text: str = "text") -> DataFrame:
     """(id, text, similarity) of every document to a query under the hashed embedding.
 
-    A document's counts are kept as a map of the dimensions that occur, and the
-    product runs over the query's few; nothing shuffles.
+    A document's counts are kept for the dimensions that occur, and the product
+    runs over the query's few; nothing shuffles.
     """
-    mine = F.transform(tokens(F.col(text)), lambda t: V.bucket(t))
-    theirs = F.transform(tokens(F.lit(query)), lambda t: V.bucket(t))
-    runs = lambda a: F.transform(F.array_distinct(a), lambda b: F.struct(b.alias("b"), F.size(F.filter(a, lambda x: x == b)).cast("double").alias("n")))
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.sort_array(mine).alias("m"))
-    q = docs.sparkSession.range(1).select(runs(theirs).alias("q"))
-    # Sorted, equal dimensions are neighbours: a run's length is the distance between its ends.
-    last = F.filter(F.transform("m", lambda x, i: F.struct(x.alias("b"), i.alias("i"))), lambda p: F.get("m", p.i + 1).isNull() | (F.get("m", p.i + 1) != p.b))
-    base = base.withColumn("e", last)
-    counts = F.transform("e", lambda p, k: F.struct(p.b.alias("b"), (p.i - F.coalesce(F.get("e", k - 1).getField("i"), F.lit(-1))).cast("double").alias("n")))
-    base = base.withColumn("c", counts).crossJoin(F.broadcast(q))
+    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("c", _counts(F.col("text")))
+    base = base.crossJoin(F.broadcast(docs.sparkSession.range(1).select(_counts(F.lit(query)).alias("q"))))
     length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x.n * x.n)) * F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x.n * x.n))
     product = F.aggregate("q", F.lit(0.0), lambda s, x: s + x.n * F.coalesce(F.get(F.filter("c", lambda y: y.b == x.b), F.lit(0)).getField("n"), F.lit(0.0)))
     return base.select("id", "text", F.when(length > 0, product / length).otherwise(0.0).alias("similarity"))
 
 
-def search(vectors: DataFrame, query: Column | list[float] | DataFrame, k: int, where: Column | None = None, id: str = "id", embedding: str = "embedding", digits: int | None = None) -> DataFrame:
+def embedded_query(spark: SparkSession, query: str) -> DataFrame:
+    """One row: the hashed embedding of a question as ``query``."""
+    return spark.range(1).select(hashed_embedding(F.lit(query)).alias("query"))
+
+
+def search(vectors: DataFrame, query: Column | list[float] | DataFrame, k: int, where: Column | None = None, id: str = "id", embedding: str = "embedding", digits: int | None = None, unit: bool = False) -> DataFrame:
     """The k rows nearest to ``query`` by cosine distance, with ``distance``, ``similarity`` and ``rank`` from 1; the smaller id first among equals.
 
     Exact: every vector that ``where`` admits is compared, and each task keeps its
     k best. ``query`` is a vector, or a frame of one row with a column ``query``.
+    ``unit``: all vectors have length one or zero, so the product over the query's
+    nonzero components is enough.
     """
     rows = vectors if where is None else vectors.where(where)
-    if isinstance(query, DataFrame):
-        rows = rows.crossJoin(F.broadcast(query.select(F.col("query").alias("query_"))))
-    else:
-        rows = rows.withColumn("query_", F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, list) else query)
-    distance = V.cosine_distance(F.col(embedding), F.col("query_"))
+    if not isinstance(query, DataFrame):
+        query = vectors.sparkSession.range(1).select((F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, list) else query).alias("query"))
+    one = F.col("query").alias("query_")
+    if unit:
+        one = F.filter(F.transform("query", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p.x != 0).alias("query_")
+    rows = rows.crossJoin(F.broadcast(query.select(one)))
+    product = F.aggregate("query_", F.lit(0.0), lambda s, p: s + p.x * F.get(F.col(embedding), p.i))
+    distance = F.lit(1.0) - product if unit else V.cosine_distance(F.col(embedding), F.col("query_"))
     rows = rows.withColumn("distance", distance if digits is None else F.round(distance, digits)).drop("query_")
     best = rows.orderBy("distance", id).limit(k)
     similarity = 1 - F.col("distance")
     return best.withColumn("similarity", similarity if digits is None else F.round(similarity, digits)).withColumn("rank", F.row_number().over(Window.orderBy("distance", id)))
 
 
-def upserted(existing: DataFrame, new: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
-    """``existing`` with ``new`` put in: of new rows with one id that with the highest ``seq`` counts, and it replaces what was there."""
-    latest = new.groupBy(id).agg(F.max_by(F.struct(*[c for c in new.columns if c not in (id, seq)]), seq).alias("r")).select(id, "r.*")
-    return existing.join(latest, id, "left_anti").unionByName(latest.select(*existing.columns))
+def latest(new: DataFrame, id: str = "id", seq: str | list[str] = "seq") -> DataFrame:
+    """Of rows with one id that with the highest ``seq``; of such with equal ones a hash of the content decides, so any order of rows gives the same."""
+    order = [seq] if isinstance(seq, str) else list(seq)
+    rest = [c for c in new.columns if c != id and c not in order]
+    return new.groupBy(id).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("r")).select(id, "r.*")
+
+
+def upserted(existing: DataFrame, new: DataFrame, id: str = "id", seq: str | list[str] = "seq") -> DataFrame:
+    """``existing`` with ``new`` put in: of new rows with one id the ``latest`` counts, and it replaces what was there."""
+    put = latest(new, id, seq)
+    return existing.join(put, id, "left_anti").unionByName(put.select(*existing.columns))
 
 
 class Collection:
-    """A named collection: parquet versions below a path, and the name of the current one.
+    """A named collection: rows dealt into BUCKETS by a hash of their id, and a manifest that names each bucket's version.
 
-    A version is written whole and then named, so readers never see half of one,
-    and a job that fails leaves the current one as it was.
+    An upsert writes the buckets that it touches as a new version, whole, and then a
+    manifest, so readers never see half of one, and a job that fails leaves the
+    collection as it was. ``vacuum`` removes versions that no manifest names.
     """
 
+    BUCKETS = 64
+
     def __init__(self, spark: SparkSession, path: str, name: str = "pages", schema: str = schemas.VECTOR):
         self.spark, self.path, self.schema = spark, f"{path.rstrip('/')}/{name}", schema
 
-    def _version(self) -> int:
-        return self.spark.read.text(f"{self.path}/current").agg(F.max(F.col("value").cast("int"))).first()[0] if exists(self.spark, f"{self.path}/current") else 0
+    def _manifest(self) -> tuple[int, dict[int, int]]:
+        """The last version's number, and the version of each bucket that has one."""
+        if not exists(self.spark, f"{self.path}/manifest"):
+            return 0, {}
+        last = self.spark.read.schema("number int, buckets map<string,int>").json(f"{self.path}/manifest").orderBy(F.desc("number")).first()
+        return (last.number, {int(b): v for b, v in (last.buckets or {}).items()}) if last else (0, {})
 
-    def read(self) -> DataFrame:
-        v = self._version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
+    def _name(self, number: int, buckets: dict[int, int]) -> None:
+        self.spark.createDataFrame([(number, {str(b): v for b, v in buckets.items()})], "number int, buckets map<string,int>").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
-    def _put(self, df: DataFrame) -> None:
-        v = self._version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+    def _read(self, versions: dict[int, int]) -> DataFrame:
+        out = self.spark.createDataFrame([], self.schema)
+        for v in sorted(set(versions.values())):
+            part = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/v{v}")
+            out = out.unionByName(part.where(F.col("bucket").isin(*[b for b, w in versions.items() if w == v])).drop("bucket"))
+        return out
 
-    def upsert(self, new: DataFrame, seq: str = "seq") -> int:
-        """Puts ``new`` in and gives the number of rows after."""
-        self._put(upserted(self.read(), new, seq=seq))
+    def read(self) -> DataFrame:
+        return self._read(self._manifest()[1])
+
+    def upsert(self, new: DataFrame, seq: str | list[str] = "seq") -> int:
+        """Puts ``new`` in and gives the number of rows after. ``new`` is read twice: once for the buckets that it touches."""
+        number, versions = self._manifest()
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.BUCKETS)).cast("int")
+        touched = [r.b for r in new.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+        if touched:
+            old = self._read({b: versions[b] for b in touched if b in versions})
+            out = upserted(old, new, seq=seq).withColumn("bucket", bucket)
+            out.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/v{number + 1}")
+            self._name(number + 1, versions | dict.fromkeys(touched, number + 1))
         return self.read().count()
 
     def clear(self) -> None:
-        self._put(self.spark.createDataFrame([], self.schema))
+        self._name(self._manifest()[0] + 1, {})
+
+    def vacuum(self) -> None:
+        """Removes the files of versions that the manifest no longer names; nothing may be reading them."""
+        number, versions = self._manifest()
+        for v in set(range(1, number + 1)) - set(versions.values()):
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def peek(self, n: int = 10) -> DataFrame:
         return self.read().orderBy("id").limit(n)

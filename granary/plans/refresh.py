@@ -19,15 +19,19 @@ from granary.runtime import ship
 from granary.sources import files
 
 
-def refresh(spark: SparkSession, fetched: DataFrame, settings: Settings = Settings(), skip_main: bool = False, skip_handbook: bool = False, areas: list[str] | None = None, full_rebuild: bool = False) -> dict:
+def refresh(spark: SparkSession, fetched: DataFrame, settings: Settings = Settings(), skip_main: bool = False, skip_handbook: bool = False, areas: list[str] | None = None, full_rebuild: bool = False, fresh_hours: int | None = None) -> dict:
     """Runs all steps over all of ``fetched`` and gives counts. Every step is a table on disk before the next reads it.
 
-    ``settings.max_pages`` is a budget of fetching and cuts nothing here.
+    ``settings.max_pages`` is a budget of fetching and cuts nothing here. Where
+    ``fetched`` has ``content_type``, ``status`` or ``fetched_at``, only what
+    ``pages.usable`` admits counts.
 
-    New chunks replace those with their id; what a site no longer has stays, unless
+    New chunks replace those with their id, of such within one refresh the last by
+    file and place; what a site no longer has stays, unless
     ``full_rebuild`` empties the collection first.
     """
     ship(spark)
+    fetched = pages.usable(fetched, fresh_hours)
     general, typed, chunks = f"{settings.raw_dir}/all_pages", f"{settings.raw_dir}/handbook_pages", f"{settings.processed_dir}/chunks"
     if not skip_main:
         files.write_json_lines(pages.general_pages(fetched, settings.site), general)
@@ -35,14 +39,15 @@ def refresh(spark: SparkSession, fetched: DataFrame, settings: Settings = Settin
         wanted = fetched if not areas else fetched.where(X.code_of(F.col("url"), "course").substr(1, 4).isin(*areas) | (X.page_kind(F.col("url")) == "program"))
         files.write_json_lines(pages.typed_pages(wanted, settings.site), typed)
     found = files.read_pages(spark, general, typed)
-    files.write_json_lines(C.chunk_pages(found, settings), chunks)
+    files.write_json_lines(C.chunk_pages(found, settings, ("src_ord",)), chunks)
     made = files.read_chunks(spark, chunks)
     collection = vectors.Collection(spark, settings.index_dir, settings.collection)
     if full_rebuild:
         collection.clear()
     embedded = made.withColumn("embedding", vectors.hashed_embedding(F.col("text")))
-    total = collection.upsert(embedded.withColumn("seq", F.col("metadata.chunk_index")))
-    lexical.save_index(lexical.build_index(made), f"{settings.index_dir}/bm25")
+    total = collection.upsert(embedded.withColumn("place", F.col("metadata.chunk_index")), ["src_ord", "place"])
+    collection.vacuum()
+    lexical.index_corpus(made.drop("src_ord"), f"{settings.index_dir}/bm25", ("id", "text"))
     return C.chunk_statistics(found, made).first().asDict() | {"collection": total}
 
 
@@ -53,10 +58,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--skip-handbook", action="store_true")
     p.add_argument("--handbook-only", action="store_true")
     p.add_argument("--full-rebuild", action="store_true")
+    p.add_argument("--fresh-hours", type=int)
     p.add_argument("--areas", nargs="*")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("granary-refresh").getOrCreate()
-    print(refresh(spark, spark.read.parquet(a.fetched), Settings.from_env(), a.skip_main or a.handbook_only, a.skip_handbook, a.areas, a.full_rebuild))
+    print(refresh(spark, spark.read.parquet(a.fetched), Settings.from_env(), a.skip_main or a.handbook_only, a.skip_handbook, a.areas, a.full_rebuild, a.fresh_hours))
 
 
 if __name__ == "__main__":

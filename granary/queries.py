@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from granary.config import Settings, Site
 from granary.functions import text as X
 from granary.functions import vectors as V
-from granary.functions.html import join_urls
+from granary.functions.html import join_urls, page_fields
 from granary.operators import answer, chunks, crawl, lexical, pages, retrieve, vectors
-from granary.runtime import ship, table
+from granary.runtime import shared_path, ship, table
 from granary.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 QUESTION = "the of payment return shipping the"
 SITE = Site()
-HOSTS = "example.com example.net example.org".split()
+#: Hosts that belong to the crawled site are a list of its settings; here, some of the table's.
+HOSTS = ("blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.net", "blog.tiontion.example.com", "www.ththhe.example.com", "m.ththth.example.net")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -91,7 +92,7 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(_docs(spark, sf_dir), "doc_id").withColumnRenamed("id", "doc_id")
+    return lexical.postings(_docs(spark, sf_dir), "doc_id").select("term", F.col("id").alias("doc_id"), "tf")
 
 
 @query(f"WITH {TERMS} SELECT count(*)::BIGINT AS n, round((SELECT avgdl FROM n), 6) AS avgdl, (SELECT round(avg(idf), 6) FROM idf) AS mean_idf FROM documents")
@@ -101,16 +102,53 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
-@query(f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20")
+_STORED: dict[tuple, tuple[lexical.Bm25Index, DataFrame]] = {}
+METADATA = "struct<url:string,title:string,section_heading:string,doc_id:bigint>"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[lexical.Bm25Index, DataFrame]:
+    """The documents' index and their collection, read from disk; both are written once for each application and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = shared_path(spark, "search")
+        meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"), "doc_id")
+        docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", meta.alias("metadata"))
+        lexical.index_corpus(docs, f"{path}/words")
+        collection = vectors.Collection(spark, path, "documents", f"id bigint, text string, metadata {METADATA}, embedding array<double>")
+        collection.upsert(docs.withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
+        _STORED[key] = lexical.load_index(spark, f"{path}/words"), collection.read()
+    return _STORED[key]
+
+
+@query(f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(len(list_distinct(w)))::BIGINT FROM toks) AS n_postings, (SELECT count(DISTINCT doc_id) FROM documents) AS n_vectors")
+def search_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the index and the collection that the search queries read, and counts what they hold."""
+    _STORED.pop((spark.sparkContext.applicationId, sf_dir), None)
+    index, collection = _stored(spark, sf_dir)
+    one = index.totals.select(F.col("n").alias("n_documents")).crossJoin(index.terms.agg(F.count("*").alias("n_terms")))
+    return one.crossJoin(index.postings.agg(F.count("*").alias("n_postings"))).crossJoin(collection.agg(F.count("*").alias("n_vectors")))
+
+
+TOP = f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20"
+
+
+@query(TOP)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_stored(spark, sf_dir)[0], QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(TOP)
+def bm25_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an index."""
     best = lexical.top_k(lexical.scan_scores(_docs(spark, sf_dir), QUESTION, "doc_id").select("id", "score"), 20, 6)
     return best.select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM bm JOIN toks USING (doc_id) WHERE list_has_any(w, ['the', 'of', 'payment', 'return', 'shipping'])")
 def bm25_index_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.index_scores(lexical.build_index(_docs(spark, sf_dir), "doc_id"), QUESTION)
-    return scores.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    index = _stored(spark, sf_dir)[0]
+    scores = lexical.index_scores(index, QUESTION).withColumnRenamed("id", "row")
+    return scores.join(index.documents.select("row", F.col("id").alias("doc_id")), "row").select("doc_id", F.round("score", 6).alias("score"))
 
 
 NEAR = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0),
@@ -147,37 +185,28 @@ def hashed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.hybrid_search(_docs(spark, sf_dir), QUESTION, 5, "doc_id", metadata="doc_id", digits=6)
+    return retrieve.hybrid_search(*_stored(spark, sf_dir), QUESTION, 5, digits=6)
 
 
 @query(f"WITH {RANKED} SELECT doc_id, score, vector_rank, bm25_rank, rank FROM best")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir).select(F.col("metadata").alias("doc_id"), "score", "vector_rank", "bm25_rank", F.col("rank").cast("long").alias("rank"))
-
-
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hybrid results with the metadata of a page."""
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("metadata"), "lang", "source")
-    found = docs.join(F.broadcast(_hybrid(spark, sf_dir)), "metadata")
-    meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"))
-    return found.select("text", meta.alias("metadata"), "rank")
+    return _hybrid(spark, sf_dir).select("metadata.doc_id", "score", "vector_rank", "bm25_rank", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {RESULTS} SELECT 'CONTEXT:' || chr(10) || string_agg('[Source ' || rank || '] ' || title || ' — ' || heading || chr(10) || 'URL: ' || url || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION: the of payment return shipping the' || chr(10) || chr(10) || 'Use only the CONTEXT above. Cite every source with its URL and add a Sources section at the end.' AS prompt FROM res")
 def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.context_prompt(_results(spark, sf_dir), QUESTION)
+    return answer.context_prompt(_hybrid(spark, sf_dir), QUESTION)
 
 
 @query(f"WITH {RESULTS} SELECT url, arg_min(title, rank) AS title, min(rank) AS rank FROM res GROUP BY url")
 def unique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.unique_sources(_results(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+    return answer.unique_sources(_hybrid(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {RANKED} SELECT doc_id, similarity, rank FROM veck WHERE rank <= 5")
 def vector_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = vectors.hashed_similarity(_docs(spark, sf_dir), QUESTION, "doc_id").select(F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
-    best = near.orderBy(F.desc("similarity"), "doc_id").limit(5)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "doc_id")).cast("long"))
+    best = retrieve.vector_only_search(_stored(spark, sf_dir)[1], QUESTION, 5, digits=6)
+    return best.select(F.col("id").alias("doc_id"), "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 LISTS = """a AS (SELECT doc_id, text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 200),
@@ -221,15 +250,9 @@ def url_skip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", X.skipped_url(F.col("url")).alias("skipped"))
 
 
-@query(f"SELECT page_id, starts_with(url, 'http') AND ({' OR '.join(f'ends_with({AUTHORITY}, {h!r})' for h in HOSTS)}) AND NOT ({SKIP}) AS valid FROM pages")
+@query(f"SELECT page_id, starts_with(url, 'http') AND {AUTHORITY} IN ({', '.join(map(repr, HOSTS))}) AND NOT ({SKIP}) AS valid FROM pages")
 def link_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir)
-    # The hosts that belong to the site are a list of the crawl's settings; here, those of the table.
-    host = X.url_authority(F.col("url"))
-    ours = F.lit(False)
-    for h in HOSTS:
-        ours = ours | host.endswith(h)
-    return rows.select("page_id", (F.col("url").startswith("http") & ours & ~X.skipped_url(F.col("url"))).alias("valid"))
+    return _pages(spark, sf_dir).select("page_id", X.valid_link(F.col("url"), HOSTS).alias("valid"))
 
 
 @query(f"WITH {HREFS} SELECT page_id, href, url FROM links")
@@ -290,11 +313,34 @@ def previews_and_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.preview(t).alias("preview"), X.before_colon(t).alias("heading"), X.without_handbook(t).alias("title"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s*\|\s*Example.*$', '')) AS title, regexp_extract(html, '<h1>([^<]*)', 1) AS h1, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang FROM pages""")
+# The SQL of pages knows the table's one layout: a title, and within the body nav, an advert, one article of an h1 and paragraphs, and a footer.
+WHITE = r"[\s\x{85}\p{Z}\x1c-\x1f]+"
+
+
+def _decoded(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+def _tidy(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{WHITE}', ' ', 'g'), '^ | $', '', 'g')"
+
+
+LAYOUT = rf"""parts AS (SELECT page_id, url, html, {_tidy(_decoded("regexp_extract(html, '<title>([^<]*)', 1)"))} AS title, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS article, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS ad FROM pages),
+heads AS (SELECT *, {_tidy(_decoded("regexp_extract(article, '<h1>([^<]*)', 1)"))} AS h1 FROM parts),
+strings AS (SELECT page_id, 'content' AS what, string_split({_decoded("regexp_replace(article, '<[^>]*>', chr(10), 'g')")}, chr(10)) AS s FROM parts
+  UNION ALL SELECT page_id, 'body', string_split({_decoded("regexp_replace(ad || chr(10) || article, '<[^>]*>', chr(10), 'g')")}, chr(10)) FROM parts
+  UNION ALL SELECT page_id, 'section', list_filter(list_transform(string_split_regex(regexp_replace(article, '^.*?</h1>', '', 's'), '<p>'),
+    lambda p: array_to_string(list_transform(string_split_regex(p, '<[^>]*>'), lambda x: regexp_replace({_decoded("x")}, '^{WHITE}|{WHITE}$', '', 'g')), '')), lambda x: length(x) > 10) FROM parts),
+tidy AS (SELECT page_id, what, list_filter(list_transform(s, lambda x: {_tidy("x")}), lambda x: length(x) > 3) AS s FROM strings),
+texts AS (SELECT page_id, what, array_to_string(list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]), chr(10)) AS t FROM tidy),
+page AS (SELECT h.*, c.t AS content, b.t AS body, p.t AS section FROM heads h JOIN texts c ON c.page_id = h.page_id AND c.what = 'content' JOIN texts b ON b.page_id = h.page_id AND b.what = 'body' JOIN texts p ON p.page_id = h.page_id AND p.what = 'section')"""
+NAMED = r"CASE WHEN regexp_replace(title, '\s*\|\s*Example.*$', '') = '' THEN h1 ELSE regexp_replace(title, '\s*\|\s*Example.*$', '') END"
+
+
+@query(f"WITH {LAYOUT} SELECT page_id, {NAMED} AS title, h1, '' AS meta_description FROM page")
 def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    title = F.trim(X.without_brand(F.regexp_extract(h, "<title>([^<]*)", 1), SITE.brand))
-    return _pages(spark, sf_dir).select("page_id", title.alias("title"), F.regexp_extract(h, "<h1>([^<]*)", 1).alias("h1"), F.regexp_extract(h, '<html[^>]* lang="([^"]*)"', 1).alias("lang"))
+    read = _pages(spark, sf_dir).withColumn("p", page_fields(F.col("html"), SITE.brand))
+    return read.select("page_id", "p.title", "p.h1", "p.meta_description")
 
 
 @query("""WITH n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -344,11 +390,12 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.seeds(spark, SITE)
 
 
-@query("""WITH RECURSIVE edges AS (SELECT CAST(o_custkey AS VARCHAR) AS src, CAST(o_orderkey % 1500 AS VARCHAR) AS dst FROM orders),
+@query("""WITH RECURSIVE edges AS (SELECT CAST(o_custkey AS VARCHAR) AS src, CAST(o_orderkey % (SELECT count(*) FROM customer) AS VARCHAR) AS dst FROM orders),
 walk AS (SELECT '1' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 6)
 SELECT url, min(depth) AS depth FROM walk GROUP BY url""")
 def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("src"), (F.col("o_orderkey") % 1500).cast("string").alias("dst"))
+    orders = table(spark, sf_dir, "orders").crossJoin(F.broadcast(table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))))  # one row
+    edges = orders.select(F.col("o_custkey").cast("string").alias("src"), (F.col("o_orderkey") % F.col("n")).cast("string").alias("dst"))
     return crawl.crawl_depths(edges, spark.createDataFrame([("1",)], "url string"), 6)
 
 
@@ -362,16 +409,22 @@ def valid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.valid_questions(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars > 1000 THEN printf('%.1f', n_chars / 1000) || 's' ELSE n_chars || 'ms' END AS label, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents WHERE n_chars % 100 <> 50""")
+ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+# A tenth of the double that n_chars / 1000 is, halves upwards: the double's exact value tells, as DECIMAL(38, 20).
+@query(f"""SELECT doc_id, CASE WHEN n_chars > 1000 THEN t // 10 || '.' || t % 10 || 's' ELSE n_chars || 'ms' END AS label, {ESCAPED.format("text")} AS escaped
+FROM (SELECT *, (n_chars + 50) // 100 - CASE WHEN n_chars % 100 = 50 AND printf('%.20f', n_chars / 1000)::DECIMAL(38, 20) < (n_chars // 1000 || '.' || lpad((n_chars % 1000)::VARCHAR, 3, '0'))::DECIMAL(38, 20) THEN 1 ELSE 0 END AS t FROM documents)""")
 def response_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL leaves out what ends in 50; here every document has its row.
     return _docs(spark, sf_dir).select("doc_id", X.response_time(F.col("n_chars")).alias("label"), X.escape_html(F.col("text")).alias("escaped"))
 
 
-@query()
+@query(f"WITH {LAYOUT} SELECT url, {NAMED} AS title, h1, '' AS meta_description, '' AS breadcrumbs, content, (section <> '')::INT AS n_sections, CASE WHEN section <> '' THEN h1 || ': ' || section ELSE '' END AS sections FROM page WHERE content <> '' AND NOT ({SKIP})")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' records; the table has no typed pages."""
-    return pages.general_pages(_pages(spark, sf_dir), SITE).drop("last_crawled")
+    """The pages' records, lists as texts; the table has no typed pages."""
+    found = pages.general_pages(_pages(spark, sf_dir), SITE)
+    sections = F.array_join(F.transform("sections", lambda s: F.concat(s.heading, F.lit(": "), s.content)), "\n\n")
+    return found.select("url", "title", "h1", "meta_description", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), "content", F.size("sections").alias("n_sections"), sections.alias("sections"))
 
 
 @query()
@@ -388,13 +441,33 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_pages(docs, Settings())
 
 
-@query()
+TYPED = r"""t AS (SELECT *, 'COMP' || lpad((page_id % 10000)::VARCHAR, 4, '0') AS code, regexp_replace(title, '^Handbook\s*[-–—]\s*', '') AS name, regexp_extract(html, '(\d+)\s*Units?\s*of\s*Credit', 1) AS uoc FROM page)"""
+
+
+@query(f"""WITH {LAYOUT}, {TYPED} SELECT 'https://handbook.example.edu/undergraduate/courses/2026/' || code AS url, 'course' AS type, code AS course_code, NULL::VARCHAR AS program_code, code || ' — ' || name AS title, 'undergraduate' AS level, uoc,
+'' AS faculty, '' AS school, '' AS offering_terms, NULL::VARCHAR AS duration, body AS content, CASE WHEN contains(body, ':') THEN split_part(body, ':', 1) ELSE '' END AS heading, 'Example Handbook > Undergraduate > Courses > ' || code AS breadcrumbs,
+code || ' ' || name || ' - ' || uoc || ' UOC - Example Undergraduate' AS meta_description FROM t WHERE body <> ''""")
 def typed_page_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as if it were a course's."""
+    """Every page as if it were a course's, lists as texts."""
     url = F.concat(F.lit("https://handbook.example.edu/undergraduate/courses/2026/COMP"), F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"))
-    return pages.typed_pages(_pages(spark, sf_dir).select(url.alias("url"), "html"), SITE).drop("last_crawled")
+    found = pages.typed_pages(_pages(spark, sf_dir).select(url.alias("url"), "html"), SITE).drop("last_crawled")
+    heading = F.array_join(F.transform("sections", lambda s: s.heading), "; ")
+    return found.withColumn("heading", heading).withColumn("breadcrumbs", F.array_join("breadcrumbs", " > ")).drop("sections")
 
 
-@query()
+INLINE = r"""regexp_replace(regexp_replace(regexp_replace({}, '\*\*([^*]+)\*\*', '<strong>\1</strong>', 'g'), '\*([^*\s][^*]*)\*', '<em>\1</em>', 'g'), '\[([^\[\]]+)\]\(((?:https?://|/|#)[^()\s"]*)\)', '<a href="\2" target="_blank" rel="noopener">\1</a>', 'g')"""
+MARKDOWN = rf"""WITH l AS (SELECT conv_id, turn, string_split_regex({ESCAPED.format("coalesce(text, '')")}, '\r?\n') AS lines FROM conversations),
+k AS (SELECT *, list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '^# .') THEN 'h1' WHEN regexp_matches(x, '^## .') THEN 'h2' WHEN regexp_matches(x, '^### .') THEN 'h3'
+  WHEN regexp_matches(x, '^[-*] .') THEN 'ul' WHEN regexp_matches(x, '^\d+\. .') THEN 'ol' WHEN trim(x) = '' THEN '' ELSE 'p' END) AS kinds FROM l),
+u AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(kinds) AS kind, unnest(range(len(lines))) AS i FROM k),
+b AS (SELECT *, coalesce(lag(kind) OVER w, '') AS before, lead(kind) OVER w IS NULL AS ends, CASE WHEN kind IN ('h1', 'h2', 'h3', 'ul', 'ol') THEN regexp_replace(line, '^(#+|[-*]|\d+\.) ', '') ELSE line END AS said FROM u WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+p AS (SELECT *, unnest(string_split(said, '`')) AS part, unnest(range(len(string_split(said, '`')))) AS j, len(string_split(said, '`')) - 1 AS last FROM b),
+s AS (SELECT conv_id, turn, i, kind, before, ends, string_agg(CASE WHEN j % 2 = 0 THEN {INLINE.format("part")} WHEN j = last THEN '`' || {INLINE.format("part")} ELSE '<code>' || part || '</code>' END, '' ORDER BY j) AS said FROM p GROUP BY ALL),
+o AS (SELECT *, CASE WHEN kind = before AND kind = 'p' THEN '<br>' WHEN kind = before AND kind IN ('ul', 'ol') THEN '' ELSE CASE WHEN before <> '' THEN '</' || before || '>' ELSE '' END || CASE WHEN kind <> '' THEN '<' || kind || '>' ELSE '' END END
+  || CASE WHEN kind IN ('ul', 'ol') THEN '<li>' || said || '</li>' WHEN kind = '' THEN '' ELSE said END || CASE WHEN ends AND kind <> '' THEN '</' || kind || '>' ELSE '' END AS html FROM s)
+SELECT conv_id, turn, string_agg(html, '' ORDER BY i) AS html FROM o GROUP BY conv_id, turn"""
+
+
+@query(MARKDOWN)
 def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.render_markdown(F.col("text")).alias("html"))

@@ -33,7 +33,8 @@ def read_pages(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_lines(spark, path, schemas.CHUNK)
+    """Chunks with ``src_ord``, the place of their page's file (null where it wasn't written)."""
+    return read_json_lines(spark, path, f"{schemas.CHUNK}, src_ord int")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

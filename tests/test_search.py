@@ -70,15 +70,39 @@ def test_fusion(spark, near, words):
     assert [(r.text, r.score, r.vector_rank, r.bm25_rank) for r in found] == brute_fusion(near, words)
 
 
-def test_hybrid_search(spark):
+def test_hybrid_search(spark, tmp_path):
     docs = frame(spark, TEXTS).withColumn("metadata", F.struct(F.lit("u").alias("url")))
-    both = retrieve.hybrid_search(docs, "cat dog", 3).orderBy("rank").collect()
+    index = lexical.index_corpus(docs, str(tmp_path / "i"))
+    rows = docs.withColumn("embedding", vectors.hashed_embedding(F.col("text")))
+    both = retrieve.hybrid_search(index, rows, "cat dog", 3).orderBy("rank").collect()
     assert both[0].text == "a cat and a dog" and both[0].vector_rank and both[0].bm25_rank
-    alone = retrieve.hybrid_search(docs, "cat dog", 3, has_words=False).collect()
+    alone = retrieve.hybrid_search(None, rows, "cat dog", 3).collect()
     assert all(r.bm25_rank is None for r in alone) and len(alone) == 3
+    assert [r.text for r in retrieve.vector_only_search(rows, "cat dog", 3).orderBy("rank").collect()] == [r.text for r in sorted(alone, key=lambda r: r["rank"])]
+    assert retrieve.hybrid_search(index, rows, "?!", 3).count() == 3 and lexical.search(index, "?!", 3).count() == 0
     assert retrieve.candidates(5) == 20 and retrieve.candidates(2) == 8 and retrieve.candidates(50) == 20
 
 
+def test_chunks_with_one_id_stay_apart(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "the cat sat", "m1"), ("a", "a cat ran off", "m2"), ("b", "no such animal", "m3"), ("c", "nor here", "m4"), ("d", "nor there", "m5")], "id string, text string, metadata string")
+    index = lexical.index_corpus(docs, str(tmp_path / "i"), ("id", "text"))
+    found = {r.text: (r.metadata, r.score) for r in lexical.search(index, "cat", 5).collect()}
+    want = brute_bm25([r.text for r in docs.collect()], "cat")
+    assert {t: m for t, (m, _) in found.items()} == {"the cat sat": "m1", "a cat ran off": "m2"}
+    assert math.isclose(found["the cat sat"][1], want[0]) and math.isclose(found["a cat ran off"][1], want[1])
+    rows = docs.withColumn("embedding", vectors.hashed_embedding(F.col("text"))).where("metadata <> 'm2'")
+    both = {r.text: (r.metadata, r.vector_rank, r.bm25_rank, round(r.score, 6)) for r in retrieve.hybrid_search(index, rows, "cat", 5).collect()}
+    assert both["the cat sat"] == ("m1", 1, 1, round(1 / 61, 6)) and both["a cat ran off"] == ("m2", None, 2, round(0.4 / 62, 6))
+
+
+def test_stored_searches_read_little(spark, tmp_path):
+    """Words and rows reach the scans as filters."""
+    index = lexical.index_corpus(frame(spark, TEXTS), str(tmp_path / "i"))
+    plan = index_plan = lexical.index_scores(index, "cat dog")._jdf.queryExecution().toString()
+    assert "In(term, [" in plan.split("PushedFilters", 1)[1] and "lengths" not in index_plan
+    assert "PushedFilters: [In(row, [" in lexical.search(index, "cat dog", 2)._jdf.queryExecution().toString()
+
+
 def test_vector_search(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [1.0, 1.0], "b"), (4, [2.0, 0.0], "b")], "id int, embedding array<double>, kind string")
     found = vectors.search(rows, [1.0, 0.0], 3).orderBy("rank").collect()
@@ -107,10 +131,29 @@ def test_collection(spark, tmp_path):
     assert c.upsert(vector_rows(spark, ("b", "3", 0), ("c", "1", 0))) == 3  # again
     s = c.stats().first()
     assert s.total_chunks == 3 and s.sample_urls == ["ua", "ub", "uc"] and c.peek(2).count() == 2
+    c.vacuum()
+    assert c.read().count() == 3
     c.clear()
     assert c.read().count() == 0
 
 
+def test_upserts_write_the_buckets_they_touch(spark, tmp_path):
+    c = vectors.Collection(spark, str(tmp_path))
+    c.upsert(vector_rows(spark, *((str(i), "1", 0) for i in range(300))))
+    assert c.upsert(vector_rows(spark, ("7", "2", 0))) == 300
+    assert len(list((tmp_path / "pages/v2").glob("bucket=*"))) == 1
+    assert {r.id for r in c.read().where("text = '2'").collect()} == {"7"}
+
+
+@pytest.mark.parametrize("turn", [0, 1])
+def test_ties_do_not_depend_on_the_order_of_rows(spark, turn):
+    rows = [("a", "one", 0), ("a", "two", 0), ("b", None, None), ("b", "x", None)][:: -1 if turn else 1]
+    new = spark.createDataFrame(rows, "id string, text string, seq int").coalesce(1)
+    got = sorted(map(tuple, vectors.upserted(spark.createDataFrame([("a", "old")], "id string, text string"), new).collect()))
+    again = sorted(map(tuple, vectors.upserted(spark.createDataFrame([("a", "old")], "id string, text string"), new.orderBy("text")).collect()))
+    assert got == again and len(got) == 2
+
+
 META = "struct<url:string,title:string,section_heading:string>"
 
 
@@ -125,12 +168,51 @@ def test_prompt_and_sources(spark):
     assert answer.ask("why?", lambda q, n: rows.limit(0), answer.Extractive())["sources"] == []
 
 
-def test_models_fall_back(monkeypatch):
-    assert isinstance(answer.language_model("none of these"), answer.Extractive)
-    monkeypatch.setattr(answer, "MODELS", {})
+def test_models_fall_back(monkeypatch, caplog):
+    monkeypatch.setenv("LOCAL_LLM_URL", "http://127.0.0.1:9")
+    monkeypatch.delenv("LLM_API_KEY", raising=False)
+    with pytest.raises(ValueError):
+        answer.language_model("none of these")
+    for provider in ("cloud", "local"):
+        assert isinstance(answer.language_model(provider), answer.Extractive)
+        assert provider in caplog.text
+    monkeypatch.setattr(answer, "MODELS", {"local": answer.local_endpoint})
     with pytest.raises(RuntimeError):
-        answer.language_model()
-    assert not answer.HttpModel("http://127.0.0.1:9/", dict, str).is_available()
+        answer.language_model("local")
+
+
+def test_endpoints(monkeypatch):
+    """Both providers against a server of our own."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers.get("Authorization"), body))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": "local"} if self.path == "/api/generate" else {"choices": [{"message": {"content": "cloud"}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    local = answer.local_endpoint({"LOCAL_LLM_URL": url, "LOCAL_LLM_MODEL": "m"})
+    cloud = answer.chat_endpoint({"LLM_URL": f"{url}/v1", "LLM_API_KEY": "k", "LLM_MODEL": "m"})
+    assert local.is_available() and cloud.is_available() and not answer.chat_endpoint({}).is_available()
+    assert local.generate("p", "s") == "local" and cloud.generate("p", "s") == "cloud"
+    assert asked[0][2]["system"] == "s" and asked[1][1] == "Bearer k" and [m["role"] for m in asked[1][2]["messages"]] == ["system", "user"]
+    server.shutdown()
 
 
 def test_service(spark, tmp_path):
@@ -142,7 +224,7 @@ def test_service(spark, tmp_path):
         assert e.value.status == status
     c = vectors.Collection(spark, str(tmp_path))
     c.upsert(vector_rows(spark, ("a", "the cat", 0)))
-    s = api.Service(c, lambda q, n: retrieve.hybrid_search(c.read(), q, n))
+    s = api.Service(c, lambda q, n: retrieve.hybrid_search(None, c.read(), q, n))
     assert s.chat("the cat?")["chunks_used"] == 1 and s.health()["knowledge_base_size"] == 1 and s.stats()["sample_urls"] == ["ua"]
     with pytest.raises(api.ServiceError) as e:
         api.Service(c, lambda q, n: 1 / 0).chat("what?")
@@ -164,6 +246,19 @@ def test_refresh_and_stream(spark, tmp_path):
     assert c.read().count() == first["collection"]
 
 
+def test_refresh_takes_usable_responses(spark, tmp_path):
+    from granary.plans import search as commands
+
+    page = lambda i: f"<title>A</title><main><h1>Head</h1><p>{'Some words here. ' * 10}</p><p>Number {i} of them all</p></main>"
+    rows = [("https://www.example.edu/a", page(1), "text/html; charset=utf-8", 200, 1), ("https://www.example.edu/a", page(2), "text/html", 200, 2), ("https://www.example.edu/b", page(3), "text/html", 404, 1), ("https://www.example.edu/c", page(4), "application/pdf", 200, 1), ("https://www.example.edu/d", page(5), None, None, 1)]
+    fetched = spark.createDataFrame(rows, "url string, html string, content_type string, status int, t int").withColumn("fetched_at", F.timestamp_seconds("t")).drop("t")
+    s = Settings(raw_dir=str(tmp_path / "raw"), processed_dir=str(tmp_path / "p"), index_dir=str(tmp_path / "i"), site=Site())
+    assert refresh(spark, fetched, s)["n_pages"] == 1
+    collection, search = commands.open_search(spark, s)
+    assert any("Number 2" in r.text for r in collection.read().collect()) and search("words", 3).count() > 0
+    assert refresh(spark, fetched, s, fresh_hours=1)["n_pages"] == 0
+
+
 def test_refresh_takes_all_fetched_pages(spark, tmp_path):
     text = "<title>A</title><main><h1>Head</h1><p>" + "Some words here. " * 10 + "</p></main>"
     fetched = spark.createDataFrame([(f"https://www.example.edu/p{i}", text + f"<p>Number {i} of them all</p>") for i in range(7)], "url string, html string")

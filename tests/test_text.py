@@ -67,7 +67,7 @@ def test_embedded_json(spark):
     assert values(spark, [page, "<p>", page.replace("}", "")], F.to_json(X.embedded_json(F.col("x")))) == ['{"a":1}', None, None]
 
 
-@pytest.mark.parametrize(("text", "html"), [("# T", "<h1>T</h1>"), ("**b** *i* `c`", "<p><strong>b</strong> <em>i</em> <code>c</code></p>"), ("a\nb", "<p>a<br>b</p>"), ("", ""), ("- x\n- y", "<ul><li>x</li>\n<li>y</li></ul></p>"), ("<i>", "<p>&lt;i&gt;</p>"), ("[t](http://u)", '<p><a href="http://u" target="_blank" rel="noopener">t</a></p>')])
+@pytest.mark.parametrize(("text", "html"), [("# T", "<h1>T</h1>"), ("**b** *i* `c`", "<p><strong>b</strong> <em>i</em> <code>c</code></p>"), ("a\nb", "<p>a<br>b</p>"), ("", ""), ("- x\n- y", "<ul><li>x</li><li>y</li></ul>"), ("<i>", "<p>&lt;i&gt;</p>"), ("1. x\n2. y\n\nz `**k**", "<ol><li>x</li><li>y</li></ol><p>z `<strong>k</strong></p>"), ("`a*b*` [x](javascript:y)", "<p><code>a*b*</code> [x](javascript:y)</p>"), ("[t](http://u)", '<p><a href="http://u" target="_blank" rel="noopener">t</a></p>')])
 def test_markdown(spark, text, html):
     assert values(spark, [text], X.render_markdown(F.col("x"))) == [html]
 
