@@ -1,15 +1,19 @@
-"""SentencePiece (BPE) encoding and decoding: a max-plus parallel scan over giant documents.
-
-An encoding is the only sequence of pieces, one after the other, in which each
-piece tolerates the next: merged anew, the two give back themselves. That makes it
-a best path, where a step costs nothing if tolerated and minus infinity if not,
-and best paths can be found piecewise. A giant document is split into chunks of
-CHUNK characters. A boundary's states are the pieces that could lie across or end
-at it. Each chunk yields a matrix of the best path from each state at its left
-boundary to each at its right one, under (max, +). Products of these matrices are
-associative: products from the left say which states the document's beginning
-allows at a boundary, those from the right which lead to its end, and only one
-state is both. Then each chunk is traced back by itself between its two states.
+"""SentencePiece encoding and decoding: a max-plus parallel scan over giant documents.
+
+An encoding is a best path of pieces through the text. In a unigram model a step
+costs its piece's score. In a BPE model an encoding is the only sequence of pieces
+in which each tolerates the next: merged anew, the two give back themselves; so a
+step costs nothing if tolerated and minus infinity if not. Best paths can be found
+piecewise. A giant document is split into chunks of CHUNK characters, a row each. A
+boundary's states are the pieces that could lie across or end at it.
+
+1. Each chunk yields a matrix of the best path from each state at its left boundary
+   to each at its right one, under (max, +).
+2. The matrices' products are associative: FAN neighbours at a time are combined,
+   then FAN of these, until a document is one row, which says where its best path ends.
+3. Back down this tree, each row knows its first and last state and finds those of
+   the boundaries between its parts.
+4. Each chunk is traced back by itself between its two states.
 
 Inside a chunk only the stretches up to its first and from its last word beginning
 need this: no piece goes on over a word beginning, so what lies between is encoded
@@ -24,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, fresh, table, written
 from .graph import grouped
 
-CHUNK = 1 << 15
+CHUNK, FAN = 1 << 15, 16
 MINUS = np.float32(-np.inf)
 SPACE = "▁"
 _MODELS: dict = {}
@@ -40,16 +44,10 @@ State = tuple[int, int]  # a piece's beginning and end, as positions of the docu
 class Pieces:
     """A SentencePiece BPE model whose normalizer is the identity, with a space put before the text."""
 
-    def __init__(self, path: str):
+
+    def __init__(self, path: str, spec):  # noqa: ANN001
         import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as proto
 
-        spec = proto.ModelProto()
-        with open(path, "rb") as f:
-            spec.ParseFromString(f.read())
-        n, t = spec.normalizer_spec, spec.trainer_spec
-        if t.model_type != 2 or n.name != "identity" or not n.add_dummy_prefix or n.remove_extra_whitespaces or not t.byte_fallback or any(p.type in (4, 5) for p in spec.pieces):
-            raise ValueError(f"{path}: only BPE models with byte fallback, an identity normalizer and plain pieces are supported")
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == 1}
         self.scores = {p.piece: p.score for p in spec.pieces if p.type == 1}
@@ -121,9 +119,102 @@ class Pieces:
             end, k = begin, before
 
 
+    def route(self, text: str, lo: int, hi: int, entry: tuple[str, int], beyond: int, end: int, start: int | None = None) -> list[str]:
+        """Pieces of the best path from ``entry`` to ``end`` (with a piece that begins at ``start``)."""
+        return self.trace(text, self.paths(text, lo, hi, [entry], beyond), end, start)
+
+    def packed(self, matrix: np.ndarray) -> bytes:
+        return (matrix == 0).tobytes()
+
+    def unpacked(self, matrix: bytes, left: int) -> np.ndarray:
+        return np.where(np.frombuffer(matrix, bool).reshape(left, -1), np.float32(0), MINUS)
+
+    def chosen(self, scores: np.ndarray) -> int:
+        """The state of the one path."""
+        found = np.flatnonzero(scores == 0)
+        if len(found) != 1:
+            raise ValueError("the path isn't unique")
+        return int(found[0])
+
+
+class Unigram(Pieces):
+    """A SentencePiece unigram model, likewise: the best path has the largest sum of scores.
+
+    Of equally good paths one is taken, within a chunk that of the library. Sums are
+    double; the library's are single, so paths that differ by less than their
+    rounding may differ.
+    """
+
+
+    def __init__(self, path: str, spec):  # noqa: ANN001
+        super().__init__(path, spec)
+        self.unknown = min(self.scores.values()) - 10.0  # fixed value: the library's penalty
+
+    def step(self, piece: str) -> float | None:
+        found = self.scores.get(piece)
+        return self.unknown if found is None and len(piece) == 1 else found
+
+    def sums(self, text: str, lo: int, hi: int, ends: list[int], beyond: int) -> tuple[np.ndarray, list[int]]:
+        """Best sums at each position from ``lo`` on, from each entry (by its end), and where the best last piece begins (of one entry)."""
+        best, back = np.full((beyond - lo + 1, len(ends)), -np.inf), [-1] * (beyond - lo + 1)
+        best[np.array(ends) - lo, np.arange(len(ends))] = 0
+        for at in range(lo, hi):
+            row = best[at - lo]
+            if row.max() == -np.inf:
+                continue
+            for size in range(1, min(self.longest, beyond - at) + 1):
+                if (score := self.step(text[at : at + size])) is None:
+                    continue
+                to, new = at + size - lo, row + score
+                if (new > best[to]).any():
+                    best[to], back[to] = np.maximum(best[to], new), at
+        return best, back
+
+    def transfers(self, chunk: Chunk) -> np.ndarray:
+        w, o = chunk.window, chunk.offset
+        ends, lo = [e - o for _, e in chunk.left], chunk.lo
+
+        def into(best: np.ndarray, start: int) -> np.ndarray:
+            return np.stack([best[s - o - start] + self.step(w[s - o : e - o]) for s, e in chunk.right], 1)
+
+        if chunk.first is None or max(ends) > chunk.first:
+            return into(self.sums(w, lo, chunk.hi, ends, chunk.end)[0], lo)
+        head = self.sums(w, lo, chunk.first, ends, chunk.first)[0][-1]
+        tail = into(self.sums(w, chunk.last, chunk.hi, [chunk.last], chunk.end)[0], chunk.last)
+        return head[:, None] + tail  # what lies between is the same for all
+
+    def route(self, text: str, lo: int, hi: int, entry: tuple[str, int], beyond: int, end: int, start: int | None = None) -> list[str]:
+        _, back = self.sums(text, lo, hi, [entry[1]], beyond)
+        out, at = [], end
+        if start is not None:
+            out, at = [text[start:end]], start
+        while at > entry[1]:
+            out.append(text[back[at - lo] : at])
+            at = back[at - lo]
+        return out[::-1]
+
+    def packed(self, matrix: np.ndarray) -> bytes:
+        return matrix.astype("<f8").tobytes()
+
+    def unpacked(self, matrix: bytes, left: int) -> np.ndarray:
+        return np.frombuffer(matrix, "<f8").reshape(left, -1)
+
+    def chosen(self, scores: np.ndarray) -> int:
+        return int(np.argmax(scores))
+
+
 def model(path: str) -> Pieces:
+    """The model of a file; ValueError for one that chunks can't express."""
     if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        spec = proto.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        n, t = spec.normalizer_spec, spec.trainer_spec
+        if t.model_type not in (1, 2) or n.name != "identity" or not n.add_dummy_prefix or n.remove_extra_whitespaces or not t.byte_fallback or any(p.type in (4, 5) for p in spec.pieces):
+            raise ValueError(f"{path}: only BPE and unigram models with byte fallback, an identity normalizer and plain pieces are supported")
+        _MODELS[path] = (Unigram if t.model_type == 1 else Pieces)(path, spec)
     return _MODELS[path]
 
 
@@ -174,6 +265,8 @@ class Chunk:
                                 out[i, j] = 0
 
         own, w = self.own, self.window
+        if isinstance(own, Unigram):
+            return own.transfers(self)
         if self.first is None:
             fill(own.paths(w, self.lo, self.hi, self.entries(), self.end), None)
         else:
@@ -191,32 +284,29 @@ class Chunk:
         entry = self.entries(left)
         begin, end = entry[0][1], right[1] - o
         if self.first is None or begin >= self.last or begin > self.first:
-            parts = own.trace(w, own.paths(w, begin, self.hi, entry, self.end), end, right[0] - o if end > begin else None) if end > begin else []
+            parts = own.route(w, begin, self.hi, entry[0], self.end, end, right[0] - o) if end > begin else []
             return [i for p in parts for i in own.piece_ids(p)], w[begin:end]
-        head = own.trace(w, own.paths(w, begin, self.first, entry, self.first), self.first)
+        head = own.route(w, begin, self.first, entry[0], self.first, self.first)
         middle = own.library.encode(w[self.first + 1 : self.last].replace(SPACE, " ")) if self.last > self.first else []
-        tail = own.trace(w, own.paths(w, self.last, self.hi, [("", self.last)], self.end), end, right[0] - o)
+        tail = own.route(w, self.last, self.hi, ("", self.last), self.end, end, right[0] - o)
         return [i for p in head for i in own.piece_ids(p)] + list(middle) + [i for p in tail for i in own.piece_ids(p)], w[begin:end]
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each boundary (the end included) of the one path through all chunks."""
-    ahead = [m[:1] for m in matrices[:1]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    out = matrices[0]
     for m in matrices[1:]:
-        ahead.append(combine(ahead[-1], m))
-    out, behind = [], None
-    for k in range(len(matrices) - 1, -1, -1):
-        behind = np.zeros((matrices[k].shape[1], 1), np.float32) if behind is None else combine(matrices[k + 1], behind)
-        if k == len(matrices) - 1:
-            found = np.flatnonzero(ahead[k][0] == 0)
-        else:
-            found = np.flatnonzero((ahead[k][0] == 0) & (behind[:, 0] == 0))
-        if len(found) != 1:
-            raise ValueError("the path isn't unique")
-        if k == len(matrices) - 1:
-            behind = np.full((matrices[k].shape[1], 1), MINUS)
-            behind[found[0], 0] = 0
-        out.append(int(found[0]))
+        out = combine(out, m)
+    return out
+
+
+def between(own: Pieces, matrices: list[np.ndarray], first: int, last: int) -> list[int]:
+    """The state at the end of each matrix, on the best path from state ``first`` of the first to ``last`` of the last."""
+    ahead = [matrices[0][first]]
+    for m in matrices[1:-1]:
+        ahead.append(combine(ahead[-1][None], m)[0])
+    out = [last]
+    for k in range(len(matrices) - 1, 0, -1):
+        out.append(own.chosen(ahead[k - 1] + matrices[k][:, out[-1]]))
     return out[::-1]
 
 
@@ -234,7 +324,8 @@ def encode_by_scan(own: Pieces, text: str, size: int = CHUNK) -> list[int]:
     chunks = chunks_of(own, text, size)
     if not chunks:
         return []
-    at = scan([c.transfers() for c in chunks])
+    matrices = [c.transfers() for c in chunks]
+    at = between(own, matrices, 0, own.chosen(product(matrices)[0]))
     out: list[int] = []
     for k, c in enumerate(chunks):
         out += c.ids(chunks[k - 1].right[at[k - 1]] if k else c.left[0], c.right[at[k]])[0]
@@ -299,28 +390,65 @@ def _encoded(docs: DataFrame, tokenizer: str, doc_id: str, text: str, size: int,
     plain = own.where(~long).mapInPandas(whole, "doc_id long, chunk int, n_tokens long, ids binary, ids_crc32 long, round_trip boolean")
     giants = own.where(long).withColumn("hash", F.unhex(F.sha2("t", 256)))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    longest = model(tokenizer).longest
+    distinct = giants.groupBy("hash").agg(F.first("t").alias("t"))
+    covered, n = F.concat(F.lit(SPACE), F.translate("t", " ", SPACE)), F.char_length("t") + 1
+    many = F.ceil(n / size).cast("int")
+    many = F.when((many > 1) & (n - (many - 1) * size < 2 * longest), many - 1).otherwise(many)  # as chunks_of
+
+    def window(i: Column) -> Column:
+        lo, hi = i * size, F.when(i == F.col("many") - 1, F.col("n")).otherwise((i + 1) * size)
+        at, to = F.greatest(lo - longest, F.lit(0)), F.least(hi + longest, F.col("n"))
+        return F.struct(i.alias("chunk"), *[c.cast("long").alias(k) for k, c in (("at", at), ("lo", lo), ("hi", hi), ("n", F.col("n")))], F.substring(F.col("s"), (at + 1).cast("int"), (to - at).cast("int")).alias("window"))
+
+    windows = distinct.select("hash", covered.alias("s"), n.alias("n"), many.alias("many"))
+    windows = windows.select("hash", F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), window)).alias("w")).select("hash", "w.*")
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = model(tokenizer)
         for b in batches:
-            for h, t in zip(b["hash"], b["t"], strict=True):
-                rows = [(h, k, c.offset, c.lo + c.offset, c.hi + c.offset, c.n, c.window, c.transfers()) for k, c in enumerate(chunks_of(pieces, t, size))]
-                for i in range(0, len(rows), 64):
-                    part = rows[i : i + 64]
-                    yield pd.DataFrame([(*r[:7], r[7].shape[0], (r[7] == 0).tobytes()) for r in part], columns=["hash", "chunk", "at", "lo", "hi", "n", "window", "left", "matrix"])
+            for i in range(0, len(b), 64):
+                part = b.iloc[i : i + 64]
+                found = [Chunk(pieces, *r).transfers() for r in part[["window", "at", "lo", "hi", "n"]].itertuples(index=False, name=None)]
+                yield part.assign(left=[m.shape[0] for m in found], matrix=[pieces.packed(m) for m in found])
 
-    distinct = giants.groupBy("hash").agg(F.first("t").alias("t"))
-    chunks = written(distinct.mapInPandas(cut, "hash binary, chunk int, at long, lo long, hi long, n long, window string, left int, matrix binary"), "chunks")
+    windows = windows.repartition("hash", "chunk")  # a document's chunks go to all tasks
+    chunks = written(windows.mapInPandas(transfer, "hash binary, chunk int, at long, lo long, hi long, n long, window string, left int, matrix binary"), "chunks")
+
+    def up(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        pieces, rows = model(tokenizer), []
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            own_ = frame.iloc[s:e]
+            out = product([pieces.unpacked(m, k) for m, k in zip(own_["matrix"], own_["left"], strict=True)])
+            rows.append((own_["hash"].iloc[0], own_["group"].iloc[0], out.shape[0], pieces.packed(out)))
+        return pd.DataFrame(rows, columns=["hash", "i", "left", "matrix"])
 
-    def join(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        parts = []
+    def down(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        pieces, parts = model(tokenizer), []
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            own_ = frame.iloc[s:e].sort_values("chunk")
-            matrices = [np.where(np.frombuffer(m, bool).reshape(k, -1), np.float32(0), MINUS) for m, k in zip(own_["matrix"], own_["left"], strict=True)]
-            at = scan(matrices)
-            parts.append(pd.DataFrame({"hash": own_["hash"], "chunk": own_["chunk"], "from": [0, *at[:-1]], "to": at}))
+            own_ = frame.iloc[s:e]
+            first = int(own_["from"].iloc[0])
+            at = between(pieces, [pieces.unpacked(m, k) for m, k in zip(own_["matrix"], own_["left"], strict=True)], first, int(own_["to"].iloc[0]))
+            parts.append(pd.DataFrame({"hash": own_["hash"], "i": own_["i"], "from": [first, *at[:-1]], "to": at}))
         return pd.concat(parts, ignore_index=True)
 
-    states = grouped(chunks.select("hash", "chunk", "left", "matrix"), ["hash"], join, "hash binary, chunk int, from int, to int")
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = model(tokenizer)
+        for b in batches:
+            yield pd.DataFrame({"hash": b["hash"], "i": b["i"], "from": 0, "to": [pieces.chosen(pieces.unpacked(m, k)[0]) for m, k in zip(b["matrix"], b["left"], strict=True)]})
+
+    tree = [chunks.select("hash", F.col("chunk").alias("i"), "left", "matrix")]
+    top = chunks.agg(F.max("chunk")).first()[0] or 0
+    group = (F.col("i") / FAN).cast("int").alias("group")
+    while top > 0:
+        tree.append(written(grouped(tree[-1].select("*", group), ["hash", "group"], up, "hash binary, i int, left int, matrix binary", ("i",)), "products"))
+        top //= FAN
+    states = tree[-1].mapInPandas(end, "hash binary, i int, from int, to int")
+    for level in tree[-2::-1]:
+        above = states.withColumnRenamed("i", "group")
+        states = grouped(level.select("*", group).join(above, ["hash", "group"]), ["hash", "group"], down, "hash binary, i int, from int, to int", ("i",))
+        states = written(states, "states")
+    states = states.withColumnRenamed("i", "chunk")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = model(tokenizer)

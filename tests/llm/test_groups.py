@@ -328,6 +328,57 @@ def test_intersections_are_exact(lists):
 SOME = ["a", "the", "ing", " ", "  ", "    ", "\t", "\n", "é", "中", "23", "!", "'", "ion", "🎉", "▁", "<s>", "xxxxx", "==", "----"]
 
 
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """A unigram model made by rule from the pieces of the BPE model: the score falls with the rank, unevenly, so that sums don't tie."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    with open(PIECES, "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.trainer_spec.model_type = 1
+    for k, p in enumerate(spec.pieces):
+        if p.type == 1:
+            p.score = -2 - 0.0005 * k - 0.37 * np.sin(k * k)
+    path = tmp_path_factory.mktemp("unigram") / "unigram.model"
+    path.write_bytes(spec.SerializeToString())
+    return str(path)
+
+
+@settings(deadline=None, max_examples=150)
+@given(parts=st.lists(st.sampled_from(["a", "the", "ing", " ", "  ", "\t", "\n", "é", "中", "23", "!", "ion", "🎉", "▁", "xxxxx", "==", "tion", "qu", "er"]), max_size=80), size=st.sampled_from([33, 50, 90]))
+def test_unigram_scans_are_as_good_as_the_library_s(unigram, parts, size):
+    """Runs of one character have paths of equal sums, which the library's single rounding tells apart; else ids are equal."""
+    own, text = sentencepiece_scan.model(unigram), "".join(parts)
+    assert isinstance(own, sentencepiece_scan.Unigram)
+    found, want = sentencepiece_scan.encode_by_scan(own, text, size), own.library.encode(text)
+    total = lambda ids: sum(own.library.get_score(i) for i in ids)
+    assert np.isclose(total(found), total(want), rtol=1e-6) and sentencepiece_scan.pieces_text(own, found) == sentencepiece_scan.normalized(text)
+    if all(a != b for a, b in zip(text, text[1:], strict=False)):
+        assert found == want
+
+
+def test_deep_trees_give_the_library_s_ids(spark, unigram, monkeypatch):
+    """Documents of many chunks, over several levels of the tree, by both kinds of model."""
+    monkeypatch.setattr(sentencepiece_scan, "FAN", 3)
+    rng = random.Random(4)
+    words = ["the", "of", "information", "xq", "中文字", "é", "--", "a1b2", "🎉", "reading"]
+    texts = ["".join(rng.choices(words, k=6000)), " ".join(rng.choices(words, k=3000)), "x" * 5000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for path in (PIECES, unigram):
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        ids = {}
+        for r in sorted(sentencepiece_scan.encode(rows, path, size=300).collect(), key=lambda r: r.chunk):
+            ids[r.doc_id] = ids.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+            assert r.round_trip
+        want = {i: library.encode(t or "") for i, t in enumerate(texts)}
+        if path == unigram:  # many paths through equal letters are equally good: one of them is taken
+            total = lambda own: sum(library.get_score(i) for i in own)
+            assert np.isclose(total(ids[2]), total(want[2])) and library.decode(ids[2]) == texts[2]
+            ids[2] = want[2]
+        assert ids == want
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.sampled_from(SOME), max_size=80), st.sampled_from([33, 50, 90]))
 def test_scans_give_the_library_s_ids(parts, size):
