@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graph import small
 from .common import column, fresh, shared_path, table, written
 
 MAGIC = b"\x5d\x2a\x4d\x18"
@@ -71,12 +72,17 @@ def dictionary(samples: list[bytes]):  # noqa: ANN201
 
 
 class Writer:
-    """Files ``<name>-<k>.warc.zst`` in a folder; ``done()`` renames them and gives their manifest."""
+    """Files ``<name>-<attempt>-<k>.warc.zst`` in a folder; ``done()`` gives their manifest.
+
+    Each attempt of a task has names of its own, so a speculative or repeated one
+    never touches a file that another one's manifest names. A file counts only if
+    the manifest that was written has it.
+    """
 
     def __init__(self, uri: str, name: str, level: int = 3, date: str = "1970-01-01T00:00:00Z"):
         self.fs, self.folder = _fs(uri)
         self.fs.create_dir(self.folder, recursive=True)
-        self.uri, self.name, self.level, self.date = uri.rstrip("/"), name, level, date
+        self.uri, self.name, self.level, self.date = uri.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}", level, date
         self.waiting: list[bytes] = []
         self.sample, self.out, self.files = 0, None, []
 
@@ -97,7 +103,7 @@ class Writer:
         own = dictionary(self.waiting)
         self.pack = zstd.ZstdCompressor(level=self.level, dict_data=own, write_checksum=True)
         packed = zstd.ZstdCompressor(level=19).compress(own.as_bytes())
-        self.temp = f"{self.folder}/.{self.name}-{uuid.uuid4().hex}.tmp"
+        self.temp = f"{self.folder}/.{self.name}-{len(self.files)}.tmp"
         self.out, self.size, self.n = self.fs.open_output_stream(self.temp, compression=None), 0, 0
         self._raw(MAGIC + struct.pack("<I", len(packed)) + packed)
         info = f"software: granary\r\nformat: WARC File Format 1.1\r\npart: {self.name}\r\n".encode()
@@ -117,8 +123,6 @@ class Writer:
     def _close(self) -> None:
         self.out.close()
         final = f"{self.name}-{len(self.files):04d}.warc.zst"
-        if self.fs.get_file_info(f"{self.folder}/{final}").is_file:  # of an attempt whose result was lost
-            self.fs.delete_file(f"{self.folder}/{final}")
         self.fs.move(self.temp, f"{self.folder}/{final}")
         self.files.append((f"{self.uri}/{final}", self.n, self.size))
         self.out = None
@@ -181,11 +185,15 @@ def write_archives(pages: DataFrame, uri: str, page_id: str = "page_id", url: st
     id is all responses, as is a single row without one. Rows without a url get
     no target uri. Very long payloads pass through one task's memory one at a
     time. An empty table gives an empty manifest. Extra columns don't matter.
+
+    Only digests that repeat are joined, by broadcast where they are few; else
+    payloads are dealt by digest, and one with very many copies is split by the
+    adaptive skew join.
     """
     own = pages.select(column(pages, page_id).cast("long").alias("i"), column(pages, url).alias("u"), F.encode(F.coalesce(column(pages, html), F.lit("")), "UTF-8").alias("p"))
     own = own.withColumn("d", F.sha2("p", 256))
     firsts = own.where(F.octet_length("p") >= min_revisit_bytes).groupBy("d").agg(F.min("i").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    marked = own.join(firsts, "d", "left").withColumn("revisit", F.expr("first is not null and not (i <=> first)"))
+    marked = own.join(small(written(firsts, "firsts")), "d", "left").withColumn("revisit", F.expr("first is not null and not (i <=> first)"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = None
