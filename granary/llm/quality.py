@@ -26,10 +26,14 @@ _END = regex.compile(r"""[.!?…:;"'”’»)\]\p{Sentence_Terminal}：；︰؛
 _SEPARATOR = regex.compile(r"^[|»›•·>/–—-]+$")
 _LOWER, _UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 SYMBOLS = "#*$%&|<>"
-#: Phrases, in lower case, of lines that belong to a site and not to a text.
+#: Phrases, in lower case, of lines that belong to a site and not to a text: English, German, French, Spanish. A line's
+#: frequency wouldn't do: the lines of a text with many copies are frequent too, and one of its copies has to stay.
 PHRASES = (
     "all rights reserved", "licensed under", "cookie policy", "accept cookies", "uses cookies", "privacy policy", "terms of use",
     "terms of service", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "sign up for our", "skip to content",
+    "alle rechte vorbehalten", "lizenziert unter", "verwendet cookies", "verwenden cookies", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "sous licence", "utilise des cookies", "utilisons des cookies", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "abonnez-vous à notre", "aller au contenu",
+    "todos los derechos reservados", "bajo la licencia", "utiliza cookies", "utilizamos cookies", "política de privacidad", "términos de uso", "haga clic aquí", "suscríbase a nuestro", "saltar al contenido",
 )
 _PHRASE = regex.compile("|".join(map(regex.escape, PHRASES)))
 VERDICTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_removed_lines long, n_removed_words long, kept boolean"
@@ -159,7 +163,7 @@ b AS (SELECT *, nth > 1
         OR seps * 100 > 25 * n
         OR (n >= 3 AND NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))
         OR (n >= 10 AND len(list_distinct(lw)) * 100 < 34 * n)
-        OR regexp_matches(lower(line), 'all rights reserved|licensed under|cookie policy|accept cookies|uses cookies|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our|skip to content') AS bad
+        OR len(regexp_extract_all(lower(line), '@PHRASES@')) > 0 AND (n < 20 OR 2 * list_sum(list_transform(regexp_extract_all(lower(line), '@PHRASES@'), lambda x: len(string_split(x, ' ')))) > n) AS bad
       FROM f),
 ls AS (SELECT k, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_dup_lines, count(*) FILTER (bad) AS n_removed_lines,
          coalesce(sum(n) FILTER (bad), 0)::BIGINT AS n_removed_words FROM b GROUP BY k),
@@ -172,4 +176,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   n_lines, n_removed_lines, n_removed_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_removed_words <= 50 * n_words AS kept
 FROM a
-"""
+""".replace("@PHRASES@", "|".join(PHRASES).replace("'", "''"))
