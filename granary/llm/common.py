@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.runtime import ship, table  # noqa: F401  (re-exported)
+from granary.runtime import shared_dir, shared_path, ship, table  # noqa: F401  (re-exported)
 
 #: A word, as the quality and near-duplicate operators see it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session doesn't name one (tests on one machine), a temporary
-    folder is made and set, so the next call finds it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="granary-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut there.
 

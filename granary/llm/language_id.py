@@ -30,13 +30,13 @@ BUCKETS, EFFECTIVE, KAPPA = 1 << 14, 60.0, 20.0
 SAMPLE_ROWS, SAMPLE_CHARS, LEAST_ROWS = 4000, 20_000, 5
 #: A language's share of the sample at least, however many languages there are.
 LANGUAGE_ROWS = 200
-_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def grams(text: str) -> np.ndarray:
     """Buckets of the letter bigrams and trigrams of a whole text, lower-cased; other characters part words."""
     u = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    u = np.where(_LETTER[np.minimum(u, np.uint64(0xFFFF)).astype(np.int64)], u, np.uint64(32))
+    u = np.where(_LETTER[u.astype(np.int64)], u, np.uint64(32))
     u = np.concatenate([[np.uint64(32)], u, [np.uint64(32)]])
     blank = u == 32
     two = u[:-1] * np.uint64(0x9E3779B1) + u[1:] * np.uint64(0x85EBCA77)
@@ -70,12 +70,13 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> LanguageMod
     Each language has a share of its own, so every one with LEAST_ROWS labelled
     rows is in the model, whatever the size of the others; without such a one,
     those with the most rows. Longer texts serve only for a language with too few
-    others. The text with the least hash is always taken: a language may have many
-    copies of few texts.
+    others. Equal texts of a language count once, so copies neither fill the sample
+    nor keep others out; the text with the least hash is always taken.
     """
     rows = docs.select(column(docs, label).alias("l"), column(docs, text).alias("t")).where("l is not null and l <> '' and t is not null")
     hashed, fits = F.pmod(F.xxhash64("t"), F.lit(1 << 30)), F.char_length("t") <= SAMPLE_CHARS
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.min(hashed).alias("first"), F.count_if(fits).alias("n_fit"), F.min(F.when(fits, hashed)).alias("first_fit"))
+    different = lambda c: F.greatest(F.approx_count_distinct(c, 0.02), F.lit(1))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.min(hashed).alias("first"), F.count_if(fits).alias("n_fit"), F.min(F.when(fits, hashed)).alias("first_fit"), different(F.xxhash64("t")).alias("texts"), different(F.when(fits, F.xxhash64("t"))).alias("texts_fit"))
     found = sizes.where(F.col("n") >= LEAST_ROWS).collect()  # a row a language
     if not found:
         most = sizes.agg(F.max("n")).first()[0]
@@ -86,10 +87,10 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> LanguageMod
     shares = []
     for r in found:
         long = r.n_fit < min(LEAST_ROWS, r.n)
-        n, first = (r.n, r.first) if long else (r.n_fit, r.first_fit)
+        n, first = (r.texts, r.first) if long else (r.texts_fit, r.first_fit)
         shares.append((r.l, long, max(first + 1, int(min(1.0, wanted / n) * (1 << 30)))))
     shares_ = F.broadcast(docs.sparkSession.createDataFrame(shares, "l string, long boolean, below long"))
-    sample = rows.join(shares_, "l").where((hashed < F.col("below")) & (F.col("long") | fits)).select("l", "t")
+    sample = rows.join(shares_, "l").where((hashed < F.col("below")) & (F.col("long") | fits)).groupBy("l", F.sha2("t", 256)).agg(F.first("t").alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
