@@ -45,12 +45,18 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _byte_level(pre: dict | None) -> bool:
+    return bool(pre) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
 class PrefixCounter:
-    """Counts for one tokenizers .json file with a byte-level BPE model."""
+    """Counts for one tokenizers .json file with a byte-level BPE model; ValueError for another."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["model"].get("type") != "BPE" or not _byte_level(spec.get("pre_tokenizer")) or spec.get("normalizer") or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: only byte-level BPE without a normalizer or a prefix space is supported")
         to_byte = _byte_of()
         raw = lambda s: bytes(to_byte[c] for c in s)
         special = [x["content"] for x in spec.get("added_tokens", ())]

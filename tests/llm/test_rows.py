@@ -330,6 +330,74 @@ def test_evidence_decides_where_texts_do_not(spark):
     assert language_id.identify(docs.limit(3), nothing).where("accepted").count() == 0 and language_id.identify(docs.limit(0), model).count() == 0
 
 
+def brute_fusion(rows, model, kappa=20.0):
+    """(language, confidence) of (text, declared, host) rows, from the formulas one by one."""
+    langs = model.languages
+    k = len(langs)
+    evidence = [model.evidence(t) for t, _, _ in rows]
+    shares = []
+    for e in evidence:
+        w = np.exp(e[:k] - e[:k].max())
+        shares.append(w / w.sum() if e[k] < 0 else np.zeros(k))
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1] if "." in h else ""
+    counted = lambda of, key: sum((s for s, r in zip(shares, rows, strict=True) if of(r) == key), np.zeros(k))
+    total = sum(shares, np.zeros(k))
+    whole = (total + 1) / (total.sum() + k)
+
+    def ratio(of, key):
+        n = counted(of, key)
+        return np.zeros(k) if key == "" else np.log((n + kappa * whole) / (n.sum() + kappa) / whole)
+
+    out = []
+    for e, r in zip(evidence, rows, strict=True):
+        _, said, host = r
+        d, h = counted(lambda x: domain(x[2]), domain(host)), counted(lambda x: x[2], host)
+        prior = np.log((h + kappa * (d + kappa * whole) / (d.sum() + kappa)) / (h.sum() + kappa))
+        z = e[:k] + prior + ratio(lambda x: x[1], said) + ratio(lambda x: suffix(x[2]), suffix(host))
+        out.append((langs[int(np.argmax(z))], 1 / np.exp(z - z.max()).sum()))
+    return out
+
+
+def test_posteriors_are_those_of_brute_force(spark):
+    """Declared languages that are often wrong or missing, hosts that share domains, texts of one word and of none."""
+    r = random.Random(8)
+    model = language_id.fit(labelled(spark))
+    rows = [(prose(lang, r.choice((1, 2, 3, 40)), i) if r.random() < 0.9 else r.choice(["", "12"]), r.choice([lang, lang, "en", "", "xx"]), r.choice(["a.site.de", "b.site.de", "x.fr", "src1", ""])) for i in range(60) for lang in WORDS]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, text string, said string, host string")
+    found = language_id.identify(frame, model, declared=F.col("said"), address=F.col("host")).orderBy("i").collect()
+    for got, (lang, confidence) in zip(found, brute_fusion(rows, model), strict=True):
+        assert abs(got.confidence - confidence) < 1e-9 and (got.language == lang or confidence < 0.5 + 1e-9)
+
+
+def test_ties_repeats_and_very_long_texts(spark):
+    same = np.ones(language_id.BUCKETS)
+    model = language_id.LanguageModel({"b": same, "a": same, "c": same * 0 + np.arange(language_id.BUCKETS) % 2})
+    long = prose("en", 150_000, 3)
+    rows = spark.createDataFrame([(1, "river", "x"), (1, "river", "x"), (2, long, "x")], "i int, text string, language string")
+    found = language_id.identify(rows, model).orderBy("i").collect()
+    assert found[0] == found[1] and found[0].language_ == found[0].text_language == "a"
+    real = language_id.identify(rows, language_id.fit(labelled(spark))).where("i = 2").first()
+    assert real.language_ == "en" and real.accepted
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [("the river and the town", "en")] * 20_000 + [(prose("en", 30, i), "en") for i in range(12)] + [(prose("de", 30, i), "de") for i in range(12)]
+    counted = []
+    real = language_id.grams
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(docs)
+    own = model.log[model.languages.index("en")]
+    word = real("river")
+    assert model.languages == ["de", "en"] and not counted
+    # with 20,000 copies in the sample the other texts' words would hardly count
+    assert own[real("people")].mean() > own[word].mean() - 3
+
+
+def test_letters_beyond_the_first_plane():
+    assert len(language_id.grams("\U00010400\U00010401\U00010402")) and not len(language_id.grams("\U0001F600 \U0001F601"))
+
+
 def test_markup_and_hosts(spark):
     rows = spark.createDataFrame([("<!doctype html><HTML class=x lang='de-AT'>", "https://u@Www.A.de:80/x?y"), (None, None), ("<p lang=fr>", "src1")], "h string, u string")
     found = rows.select(language_id.markup_language(F.col("h")), language_id.host_of(F.col("u"))).collect()
@@ -387,3 +455,10 @@ def test_each_record_can_be_read_alone(tmp_path):
         list(warc.read_file(path))
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nab\r\n\r\n")
+
+
+def test_counters_refuse_other_models():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        token_counts.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
