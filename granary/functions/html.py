@@ -8,6 +8,7 @@ and gives a struct.
 
 from __future__ import annotations
 
+import html as html_lib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -378,3 +379,13 @@ def join_urls(base: Column, href: Column) -> Column:
         return pd.Series([joined(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
 
     return run(base, href)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references resolved."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else html_lib.unescape(x) for x in texts], dtype=object)
+
+    return run(text)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
-from granary.functions.html import join_urls
+from granary.functions.html import join_urls, unescaped
 from granary.runtime import shared_path
 
 
@@ -19,9 +19,16 @@ def resolved(src: Column, href: Column) -> Column:
     return F.when(rest, join_urls(F.when(rest, src), F.when(rest, href))).otherwise(X.resolve_link(src, href))
 
 
+def decoded(href: Column) -> Column:
+    """Character references resolved; only hrefs with others than ``&amp;`` go to Python."""
+    rest = F.coalesce(href.rlike("&(?!amp;)#?[a-zA-Z0-9]"), F.lit(False))
+    return F.when(rest, unescaped(F.when(rest, href))).otherwise(F.replace(href, F.lit("&amp;"), F.lit("&")))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(src, href, url) for each link; the url of what can't be one is null."""
     out = pages.select(F.col("url").alias("src"), F.explode(X.hrefs(F.col("html"))).alias("href"))
+    out = out.withColumn("href", decoded(F.col("href"))).where("href <> ''")
     return out.withColumn("url", resolved(F.col("src"), F.col("href")))
 
 

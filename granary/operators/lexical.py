@@ -34,8 +34,8 @@ class Bm25Index:
 
 def postings(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     """(term, id, tf, dl). A document is whole in its row, so its repeats are counted before anything moves."""
-    words = tokens(F.col(text))
-    words = docs.select(F.col(id).alias("id"), F.size(words).cast("long").alias("dl"), F.explode(words).alias("term"))
+    words = docs.select(F.col(id).alias("id"), F.size(tokens(F.col(text))).cast("long").alias("dl"), tokens(F.col(text)).alias("w"))
+    words = words.select("id", "dl", F.explode("w").alias("term"))  # the length is counted below the explode, once a document
     return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
 

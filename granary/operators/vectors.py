@@ -52,8 +52,8 @@ def hashed_embedding(text: Column, dimensions: int = V.DIMENSIONS) -> Column:
 
     def dense(c: Column) -> Column:
         length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.n * x.n))
-        parts = F.transform(c, lambda p, k: F.concat(zeros(p.b - F.coalesce(F.get(c, k - 1).getField("b"), F.lit(-1)) - 1), F.array(p.n / length)))
-        return F.concat(F.flatten(parts), zeros(dimensions - 1 - F.coalesce(F.get(c, F.size(c) - 1).getField("b"), F.lit(-1))))
+        parts = lambda length: F.transform(c, lambda p, k: F.concat(zeros(p.b - F.coalesce(F.get(c, k - 1).getField("b"), F.lit(-1)) - 1), F.array(p.n / length)))
+        return F.concat(F.flatten(once(length, parts)), zeros(dimensions - 1 - F.coalesce(F.get(c, F.size(c) - 1).getField("b"), F.lit(-1))))
 
     return once(_counts(text, dimensions), dense)
 
@@ -100,10 +100,11 @@ def search(vectors: DataFrame, query: Column | list[float] | DataFrame, k: int,
 
 
 def latest(new: DataFrame, id: str = "id", seq: str | list[str] = "seq") -> DataFrame:
-    """Of rows with one id that with the highest ``seq``; of such with equal ones a hash of the content decides, so any order of rows gives the same."""
+    """Of rows with one id the last by ``seq``, then by the other columns in turn, so any order of rows gives the same; nulls come first."""
     order = [seq] if isinstance(seq, str) else list(seq)
     rest = [c for c in new.columns if c != id and c not in order]
-    return new.groupBy(id).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("r")).select(id, "r.*")
+    last = F.max(F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("r"))).alias("x")
+    return new.groupBy(id).agg(last).select(id, "x.r.*")
 
 
 def upserted(existing: DataFrame, new: DataFrame, id: str = "id", seq: str | list[str] = "seq") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.config import Settings, Site
@@ -230,7 +230,7 @@ AUTHORITY = r"regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1
 NORMAL = rf"lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) || '://' || {AUTHORITY} || regexp_replace({PATH}, '/+$', '')"
 EXTENSION = rf"lower(regexp_extract({PATH}, '[^/.][^/]*(\.[^./]*)$', 1))"
 SKIP = " OR ".join(f"contains(lower(url), '{p}')" for p in X.SKIP_PATTERNS) + f" OR {EXTENSION} IN ({', '.join(repr(e) for e in X.SKIP_EXTENSIONS)})"
-HREFS = """hrefs AS (SELECT page_id, url AS src, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"]*)"', 1)) AS href FROM pages),
+HREFS = """hrefs AS (SELECT page_id, url AS src, replace(unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref="([^"]*)"', 1)), '&amp;', '&') AS href FROM pages),
 links AS (SELECT page_id, src, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(src, '^([^:]*:)', 1) || href
   WHEN starts_with(href, '/') THEN regexp_extract(src, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href END AS url FROM hrefs WHERE href <> '')"""
 
@@ -257,19 +257,25 @@ def link_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HREFS} SELECT page_id, href, url FROM links")
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select("page_id", "url", F.explode(X.hrefs(F.col("html"))).alias("href"))
+    rows = _pages(spark, sf_dir).select("page_id", "url", F.explode(X.hrefs(F.col("html"))).alias("href")).withColumn("href", crawl.decoded(F.col("href")))
     return rows.select("page_id", "href", crawl.resolved(F.col("url"), F.col("href")).alias("url"))
 
 
 @query(f"WITH {HREFS} SELECT page_id, href, url FROM links")
 def link_resolve_rfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select("page_id", "url", F.explode(X.hrefs(F.col("html"))).alias("href"))
+    rows = _pages(spark, sf_dir).select("page_id", "url", F.explode(X.hrefs(F.col("html"))).alias("href")).withColumn("href", crawl.decoded(F.col("href")))
     return rows.select("page_id", "href", join_urls(F.col("url"), F.col("href")).alias("url"))
 
 
-@query(f"WITH {HREFS}, seen AS (SELECT DISTINCT {NORMAL} AS norm_url FROM pages) SELECT DISTINCT {NORMAL} AS norm_url FROM links WHERE {NORMAL} NOT IN (SELECT norm_url FROM seen)")
+#: A page with links of all kinds, which the table lacks, and what they resolve to, worked out by hand.
+ODD_PAGE = ("http://a.example.org/x/y", """<a href="next.html">1</a><A HREF='../up/'>2</A><a class=c href=bare?p=1>3</a><a href="/q?a=1&amp;b=2">4</a><a href='?page=2'>5</a><a href="#top">6</a>
+<a href="//other.example.org/z">7</a><a href="http://B.example.org/k/../m">8</a><a title="href='no'" href="&#47;num">9</a><a href="">10</a><a name=n>11</a><a href="y">itself</a><a href="mailto:x@y.z">12</a>""")
+ODD_LINKS = ["http://a.example.org/x/next.html", "http://a.example.org/up", "http://a.example.org/x/bare", "http://a.example.org/q", "http://other.example.org/z", "http://B.example.org/k/../m", "http://a.example.org/num", "mailto://x@y.z"]
+
+
+@query(f"WITH {HREFS}, seen AS (SELECT DISTINCT {NORMAL} AS norm_url FROM pages) SELECT DISTINCT {NORMAL} AS norm_url FROM links WHERE {NORMAL} NOT IN (SELECT norm_url FROM seen) UNION SELECT unnest({ODD_LINKS})")
 def link_frontier_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir)
+    rows = _pages(spark, sf_dir).select("url", "html").unionByName(spark.createDataFrame([ODD_PAGE], "url string, html string"))
     return crawl.new_links(crawl.links(rows), rows)
 
 
@@ -354,17 +360,24 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "section_heading")
 
 
-VERSIONS = """old AS (SELECT doc_id AS id, text, source AS note FROM documents),
-new AS (SELECT doc_id AS id, 'new ' || text AS text, lang AS note, 1 AS seq FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT doc_id, 'newer ' || text, source, 2 FROM documents WHERE n_chars % 6 = 0 UNION ALL SELECT doc_id + 100000000, text, lang, 1 FROM documents WHERE n_chars % 7 = 0),
-latest AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"""
+VERSIONS = """old AS (SELECT doc_id AS id, md5(text) AS text, source AS note FROM documents),
+new AS (SELECT doc_id AS id, md5('new ' || text) AS text, lang AS note, 1 AS seq FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT doc_id, md5('newer ' || text), source, 2 FROM documents WHERE n_chars % 6 = 0
+  UNION ALL SELECT doc_id, md5('tied ' || text), lang, 1 FROM documents WHERE n_chars % 9 = 0 UNION ALL SELECT doc_id, md5('tied ' || text), 'zz', 2 FROM documents WHERE n_chars % 12 = 0 UNION ALL SELECT doc_id + 100000000, md5(text), lang, 1 FROM documents WHERE n_chars % 7 = 0),
+latest AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC, text DESC NULLS LAST, note DESC NULLS LAST) = 1)"""
 
 
-@query(f"WITH {VERSIONS} SELECT id, md5(text) AS text, note FROM latest UNION ALL SELECT id, md5(text), note FROM old WHERE id NOT IN (SELECT id FROM latest)")
+@query(f"WITH {VERSIONS} SELECT id, text, note FROM latest UNION ALL SELECT id, text, note FROM old WHERE id NOT IN (SELECT id FROM latest)")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows are new, some come twice, and some twice with the same place."""
     docs = _docs(spark, sf_dir)
     old = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("text"), F.col("source").alias("note"))
-    part = lambda where, text, note, seq, add=0: docs.where(where).select((F.col("doc_id") + add).alias("id"), F.md5(text).alias("text"), F.col(note).alias("note"), F.lit(seq).alias("seq"))
-    new = part("n_chars % 3 = 0", F.concat(F.lit("new "), "text"), "lang", 1).unionByName(part("n_chars % 6 = 0", F.concat(F.lit("newer "), "text"), "source", 2)).unionByName(part("n_chars % 7 = 0", F.col("text"), "lang", 1, 100000000))
+
+    def part(where: str, say: str, note: Column, seq: int, add: int = 0) -> DataFrame:
+        return docs.where(where).select((F.col("doc_id") + add).alias("id"), F.md5(F.concat(F.lit(say), "text")).alias("text"), note.alias("note"), F.lit(seq).alias("seq"))
+
+    lang, source = F.col("lang"), F.col("source")
+    new = part("n_chars % 3 = 0", "new ", lang, 1).unionByName(part("n_chars % 6 = 0", "newer ", source, 2)).unionByName(part("n_chars % 9 = 0", "tied ", lang, 1))
+    new = new.unionByName(part("n_chars % 12 = 0", "tied ", F.lit("zz"), 2)).unionByName(part("n_chars % 7 = 0", "", lang, 1, 100000000))
     return vectors.upserted(old, new)
 
 
