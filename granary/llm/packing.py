@@ -173,7 +173,7 @@ def swept(runs: pd.DataFrame, capacity: int, sequences: int | None = None, share
     for kind, first, size, n in sorted(zip(*(runs[c].tolist() for c in ("kind", "first", "size", "n")), strict=True)):
         if kind == GAP:
             gaps.setdefault(size, []).append((first, n))
-    found: list[tuple] = []
+    found = [x for x in runs.itertuples(index=False, name=None) if x[0] == SEGMENT]  # of the sweeps before
     while documents and gaps and (moved := sweep(documents, gaps, capacity)):
         found += moved
     if sequences is not None and documents:
@@ -192,22 +192,19 @@ def segments(runs: DataFrame, capacity: int) -> tuple[list[tuple[int, int, int,
     spark, sequences, found = runs.sparkSession, 0, []
     state = runs.select(F.lit(DOCUMENT).alias("kind"), F.col("l").cast("long").alias("size"), *[F.lit(0).cast("long").alias(c) for c in ("first", "sequence", "offset", "each")], F.col("n").cast("long").alias("n"))
 
-    def superstep(state: DataFrame, ranges: int) -> tuple[DataFrame, list]:
-        nonlocal sequences
+    def by_ranges(state: DataFrame, ranges: int) -> DataFrame:
         start = sequences if ranges == 1 else None
-        out = state.groupBy(F.floor(F.col("size") * ranges / (capacity + 1)).alias("range")).applyInPandas(lambda own: swept(own, capacity, start), _RUNS)
-        out = written(out, "round")
-        done = out.where(f"kind >= {SEGMENT}").collect()  # some thousands in all rounds
-        sequences += sum(r.n for r in done if r.kind == OPENED)
-        return out.where(f"kind < {SEGMENT}"), [(r.size, r.first, r.n, r.sequence, r.offset, r.each) for r in done if r.kind == SEGMENT]
-
-    ranges = 1  # there are no gaps yet
-    while True:
-        state, new = superstep(state, ranges)
-        found += new
-        if ranges == 1 and state.where(f"kind = {DOCUMENT}").isEmpty():
-            return found, sequences
-        ranges = RANGES if ranges == 1 else 1
+        return state.groupBy(F.floor(F.col("size") * ranges / (capacity + 1)).alias("range")).applyInPandas(lambda own: swept(own, capacity, start), _RUNS)
+
+    waiting = not state.isEmpty()
+    while waiting:
+        swept_ = by_ranges(state, RANGES) if found else state  # in the first round there are no gaps
+        out = written(by_ranges(swept_, 1), "round")
+        told = out.where(f"kind <> {GAP}").collect()  # what was found, some thousands in all rounds, and the lengths that wait
+        sequences += sum(r.n for r in told if r.kind == OPENED)
+        found += [(r.size, r.first, r.n, r.sequence, r.offset, r.each) for r in told if r.kind == SEGMENT]
+        state, waiting = out.where(f"kind < {SEGMENT}"), any(r.kind == DOCUMENT for r in told)
+    return found, sequences
 
 
 def pack(items: DataFrame, keys: list[str], capacity: int, length: str = "length") -> DataFrame:
