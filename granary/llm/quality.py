@@ -9,7 +9,7 @@ Whole texts are judged, in one Arrow-batched pass without a shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -57,8 +57,8 @@ class Rules:
     max_lost_pct: int = 50
 
 
-def line_fails(line: str, words: list[str], rules: Rules) -> str | None:
-    """The rule that a line breaks. ``words`` are its words, at least one."""
+def line_fails(line: str, words: list[str], rules: Rules, phrases: Sequence[str] = PHRASES) -> str | None:
+    """The rule that a line breaks. ``words`` are its words, at least one; ``phrases`` those of PHRASES that it could have."""
     n = len(words)
     if sum(map(line.count, SYMBOLS)) * 100 > rules.symbols_pct * n:
         return "symbols"
@@ -70,7 +70,7 @@ def line_fails(line: str, words: list[str], rules: Rules) -> str | None:
         return "capitals"
     if n >= rules.repeat_words and len(set(words)) * 100 < rules.distinct_pct * n:
         return "repetition"
-    found = _PHRASE.findall(line.lower())
+    found = _PHRASE.findall(line.lower()) if phrases else ()
     if found and (n < rules.phrase_words or 2 * sum(len(x.split()) for x in found) > n):
         return "boilerplate"
     return None
@@ -96,6 +96,8 @@ def judge(text: str | None, rules: Rules = Rules()) -> tuple[tuple, str]:
     words = _WORD.findall(text)
     counts, n = base_counts(text, words), len(words)
     failed = n < 50 or 100 * counts[3] > 50 * n
+    low = text.lower()
+    phrases = [p for p in PHRASES if p in low]  # mostly none
     seen: set[str] = set()
     stay, lines, gone, lost = [], 0, 0, 0
     for line in text.split("\n"):
@@ -103,7 +105,7 @@ def judge(text: str | None, rules: Rules = Rules()) -> tuple[tuple, str]:
             stay.append(line)
             continue
         lines += 1
-        if line in seen or line_fails(line, own, rules):
+        if line in seen or line_fails(line, own, rules, phrases):
             gone, lost = gone + 1, lost + len(own)
         else:
             seen.add(line)
