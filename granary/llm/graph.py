@@ -259,6 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
         forget(spark, label)
         label = new.select("node", "root")
         if not changed:
+            forget(spark, both)
             return label
 
 
