@@ -113,10 +113,10 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[lexical.Bm25Index, DataFr
         path = shared_path(spark, "search")
         meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"), "doc_id")
         docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", meta.alias("metadata"))
-        lexical.index_corpus(docs, f"{path}/words")
+        index = lexical.index_corpus(docs, f"{path}/words")
         collection = vectors.Collection(spark, path, "documents", f"id bigint, text string, metadata {METADATA}, embedding array<double>")
-        collection.upsert(docs.withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
-        _STORED[key] = lexical.load_index(spark, f"{path}/words"), collection.read()
+        collection.upsert(index.documents.drop("row").withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
+        _STORED[key] = index, collection.read()
     return _STORED[key]
 
 
