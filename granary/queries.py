@@ -338,8 +338,8 @@ strings AS (SELECT page_id, 'content' AS what, string_split({_decoded("regexp_re
   UNION ALL SELECT page_id, 'section', list_filter(list_transform(string_split_regex(regexp_replace(article, '^.*?</h1>', '', 's'), '<p>'),
     lambda p: array_to_string(list_transform(string_split_regex(p, '<[^>]*>'), lambda x: regexp_replace({_decoded("x")}, '^{WHITE}|{WHITE}$', '', 'g')), '')), lambda x: length(x) > 10) FROM parts),
 tidy AS (SELECT page_id, what, list_filter(list_transform(s, lambda x: {_tidy("x")}), lambda x: length(x) > 3) AS s FROM strings),
-texts AS (SELECT page_id, what, array_to_string(list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]), chr(10)) AS t FROM tidy),
-page AS (SELECT h.*, c.t AS content, b.t AS body, p.t AS section FROM heads h JOIN texts c ON c.page_id = h.page_id AND c.what = 'content' JOIN texts b ON b.page_id = h.page_id AND b.what = 'body' JOIN texts p ON p.page_id = h.page_id AND p.what = 'section')"""
+joined AS (SELECT page_id, what, array_to_string(list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]), chr(10)) AS t FROM tidy),
+page AS (SELECT h.*, c.t AS content, b.t AS body, p.t AS section FROM heads h JOIN joined c ON c.page_id = h.page_id AND c.what = 'content' JOIN joined b ON b.page_id = h.page_id AND b.what = 'body' JOIN joined p ON p.page_id = h.page_id AND p.what = 'section')"""
 NAMED = r"CASE WHEN regexp_replace(title, '\s*\|\s*Example.*$', '') = '' THEN h1 ELSE regexp_replace(title, '\s*\|\s*Example.*$', '') END"
 
 
@@ -440,18 +440,48 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", "title", "h1", "meta_description", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), "content", F.size("sections").alias("n_sections"), sections.alias("sections"))
 
 
-@query()
+# The splitter as SQL, from ``texts`` (doc, text) to ``split`` (doc, i, piece). ``nodes`` are the texts that are cut, each at the first separator that it has;
+# pieces of 500 characters are cut again. ``runs`` are the neighbouring shorter pieces, with the sums of their lengths. ``folds`` steps from chunk to chunk:
+# a chunk is the pieces from w up to the one, k, with which it would exceed 500; the next one begins where at most 80 characters, and no more than leave room for k, go back.
+SPLIT = rf"""seps AS (SELECT [chr(10) || chr(10), chr(10), '. ', '? ', '! ', '; ', ', ', ' ', ''] AS s),
+nodes AS (SELECT doc, []::BIGINT[] AS path, text, 1::BIGINT AS lo FROM texts UNION ALL
+  SELECT doc, path || [k], piece, nth + 1 FROM (SELECT doc, path, nth, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT *, @PIECES@ AS ps FROM (SELECT *, s[nth] AS sep FROM (SELECT *, @FIRST@ AS nth FROM nodes, seps)))) WHERE length(piece) >= 500 AND nth < 9),
+pieces AS (SELECT doc, path, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT *, @PIECES@ AS ps FROM (SELECT *, s[nth] AS sep FROM (SELECT *, @FIRST@ AS nth FROM nodes, seps)))),
+marked AS (SELECT *, sum((length(piece) >= 500)::INT) OVER (PARTITION BY doc, path ORDER BY k) AS g FROM pieces),
+summed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc, path, g ORDER BY k)::BIGINT AS total FROM marked WHERE length(piece) < 500),
+runs AS (SELECT row_number() OVER () AS run, doc, path || [min(k)] AS path, list(piece ORDER BY k) AS ps, list(total ORDER BY k) AS sums FROM summed GROUP BY doc, path, g),
+folds AS (SELECT run, sums, 1::BIGINT AS w, (len(list_filter(sums, lambda x: x <= 500)) + 1)::BIGINT AS k FROM runs UNION ALL
+  SELECT run, sums, w, (len(list_filter(sums, lambda x: x <= 500 + CASE WHEN w = 1 THEN 0 ELSE sums[w - 1] END)) + 1)::BIGINT FROM (
+    SELECT run, sums, greatest(w, CASE WHEN back <= 0 THEN 1 ELSE 2 + len(list_filter(sums, lambda x: x < back)) END)::BIGINT AS w FROM (
+      SELECT *, sums[k - 1] - least(80, 500 - (sums[k] - sums[k - 1])) AS back FROM folds WHERE k <= len(sums)))),
+found AS (SELECT doc, path, k, regexp_replace(array_to_string(ps[w:k - 1], ''), '^{WHITE}|{WHITE}$', '', 'g') AS piece FROM folds JOIN runs USING (run)),
+split AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY path, k) - 1 AS i, piece FROM found WHERE piece <> '')""".replace(
+    "@FIRST@", "list_filter(range(lo, 10), lambda j: j = 9 OR contains(text, s[j]))[1]"
+).replace("@PIECES@", "CASE WHEN nth = 9 THEN string_split(text, '') ELSE list_filter(list_transform(string_split(text, sep), lambda x, n: CASE WHEN n = 1 THEN x ELSE sep || x END), lambda x: x <> '') END")
+
+
+def _flat(chunks_: DataFrame) -> DataFrame:
+    return chunks_.select("id", "text", "metadata.*")
+
+
+@query(f"""WITH RECURSIVE {LAYOUT}, kept AS (SELECT *, {NAMED} AS name FROM page WHERE content <> '' AND NOT ({SKIP})),
+texts AS (SELECT page_id AS doc, CASE WHEN section = '' THEN content WHEN h1 = '' THEN section ELSE h1 || chr(10) || chr(10) || section END AS text FROM kept WHERE length(CASE WHEN section = '' THEN content ELSE section END) >= 50), {SPLIT},
+good AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS n FROM split WHERE length(piece) >= 50)
+SELECT substr(sha256(url || '::chunk::' || CASE WHEN section = '' THEN '' ELSE h1 || '_' END || i), 1, 16) AS id, piece AS text, url, name AS title, CASE WHEN section = '' THEN '' ELSE h1 END AS section_heading, '' AS breadcrumbs,
+(CASE WHEN section = '' THEN i ELSE n END)::INT AS chunk_index, NULL::VARCHAR AS content_type FROM good JOIN kept ON doc = page_id""")
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.general_pages(_pages(spark, sf_dir), SITE)
-    return chunks.chunk_pages(found.withColumn("type", F.lit(None).cast("string")).select("*", *[F.lit(None).cast("string").alias(c) for c in ("uoc", "level", "faculty", "school", "offering_terms", "duration")]))
+    return _flat(chunks.chunk_pages(found.withColumn("type", F.lit(None).cast("string")).select("*", *[F.lit(None).cast("string").alias(c) for c in ("uoc", "level", "faculty", "school", "offering_terms", "duration")])))
 
 
-@query()
+@query(f"""WITH RECURSIVE texts AS (SELECT doc_id AS doc, text FROM documents WHERE length(text) >= 50), {SPLIT}
+SELECT substr(sha256('doc://' || doc || '::chunk::' || i), 1, 16) AS id, piece AS text, 'doc://' || doc AS url, source AS title, '' AS section_heading, concat_ws(' > ', lang, source) AS breadcrumbs, i::INT AS chunk_index, NULL::VARCHAR AS content_type
+FROM split JOIN documents ON doc = doc_id WHERE length(piece) >= 50""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages without sections, in chunks."""
     empty = [F.lit(None).cast("string").alias(c) for c in ("uoc", "level", "faculty", "school", "offering_terms", "duration", "type")]
     docs = _docs(spark, sf_dir).select(F.concat(F.lit("doc://"), "doc_id").alias("url"), F.col("source").alias("title"), F.array("lang", "source").alias("breadcrumbs"), F.col("text").alias("content"), F.expr("cast(null as array<struct<heading:string,content:string>>)").alias("sections"), *empty)
-    return chunks.chunk_pages(docs, Settings())
+    return _flat(chunks.chunk_pages(docs, Settings()))
 
 
 TYPED = r"""t AS (SELECT *, 'COMP' || lpad((page_id % 10000)::VARCHAR, 4, '0') AS code, regexp_replace(title, '^Handbook\s*[-–—]\s*', '') AS name, regexp_extract(html, '(\d+)\s*Units?\s*of\s*Credit', 1) AS uoc FROM page)"""
