@@ -191,3 +191,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair, for tables of a few thousand vectors; the operator finds a pair at the threshold with probability 0.995.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT k, vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.k AS a, b.k AS b FROM ok a JOIN ok b ON a.k <> b.k AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.95e0),
+walk AS (SELECT k AS a, k AS b FROM ok UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a),
+c AS (SELECT a AS k, min(vec_id) AS component_id FROM walk JOIN ok ON ok.k = b GROUP BY a),
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept FROM v LEFT JOIN c USING (k) LEFT JOIN n USING (k)
+"""

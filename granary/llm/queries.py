@@ -47,4 +47,7 @@ QUERIES = {
         "op10_warc": warc.op10_warc,
     }.items()
 }
-ORACLE = {"op1_url_filter": url_filter.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op10_warc": warc.OP10_SQL}
+ORACLE = {
+    "op1_url_filter": url_filter.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op4_html_extraction": html_extract.OP4_SQL, "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+    "op8_ngram_jaccard_join": ngram_join.OP8_SQL, "op10_warc": warc.OP10_SQL,
+}
