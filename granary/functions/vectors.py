@@ -22,8 +22,9 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+def cosine_distance(a: Column, b: Column, length: Column | None = None) -> Column:
+    """One less the cosine; a zero vector is at distance 1 from all. ``length``: b's, if it is known."""
+    return F.lit(1.0) - F.coalesce(F.try_divide(dot(a, b), norm(a) * (norm(b) if length is None else length)), F.lit(0.0))
 
 
 def bucket(term: Column, dimensions: int = DIMENSIONS) -> Column:

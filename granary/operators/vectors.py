@@ -82,18 +82,17 @@ def search(vectors: DataFrame, query: Column | list[float] | DataFrame, k: int,
     Exact: every vector that ``where`` admits is compared, and each task keeps its
     k best. ``query`` is a vector, or a frame of one row with a column ``query``.
     ``unit``: all vectors have length one or zero, so the product over the query's
-    nonzero components is enough.
+    nonzero components is enough. Rows without a vector are left out; zero vectors
+    are at distance 1.
     """
-    rows = vectors if where is None else vectors.where(where)
+    rows = (vectors if where is None else vectors.where(where)).where(F.col(embedding).isNotNull())
     if not isinstance(query, DataFrame):
         query = vectors.sparkSession.range(1).select((F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, list) else query).alias("query"))
-    one = F.col("query").alias("query_")
-    if unit:
-        one = F.filter(F.transform("query", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p.x != 0).alias("query_")
-    rows = rows.crossJoin(F.broadcast(query.select(one)))
+    one = F.filter(F.transform("query", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p.x != 0) if unit else F.col("query")
+    rows = rows.crossJoin(F.broadcast(query.select(one.alias("query_"), V.norm(F.col("query")).alias("length_"))))
     product = F.aggregate("query_", F.lit(0.0), lambda s, p: s + p.x * F.get(F.col(embedding), p.i))
-    distance = F.lit(1.0) - product if unit else V.cosine_distance(F.col(embedding), F.col("query_"))
-    rows = rows.withColumn("distance", distance if digits is None else F.round(distance, digits)).drop("query_")
+    distance = F.lit(1.0) - product if unit else V.cosine_distance(F.col(embedding), F.col("query_"), F.col("length_"))
+    rows = rows.withColumn("distance", distance if digits is None else F.round(distance, digits)).drop("query_", "length_")
     best = rows.orderBy("distance", id).limit(k)
     similarity = 1 - F.col("distance")
     return best.withColumn("similarity", similarity if digits is None else F.round(similarity, digits)).withColumn("rank", F.row_number().over(Window.orderBy("distance", id)))

@@ -163,3 +163,37 @@ def test_links_of_all_kinds(spark):
     new = {r.norm_url for r in crawl.new_links(crawl.links(rows), rows).collect()}
     assert {"https://h.example/a/page2.html", "https://h.example/x", "https://h.example/a/un/quoted", "https://h.example/d"} <= new and None not in new and "https://h.example/a/b" not in new
     assert [tuple(r) for r in crawl.detail_links(rows).collect()] == [("https://h.example/a/undergraduate/courses/2026/COMP1511", "course")]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    from granary.functions.html import read_page, read_typed_page
+
+    def seconds(n):
+        page = "<div>" * n + "Overview of things and more of it"
+        began = time.process_time()
+        assert read_page(page, "B")["sections"][0]["content"] == "Overview of things and more of it"
+        read_typed_page(page, "course")
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.02)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from granary.runtime import shared_dir
+
+    def session(master, folder=None):
+        values = {"spark.checkpoint.dir": folder}
+        conf = SimpleNamespace(get=lambda k, d=None: values.get(k) or d, set=values.__setitem__)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    own = session("local[2]")
+    assert shared_dir(own) == shared_dir(own)
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))

@@ -108,6 +108,9 @@ def test_vector_search(spark):
     found = vectors.search(rows, [1.0, 0.0], 3).orderBy("rank").collect()
     assert [r.id for r in found] == [1, 4, 3] and found[0].similarity == 1
     assert [r.id for r in vectors.search(rows, [1.0, 0.0], 2, F.col("kind") == "b").orderBy("rank").collect()] == [4, 3]
+    odd = rows.select("id", "embedding").union(spark.createDataFrame([(5, [0.0, 0.0]), (6, None)], "id int, embedding array<double>"))
+    assert [(r.id, r.similarity) for r in vectors.search(odd, [1.0, 0.0], 9).orderBy("rank").collect()][3:] == [(2, 0), (5, 0)]
+    assert [r.similarity for r in vectors.search(odd, [0.0, 0.0], 9).collect()] == [0] * 5
 
 
 def test_embedders(spark):
