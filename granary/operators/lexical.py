@@ -139,7 +139,9 @@ def index_scores(index: Bm25Index, query: str) -> DataFrame:
 
 
 def search(index: Bm25Index, query: str, k: int, digits: int | None = None) -> DataFrame:
-    """The k best documents of a kept index: their columns with ``score`` and ``rank``. The k numbers come to the driver, so only their row groups are read."""
+    """The k best documents of a kept index: their columns with ``score`` and ``rank``. The k numbers come to the driver, so only their row groups are read. ValueError for an index that keeps no documents."""
+    if index.documents is None:
+        raise ValueError("the index keeps no documents: make it with index_corpus")
     best = top_k(index_scores(index, query), k, digits).collect()
     spark = index.terms.sparkSession
     found = spark.createDataFrame([(r.id, r.score, r["rank"]) for r in best], "row long, score double, rank int")
