@@ -102,22 +102,22 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
-_STORED: dict[tuple, tuple[lexical.Bm25Index, DataFrame]] = {}
+_STORED: dict[tuple, tuple[str, lexical.Bm25Index, DataFrame]] = {}
 METADATA = "struct<url:string,title:string,section_heading:string,doc_id:bigint>"
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[lexical.Bm25Index, DataFrame]:
-    """The documents' index and their collection, read from disk; both are written once for each application and folder."""
+    """The documents' index and their collection, read from disk; both are written once for each application and folder, anew if they have been removed."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORED:
+    if key not in _STORED or not files.exists(spark, _STORED[key][0]):
         path = shared_path(spark, "search")
         meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"), "doc_id")
         docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", meta.alias("metadata"))
         index = lexical.index_corpus(docs, f"{path}/words")
         collection = vectors.Collection(spark, path, "documents", f"id bigint, text string, metadata {METADATA}, embedding array<double>")
         collection.upsert(index.documents.drop("row").withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
-        _STORED[key] = index, collection.read()
-    return _STORED[key]
+        _STORED[key] = path, index, collection.read()
+    return _STORED[key][1:]
 
 
 @query(f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(len(list_distinct(w)))::BIGINT FROM toks) AS n_postings, (SELECT count(DISTINCT doc_id) FROM documents) AS n_vectors")
@@ -275,7 +275,7 @@ ODD_LINKS = ["http://a.example.org/x/next.html", "http://a.example.org/up", "htt
 
 @query(f"WITH {HREFS}, seen AS (SELECT DISTINCT {NORMAL} AS norm_url FROM pages) SELECT DISTINCT {NORMAL} AS norm_url FROM links WHERE {NORMAL} NOT IN (SELECT norm_url FROM seen) UNION SELECT unnest({ODD_LINKS})")
 def link_frontier_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select("url", "html").unionByName(spark.createDataFrame([ODD_PAGE], "url string, html string"))
+    rows = _pages(spark, sf_dir).select("url", "html").unionByName(spark.range(1).select(F.lit(ODD_PAGE[0]).alias("url"), F.lit(ODD_PAGE[1]).alias("html")))
     return crawl.new_links(crawl.links(rows), rows)
 
 
