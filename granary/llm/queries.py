@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.runtime import ship
 
-from . import embedding_dedup, html_extract, language_id, ngram_join, packing, quality, sentencepiece_scan, token_counts, url_filter, warc
+from . import balanced_packing, embedding_dedup, html_extract, language_id, ngram_join, packing, quality, resampling, sentencepiece_scan, token_counts, url_filter, warc
 
 
 def prepared(spark: SparkSession) -> None:
@@ -45,9 +45,11 @@ QUERIES = {
         "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
         "op9_sentencepiece": sentencepiece_scan.op9_sentencepiece,
         "op10_warc": warc.op10_warc,
+        "op11_balanced_packing": balanced_packing.op11_balanced_packing,
+        "op12_importance_resampling": resampling.op12_importance_resampling,
     }.items()
 }
 ORACLE = {
     "op1_url_filter": url_filter.OP1_SQL, "op2_quality_rules": quality.OP2_SQL, "op4_html_extraction": html_extract.OP4_SQL, "op5_embedding_dedup": embedding_dedup.OP5_SQL,
-    "op8_ngram_jaccard_join": ngram_join.OP8_SQL, "op10_warc": warc.OP10_SQL,
+    "op8_ngram_jaccard_join": ngram_join.OP8_SQL, "op10_warc": warc.OP10_SQL, "op12_importance_resampling": resampling.OP12_SQL,
 }
