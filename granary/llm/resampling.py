@@ -26,8 +26,8 @@ from .common import column, fresh, table, written
 #: A word: ASCII digits and letters, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of a score that one window sorts: at most 65,536 sums each.
-DIGIT = 16
+#: Bits of a score that one window sorts: at most 4,096 sums each.
+DIGIT = 12
 #: Documents of one score up to which one window numbers them.
 HOT = 100_000
 #: A score is below 2**47 in size: a text has under 2**30 words, a gain is under 2**17.
