@@ -16,6 +16,7 @@ from granary.functions import text as X
 from granary.functions import vectors as V
 from granary.functions.html import join_urls, page_fields
 from granary.operators import answer, chunks, crawl, lexical, pages, retrieve, vectors
+from granary.operators.vector_index import VectorIndex
 from granary.runtime import shared_path, ship, table
 from granary.sources import files
 
@@ -173,6 +174,49 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, F.col("label") == 3)
 
 
+_INDEXED: dict[tuple, VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The embeddings' inverted file, written once for each application and folder, anew if it has been removed."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXED or not files.exists(spark, _INDEXED[key].path):
+        _INDEXED[key] = VectorIndex.build(table(spark, sf_dir, "embeddings"), shared_path(spark, "vectors"), id="vec_id")
+    return _INDEXED[key]
+
+
+@query(NEAR.format(where=""))
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact, through the index: a few lists, then those that their bounds don't rule out."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first().embedding
+    out = _vector_index(spark, sf_dir).search([float(x) for x in q], 20, digits=6)
+    return out.select("vec_id", "label", "distance", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_dot_product(q.v, e.v) / (q.n * e.n), 6) AS distance FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.n > 0 AND e.n > 0)
+SELECT query_id, vec_id, abs(distance) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 20""")
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact, for a table of queries: those whose id is divisible by 100, against all rows, in blocks."""
+    out = _vector_index(spark, sf_dir).search_many(_asked_vectors(spark, sf_dir), 20, digits=6)
+    return out.select("query_id", F.col("id").alias("vec_id"), F.abs("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a search finds 0.95 of the true twenty nearest, with as many probes as a twentieth of the rows needs for 0.99; these aren't the ones that are asked."""
+    index, k = _vector_index(spark, sf_dir), 20
+    sample = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    probes, asked = index.probes_for(sample, k, 0.99), _asked_vectors(spark, sf_dir)
+    true, found = (index.search_many(asked, k, p).select("query_id", "id") for p in (None, probes))
+    both = true.join(found.withColumn("found", F.lit(1)), ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("found") >= 0.95 * F.count("*")).alias("reached"))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS unit_sum FROM embeddings")
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")
