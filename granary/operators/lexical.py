@@ -1,4 +1,4 @@
-"""BM25: statistics, an index as tables, and top-k search.
+"""BM25: statistics, scores by a scan, and top-k; ``operators.text_index`` keeps an index.
 
 score(d) is the sum over the query's tokens, repeats included, of
 idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), where a negative idf is
@@ -7,9 +7,6 @@ replaced by EPSILON times the mean idf of all terms.
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +19,18 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-@dataclass(frozen=True)
-class Bm25Index:
-    """``postings`` (term, id, tf, dl), ``terms`` (term, df, idf), one row of ``totals`` (n, avgdl, mean_idf), and the ``documents`` by id where they are kept."""
-
-    postings: DataFrame
-    terms: DataFrame
-    totals: DataFrame
-    documents: DataFrame | None = None
+def counted_terms(text: Column) -> Column:
+    """(term, tf) of each distinct token of a text, in its own row: sorted, equal tokens are neighbours, and a run's length is the distance of its ends."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    ends = lambda m: F.filter(F.transform(m, lambda x, i: F.struct(x.alias("term"), i.alias("i"))), lambda p: F.get(m, p.i + 1).isNull() | (F.get(m, p.i + 1) != p.term))
+    runs = lambda e: F.transform(e, lambda p, k: F.struct(p.term.alias("term"), (p.i - F.coalesce(F.get(e, k - 1).getField("i"), F.lit(-1))).cast("long").alias("tf")))
+    return once(F.sort_array(tokens(text)), lambda m: once(ends(m), runs))
 
 
 def postings(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
-    """(term, id, tf, dl). A document is whole in its row, so its repeats are counted before anything moves."""
-    words = docs.select(F.col(id).alias("id"), F.size(tokens(F.col(text))).cast("long").alias("dl"), tokens(F.col(text)).alias("w"))
-    words = words.select("id", "dl", F.explode("w").alias("term"))  # the length is counted below the explode, once a document
-    return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    """(term, id, tf, dl), a row for each distinct token of each row. Repeats are counted where the text is; nothing is shuffled."""
+    rows = docs.select(F.col(id).alias("id"), F.size(tokens(F.col(text))).cast("long").alias("dl"), counted_terms(F.col(text)).alias("w"))
+    return rows.select("id", "dl", F.explode("w").alias("t")).select("t.term", "id", "t.tf", "dl")
 
 
 def lengths(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -89,65 +83,6 @@ def scan_scores(docs: DataFrame, query: str, id: str = "id", text: str = "text")
     return base.select("id", "text", score.alias("score"))
 
 
-def build_index(docs: DataFrame, id: str = "id", text: str = "text") -> Bm25Index:
-    """Rows with one id are one document to the index; ``index_corpus`` keeps them apart."""
-    terms = term_statistics(docs, text)
-    return Bm25Index(postings(docs, id, text), terms, totals(docs, terms, text))
-
-
-def save_index(index: Bm25Index, path: str) -> None:
-    """As parquet. Postings and terms are sorted by term, so a query's words skip row groups; a frequent term's postings are in many files."""
-    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
-
-
-def index_corpus(docs: DataFrame, path: str, order: tuple[str, ...] = ("id",)) -> Bm25Index:
-    """An index of ``docs`` on disk, with the documents, each row a document of its own even where ids repeat.
-
-    Documents are numbered in the given order (``row``, the index's id) and sorted by
-    it, so that the few rows of a result are read from few row groups.
-    """
-    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
-    rows.write.mode("overwrite").parquet(f"{path}/documents")
-    save_index(build_index(docs.sparkSession.read.parquet(f"{path}/documents"), "row"), path)
-    return load_index(docs.sparkSession, path)
-
-
-def load_index(spark, path: str) -> Bm25Index:  # noqa: ANN001
-    from granary.sources.files import exists
-
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Bm25Index(read("postings"), read("terms"), read("totals"), read("documents") if exists(spark, f"{path}/documents") else None)
-
-
-def index_scores(index: Bm25Index, query: str) -> DataFrame:
-    """(id, score) of the documents that have a token of the query.
-
-    The query's tokens, and their statistics, a row each, come to the driver; the
-    postings are then filtered by constants, which reach the scan.
-    """
-    spark = index.terms.sparkSession
-    times = Counter(spark.range(1).select(tokens(F.lit(query)).alias("w")).first().w)
-    known = index.terms.where(F.col("term").isin(*times)).crossJoin(F.broadcast(index.totals))
-    known = known.select("term", "avgdl", _effective(F.col("idf"), F.col("mean_idf")).alias("idf")).collect() if times else []
-    hits = index.postings.where(F.col("term").isin(*[r.term for r in known]))
-    if not known:
-        return hits.select("id", F.lit(0.0).alias("score"))
-    weight = F.create_map(*[F.lit(x) for r in known for x in (r.term, times[r.term] * r.idf)])
-    return hits.groupBy("id").agg(F.sum(_score(F.element_at(weight, F.col("term")), F.col("tf"), F.col("dl"), F.lit(known[0].avgdl))).alias("score"))
-
-
-def search(index: Bm25Index, query: str, k: int, digits: int | None = None) -> DataFrame:
-    """The k best documents of a kept index: their columns with ``score`` and ``rank``. The k numbers come to the driver, so only their row groups are read. ValueError for an index that keeps no documents."""
-    if index.documents is None:
-        raise ValueError("the index keeps no documents: make it with index_corpus")
-    best = top_k(index_scores(index, query), k, digits).collect()
-    spark = index.terms.sparkSession
-    found = spark.createDataFrame([(r.id, r.score, r["rank"]) for r in best], "row long, score double, rank int")
-    return index.documents.where(F.col("row").isin(*[r.id for r in best])).join(F.broadcast(found), "row").drop("row")
-
-
 def top_k(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k best by score, the smaller id first among equals, those above 0, with their ``rank`` from 1."""
     from pyspark.sql import Window

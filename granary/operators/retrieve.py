@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lexical, vectors
+from . import vectors
+from .text_index import TextIndex
 
 VECTOR_WEIGHT, LEXICAL_WEIGHT, K = 0.6, 0.4, 60
 
@@ -38,7 +39,7 @@ def fuse(by_vector: DataFrame, by_words: DataFrame, n: int | None = None, vector
     return out.select("first.text", "first.metadata", "score", "vector_rank", "bm25_rank", "rank")
 
 
-def hybrid_search(index: lexical.Bm25Index | None, collection: DataFrame, query: str, n: int = 5, vector: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def hybrid_search(index: TextIndex | None, collection: DataFrame, query: str, n: int = 5, vector: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """The n best results for a question: the ``index``'s by words and the ``collection``'s by embedding, fused.
 
     Both are read as they were stored; only the question is tokenized and embedded.
@@ -48,7 +49,7 @@ def hybrid_search(index: lexical.Bm25Index | None, collection: DataFrame, query:
     """
     k = candidates(n)
     near = vectors.search(collection, vectors.embedded_query(collection.sparkSession, query) if vector is None else vector, k, digits=digits, unit=vector is None)
-    words = lexical.search(index, query, k, digits) if index is not None else near.where("false")
+    words = index.search(query, k, digits) if index is not None else near.where("false")
     return fuse(near, words, n, digits=digits)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from granary.functions.text import tokens
-from granary.operators.lexical import EPSILON, K1, B
+from granary.operators.lexical import EPSILON, K1, B, counted_terms
 from granary.runtime import shared_path
 
 #: Postings that a block has about, and at most.
@@ -50,14 +50,6 @@ DEAD = "segment int, row bigint"
 TOTALS = "n bigint, length bigint, own bigint, own_length bigint"
 
 
-def counted_terms(text: Column) -> Column:
-    """(term, tf) of each distinct token of a text, in its own row: sorted, equal tokens are neighbours, and a run's length is the distance of its ends."""
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    ends = lambda m: F.filter(F.transform(m, lambda x, i: F.struct(x.alias("term"), i.alias("i"))), lambda p: F.get(m, p.i + 1).isNull() | (F.get(m, p.i + 1) != p.term))
-    runs = lambda e: F.transform(e, lambda p, k: F.struct(p.term.alias("term"), (p.i - F.coalesce(F.get(e, k - 1).getField("i"), F.lit(-1))).cast("long").alias("tf")))
-    return once(F.sort_array(tokens(text)), lambda m: once(ends(m), runs))
-
-
 def part(tf: Column, dl: Column, avgdl: float) -> Column:
     """What a term's frequency adds, below one; the score is its sum, weighted."""
     return tf / (tf + K1 * (1 - B + B * dl / F.lit(max(avgdl, 1e-9))))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from granary.config import Settings
 from granary.functions import text as X
 from granary.operators import chunks as C
-from granary.operators import lexical, pages, vectors
+from granary.operators import pages, vectors
+from granary.operators.text_index import TextIndex
 from granary.runtime import ship
 from granary.sources import files
 
@@ -47,10 +48,27 @@ def refresh(spark: SparkSession, fetched: DataFrame, settings: Settings = Settin
     embedded = made.withColumn("embedding", vectors.hashed_embedding(F.col("text")))
     total = collection.upsert(embedded.withColumn("place", F.col("metadata.chunk_index")), ["src_ord", "place"])
     collection.vacuum()
-    lexical.index_corpus(made.drop("src_ord"), f"{settings.index_dir}/bm25", ("id", "text"))
+    index_changes(TextIndex(spark, f"{settings.index_dir}/bm25"), made.drop("src_ord"), full_rebuild)
     return C.chunk_statistics(found, made).first().asDict() | {"collection": total}
 
 
+def index_changes(index: TextIndex, made: DataFrame, full_rebuild: bool = False) -> TextIndex:
+    """The index with the chunks of ``made``. Only those of ids whose chunks are new or other than before go into it, as a segment; if there are none, nothing is written.
+
+    With ``full_rebuild`` chunks whose ids ``made`` lacks go.
+    """
+    if not index.segments:
+        return index.add(made, ("id", "text"))
+    stamp = lambda df: df.select("id", F.xxhash64("text", F.to_json("metadata")).alias("stamp")).groupBy("id").agg(F.sort_array(F.collect_list("stamp")).alias("stamps"))  # noqa: E731  an id has few chunks
+    new, old = stamp(made), stamp(index.documents()).withColumnRenamed("stamps", "was")
+    both = new.join(old, "id", "full")
+    changed = made.join(both.where("stamps is not null and not stamps <=> was").select("id"), "id", "left_semi")
+    gone = both.where("stamps is null").select("id") if full_rebuild else None
+    if changed.isEmpty() and (gone is None or gone.isEmpty()):
+        return index
+    return index.add(changed, ("id", "text"), replace=True, removed=gone)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--fetched", required=True)

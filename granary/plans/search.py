@@ -12,18 +12,19 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.config import Settings
-from granary.operators import answer, lexical, retrieve
+from granary.operators import answer, retrieve
+from granary.operators.text_index import TextIndex
 from granary.operators.vectors import Collection
 from granary.plans.api import Service
 from granary.runtime import ship
-from granary.sources.files import exists
 
 
 def open_search(spark: SparkSession, settings: Settings):  # noqa: ANN201
     """(collection, search): ``search(question, n)`` is hybrid where there is an index, else by embedding alone."""
     ship(spark)
     collection, path = Collection(spark, settings.index_dir, settings.collection), f"{settings.index_dir}/bm25"
-    index = lexical.load_index(spark, path) if exists(spark, path) else None
+    index = TextIndex(spark, path)
+    index = index if index.segments else None
 
     def search(question: str, n: int) -> DataFrame:
         return retrieve.hybrid_search(index, collection.read(), question, n)

@@ -16,6 +16,7 @@ from granary.functions import text as X
 from granary.functions import vectors as V
 from granary.functions.html import join_urls, page_fields
 from granary.operators import answer, chunks, crawl, lexical, pages, retrieve, vectors
+from granary.operators.text_index import TextIndex
 from granary.operators.vector_index import VectorIndex
 from granary.runtime import shared_path, ship, table
 from granary.sources import files
@@ -103,20 +104,20 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
-_STORED: dict[tuple, tuple[str, lexical.Bm25Index, DataFrame]] = {}
+_STORED: dict[tuple, tuple[str, TextIndex, DataFrame]] = {}
 METADATA = "struct<url:string,title:string,section_heading:string,doc_id:bigint>"
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[lexical.Bm25Index, DataFrame]:
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[TextIndex, DataFrame]:
     """The documents' index and their collection, read from disk; both are written once for each application and folder, anew if they have been removed."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _STORED or not files.exists(spark, _STORED[key][0]):
         path = shared_path(spark, "search")
         meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"), "doc_id")
         docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", meta.alias("metadata"))
-        index = lexical.index_corpus(docs, f"{path}/words")
+        index = TextIndex(spark, f"{path}/words").add(docs)
         collection = vectors.Collection(spark, path, "documents", f"id bigint, text string, metadata {METADATA}, embedding array<double>")
-        collection.upsert(index.documents.drop("row").withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
+        collection.upsert(index.documents().drop("segment", "row", "dl").withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
         _STORED[key] = path, index, collection.read()
     return _STORED[key][1:]
 
@@ -126,8 +127,8 @@ def search_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the index and the collection that the search queries read, and counts what they hold."""
     _STORED.pop((spark.sparkContext.applicationId, sf_dir), None)
     index, collection = _stored(spark, sf_dir)
-    one = index.totals.select(F.col("n").alias("n_documents")).crossJoin(index.terms.agg(F.count("*").alias("n_terms")))
-    return one.crossJoin(index.postings.agg(F.count("*").alias("n_postings"))).crossJoin(collection.agg(F.count("*").alias("n_vectors")))
+    one = index.terms.agg(F.count("*").alias("n_terms")).withColumn("n_documents", F.lit(index.n))
+    return one.crossJoin(index.blocks.agg(F.sum("n").alias("n_postings"))).crossJoin(collection.agg(F.count("*").alias("n_vectors")))
 
 
 TOP = f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20"
@@ -135,7 +136,17 @@ TOP = f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC
 
 @query(TOP)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(_stored(spark, sf_dir)[0], QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return _stored(spark, sf_dir)[0].search(QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20")
+def bm25_increments_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an index that grew in three steps: some documents, all others and older versions of some, and their true versions."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    old = docs.where("id % 5 = 1").withColumn("text", F.concat(F.lit("shipping payment "), F.substring("text", 1, 300)))
+    index = TextIndex(spark, shared_path(spark, "increments")).add(docs.where("id % 3 = 0 and id % 5 <> 1"))
+    index = index.add(docs.where("id % 3 <> 0 and id % 5 <> 1").unionByName(old)).add(docs.where("id % 5 = 1"), replace=True)
+    return index.search(QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(TOP)
@@ -148,8 +159,8 @@ def bm25_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT doc_id, score FROM bm JOIN toks USING (doc_id) WHERE list_has_any(w, ['the', 'of', 'payment', 'return', 'shipping'])")
 def bm25_index_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _stored(spark, sf_dir)[0]
-    scores = lexical.index_scores(index, QUESTION).withColumnRenamed("id", "row")
-    return scores.join(index.documents.select("row", F.col("id").alias("doc_id")), "row").select("doc_id", F.round("score", 6).alias("score"))
+    ids = index.documents().select("segment", "row", F.col("id").alias("doc_id"))
+    return index.scores(QUESTION).join(ids, ["segment", "row"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 NEAR = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from granary import schemas
 from granary.config import Settings, Site
 from granary.operators import answer, lexical, retrieve, vectors
+from granary.operators.text_index import TextIndex
 from granary.plans import api
-from granary.plans.refresh import refresh
+from granary.plans.refresh import index_changes, refresh
 from granary.streaming.incremental import upsert_stream
 
 TEXTS = ["the cat sat", "the dog sat on the mat", "a cat and a dog", "", "!!", "the the the end"]
@@ -36,8 +37,8 @@ def test_bm25_is_the_formula(spark, query, tmp_path):
     docs, want = frame(spark, TEXTS), brute_bm25(TEXTS, query)
     found = {r.id: r.score for r in lexical.scan_scores(docs, query).collect()}
     assert all(math.isclose(found[i], want[i], abs_tol=1e-12) for i in found)
-    lexical.save_index(lexical.build_index(docs), str(tmp_path / "i"))
-    indexed = {r.id: r.score for r in lexical.index_scores(lexical.load_index(spark, str(tmp_path / "i")), query).collect()}
+    index = TextIndex(spark, str(tmp_path / "i")).add(docs)
+    indexed = {r.id: r.score for r in index.scores(query).join(index.documents(), ["segment", "row"]).collect()}
     assert all(math.isclose(indexed.get(i, 0), want[i], abs_tol=1e-12) for i in found)
 
 
@@ -72,21 +73,21 @@ def test_fusion(spark, near, words):
 
 def test_hybrid_search(spark, tmp_path):
     docs = frame(spark, TEXTS).withColumn("metadata", F.struct(F.lit("u").alias("url")))
-    index = lexical.index_corpus(docs, str(tmp_path / "i"))
+    index = TextIndex(spark, str(tmp_path / "i")).add(docs)
     rows = docs.withColumn("embedding", vectors.hashed_embedding(F.col("text")))
     both = retrieve.hybrid_search(index, rows, "cat dog", 3).orderBy("rank").collect()
     assert both[0].text == "a cat and a dog" and both[0].vector_rank and both[0].bm25_rank
     alone = retrieve.hybrid_search(None, rows, "cat dog", 3).collect()
     assert all(r.bm25_rank is None for r in alone) and len(alone) == 3
     assert [r.text for r in retrieve.vector_only_search(rows, "cat dog", 3).orderBy("rank").collect()] == [r.text for r in sorted(alone, key=lambda r: r["rank"])]
-    assert retrieve.hybrid_search(index, rows, "?!", 3).count() == 3 and lexical.search(index, "?!", 3).count() == 0
+    assert retrieve.hybrid_search(index, rows, "?!", 3).count() == 3 and index.search("?!", 3).count() == 0
     assert retrieve.candidates(5) == 20 and retrieve.candidates(2) == 8 and retrieve.candidates(50) == 20
 
 
 def test_chunks_with_one_id_stay_apart(spark, tmp_path):
     docs = spark.createDataFrame([("a", "the cat sat", "m1"), ("a", "a cat ran off", "m2"), ("b", "no such animal", "m3"), ("c", "nor here", "m4"), ("d", "nor there", "m5")], "id string, text string, metadata string")
-    index = lexical.index_corpus(docs, str(tmp_path / "i"), ("id", "text"))
-    found = {r.text: (r.metadata, r.score) for r in lexical.search(index, "cat", 5).collect()}
+    index = TextIndex(spark, str(tmp_path / "i")).add(docs, ("id", "text"))
+    found = {r.text: (r.metadata, r.score) for r in index.search("cat", 5).collect()}
     want = brute_bm25([r.text for r in docs.collect()], "cat")
     assert {t: m for t, (m, _) in found.items()} == {"the cat sat": "m1", "a cat ran off": "m2"}
     assert math.isclose(found["the cat sat"][1], want[0]) and math.isclose(found["a cat ran off"][1], want[1])
@@ -97,10 +98,10 @@ def test_chunks_with_one_id_stay_apart(spark, tmp_path):
 
 def test_stored_searches_read_little(spark, tmp_path):
     """Words and rows reach the scans as filters."""
-    index = lexical.index_corpus(frame(spark, TEXTS), str(tmp_path / "i"))
-    plan = index_plan = lexical.index_scores(index, "cat dog")._jdf.queryExecution().toString()
+    index = TextIndex(spark, str(tmp_path / "i")).add(frame(spark, TEXTS))
+    plan = index_plan = index.scores("cat dog")._jdf.queryExecution().toString()
     assert "In(term, [" in plan.split("PushedFilters", 1)[1] and "lengths" not in index_plan
-    assert "PushedFilters: [In(row, [" in lexical.search(index, "cat dog", 2)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(row, [" in index.search("cat dog", 2)._jdf.queryExecution().toString()
 
 
 def test_vector_search(spark):
@@ -241,7 +242,8 @@ def test_refresh_and_stream(spark, tmp_path):
     first = refresh(spark, fetched, s)
     assert first["n_pages"] == 1 and first["n_chunks"] == first["collection"] > 1
     assert refresh(spark, fetched, s)["collection"] == first["collection"]
-    assert lexical.load_index(spark, str(tmp_path / "i/bm25")).totals.first().n == first["n_chunks"]
+    index = TextIndex(spark, str(tmp_path / "i/bm25"))
+    assert index.n == first["n_chunks"] and index.version == 1  # the second refresh had nothing to add
     c = vectors.Collection(spark, str(tmp_path / "streamed"))
     upsert_stream(spark, str(tmp_path / "raw/all_pages"), c, str(tmp_path / "ck"), s).awaitTermination()
     assert c.read().count() == first["collection"]
@@ -249,6 +251,21 @@ def test_refresh_and_stream(spark, tmp_path):
     assert c.read().count() == first["collection"]
 
 
+def test_the_index_takes_changed_chunks_only(spark, tmp_path):
+    """Ids with several chunks change together; chunks that are gone go if asked."""
+    frame = lambda rows: spark.createDataFrame([(i, t, (t[:1],)) for i, t in rows], "id string, text string, metadata struct<url:string>")
+    index = index_changes(TextIndex(spark, str(tmp_path / "i")), frame([("a", "one cat"), ("a", "two cats"), ("b", "three dogs"), ("c", "four")]))
+    held = lambda x: sorted((r.id, r.text) for r in x.documents().collect())
+    now = [("a", "one cat"), ("a", "2 cats"), ("b", "three dogs"), ("d", "five")]
+    index = index_changes(index, frame(now))
+    assert held(index) == sorted([*now, ("c", "four")])
+    new = spark.read.parquet(f"{index.path}/s{index.segments[-1]}/documents")
+    assert sorted(r.id for r in new.collect()) == ["a", "a", "d"]
+    index = index_changes(index, frame(now), full_rebuild=True)
+    assert held(index) == sorted(now) and index.n == 4
+    assert index_changes(index, frame(now), full_rebuild=True).version == index.version
+
+
 def test_refresh_takes_usable_responses(spark, tmp_path):
     from granary.plans import search as commands
 
