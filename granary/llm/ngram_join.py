@@ -6,9 +6,15 @@ Jaccard similarity as probability. A run of the join starts with all sets in one
 node. A node samples each i with probability 1 / (threshold * SIZE), the same for
 all its members, and a member goes to the child (i, v_i) for each i sampled: a
 pair at the threshold has one common child on average. Small nodes are compared
-by brute force, large ones go on splitting, and after DEPTH levels what is still
-large is compared in blocks. Runs are repeated until the wanted recall of a pair
-at the threshold that had to go all DEPTH levels down.
+by brute force, large ones go on splitting, however deep. Runs are repeated until
+the wanted recall of a pair at the threshold.
+
+Few pairs have to go below DEPTH levels, those of sets that share much with many
+others, as pages of one template do. A common path gets rarer with each level, so there a
+node splits in several ways at once, as many as keep ``DEEP`` of the pairs down to the
+level at which halving would make it small. A node of which all but LIMIT
+members are near to some pivots that hang together isn't split: pivots settle those
+(``graph.linked``), and only the rest is compared.
 
 1. Equal texts are one class, so copies cost no comparison.
 2. Nodes are counted before anything but keys moves; nodes of one member end there.
@@ -35,9 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, column, forget, table, written
-from .graph import Relation, components, linked, settle, small
+from .graph import Relation, components, linked, roots, settle, small
 
 SIZE, DEPTH, LIMIT, FOUR = 128, 3, 256, 4.0
+#: The share of the pairs at the threshold that levels below DEPTH are to keep.
+DEEP = 0.8
 _WORD = regex.compile(WORD)
 _MULTIPLY = np.random.default_rng(11).integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,12 +95,27 @@ def children(nodes: np.ndarray, signatures: np.ndarray, threshold: float) -> tup
     return row, mix(mix(nodes[row] ^ _STEP) + value)
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
-    """Runs that find a pair at the threshold with probability ``recall`` if it must go ``depth`` levels down."""
-    found = 1.0
+def survival(depth: int, below: float = 1.0) -> float:
+    """The probability that a pair at the threshold has a common node after ``depth`` levels, and goes on from it with probability ``below``."""
+    found = below
     for _ in range(depth):
         found = 1 - math.exp(-found)  # a common child lives on; their number is Poisson with mean 1
-    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+    return found
+
+
+def repeats(wanted: float, each: float) -> int:
+    """Independent trials of which one succeeds with probability ``wanted``."""
+    return math.ceil(math.log(1 - wanted) / math.log(1 - each))
+
+
+def runs_for(recall: float) -> int:
+    """Runs that find a pair at the threshold with probability ``recall``, also if it has to go below DEPTH levels."""
+    return repeats(recall, survival(DEPTH, DEEP))
+
+
+def least_bytes(threshold: float) -> int:
+    """Bytes in which two sketches agree at least, if their sets are at the threshold: FOUR deviations less than are expected."""
+    return math.floor(SIZE * (threshold - FOUR * math.sqrt(threshold * (1 - threshold) / SIZE)))
 
 
 class Agreeing:
@@ -196,6 +219,76 @@ class Sets(Relation):
         return Intersecting(items[s:e], self.threshold)
 
 
+def buckets(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, node, size) of the nodes in which the members of ``classes`` (key, signature) are to meet, and the written tables that this reads."""
+    spark, runs, least = classes.sparkSession, runs_for(recall), least_bytes(threshold)
+    by_key = classes.select("key", "signature")
+
+    def split(ways: int, first: bool):  # noqa: ANN202
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                signatures = np.frombuffer(b"".join(b["signature"]), "<u4").reshape(-1, SIZE)
+                nodes = np.zeros(len(b), np.uint64) if first else b["node"].to_numpy().astype(np.int64).view(np.uint64)
+                for way in range(ways):
+                    own = mix(nodes + np.array([way + 1], np.uint64) * _STEP) if first or ways > 1 else nodes
+                    row, node = children(own, signatures, threshold)
+                    if len(row):
+                        yield pd.DataFrame({"key": b["key"].to_numpy()[row], "node": node.view(np.int64)})
+
+        return run
+
+    @F.pandas_udf("binary")
+    def hanging(found: pd.Series) -> pd.Series:
+        """Of each node's pivots the largest set that hangs together."""
+        out = []
+        for own in found:
+            x = np.frombuffer(b"".join(own), "<u4").reshape(-1, SIZE)
+            low = x.astype(np.uint8)
+            root = roots(Agreeing(low, least).near, np.zeros(len(x), bool))
+            out.append(x[root == np.bincount(root).argmax()].tobytes())
+        return pd.Series(out, dtype=object)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own, size = np.frombuffer(b"".join(b["signature"]), "<u4").reshape(-1, SIZE).astype(np.uint8), b["pivots"].map(len).to_numpy()
+            far = np.ones(len(b), bool)
+            for bytes_ in np.unique(size):
+                at = np.flatnonzero(size == bytes_)
+                pivots = np.frombuffer(b"".join(b["pivots"].iloc[at]), "<u4").reshape(len(at), -1, SIZE).astype(np.uint8)
+                far[at] = ~((own[at][:, None, :] == pivots).sum(2) >= least).any(1)
+            yield pd.DataFrame({"node": b["node"], "open": far.astype(np.int64)})
+
+    def sparse(large: DataFrame) -> DataFrame:
+        """(node) of those in which more than LIMIT members aren't near to its pivots: four members by hash, of which those count that hang together. Counts are summed before they move."""
+        some = large.groupBy("node", F.pmod(F.xxhash64("key"), F.lit(4))).agg(F.min_by("key", F.xxhash64("key", "node")).alias("key")).join(by_key, "key")
+        chosen = small(written(some.groupBy("node").agg(F.collect_list("signature").alias("p")).select("node", hanging("p").alias("pivots")), "pivots_of_nodes"))
+        told = large.select("key", "node").join(by_key, "key").join(chosen, "node").select("node", "signature", "pivots").mapInPandas(near, "node long, open long")
+        return small(written(told.groupBy("node").agg(F.sum("open").alias("open")).where(F.col("open") > LIMIT).select("node"), "sparse"))
+
+    nodes, leaves, level = written(by_key.mapInPandas(split(runs, True), "key binary, node long"), "nodes"), [], 0
+    met = None
+    while True:
+        level += 1
+        at_most = nodes.count()
+        counts = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", at_most // 2, 200_000)
+        members = written(nodes.join(small(counts), "node"), "members", at_most, 200_000)
+        largest = counts.agg(F.max("size")).first()[0] or 0
+        forget(spark, nodes)
+        forget(spark, counts)
+        leaves.append(members)
+        done, large = members.where(F.col("size") <= LIMIT), members.where(F.col("size") > LIMIT)
+        if largest > LIMIT and level >= DEPTH:
+            wide = sparse(large)
+            done = done.unionByName(large.join(wide, "node", "left_anti"))
+            large = large.join(wide, "node", "left_semi")
+        met = done.select("key", "node", "size") if met is None else met.unionByName(done.select("key", "node", "size"))
+        if largest <= LIMIT or (level >= DEPTH and wide.isEmpty()):
+            return met, leaves
+        # the first level below DEPTH splits in several ways, for all levels that are to come if each halves
+        ways = repeats(DEEP, survival(math.ceil(math.log2(largest / LIMIT)) + 2)) if level == DEPTH else 1
+        nodes = written(large.select("key", "node").join(by_key, "key").mapInPandas(split(ways, False), "key binary, node long"), "nodes")
+
+
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995, count: bool = True) -> DataFrame:
     """(doc_id, n_links, class_id, kept, text_key) for each row of ``docs``.
 
@@ -224,41 +317,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes", rows.count(), 2_000)
     forget(spark, signed)
-    runs = runs_for(recall)
-
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            signatures = np.frombuffer(b"".join(b["signature"]), "<u4").reshape(len(b), SIZE)
-            for run in range(runs):
-                row, node = children(np.full(len(b), mix(np.array([run + 1], np.uint64) * _STEP)[0]), signatures, threshold)
-                if len(row):
-                    yield pd.DataFrame({"key": b["key"].to_numpy()[row], "node": node.view(np.int64)})
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            signatures = np.frombuffer(b"".join(b["signature"]), "<u4").reshape(-1, SIZE)
-            row, node = children(b["node"].to_numpy().astype(np.int64).view(np.uint64), signatures, threshold)
-            yield pd.DataFrame({"key": b["key"].to_numpy()[row], "node": node.view(np.int64)})
-
-    by_key = classes.select("key", "signature")
-    nodes = written(by_key.mapInPandas(start, "key binary, node long"), "nodes")
-    leaves = []
-    for level in range(1, DEPTH + 1):
-        at_most = nodes.count()
-        counts = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", at_most // 2, 200_000)
-        members = written(nodes.join(small(counts), "node"), "members", at_most, 200_000)
-        forget(spark, nodes)
-        forget(spark, counts)
-        last = level == DEPTH
-        leaves.append(members if last else members.where(F.col("size") <= LIMIT))
-        large = members.where(F.col("size") > LIMIT)
-        if last or large.isEmpty():
-            break
-        nodes = written(large.select("key", "node").join(by_key, "key").mapInPandas(split, "key binary, node long"), "nodes")
-    met = leaves[0].select("key", "node", "size")
-    for more in leaves[1:]:
-        met = met.union(more.select("key", "node", "size"))
-    least = math.floor(SIZE * (threshold - FOUR * math.sqrt(threshold * (1 - threshold) / SIZE)))
+    met, leaves = buckets(classes, threshold, recall)
+    least = least_bytes(threshold)
     sizes = met.select("node", F.col("size").alias("rows_"), (F.col("size") * SIZE).alias("bytes_")).where(F.col("rows_") > 1).distinct()
     # Sorted, a class is tied to the smallest of its component in each node, mostly the same one: few distinct ties.
     ties = linked(met.join(classes.select("key", "sketch"), "key"), ["node"], ["sketch"], Sketches(least), sizes)

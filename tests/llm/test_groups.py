@@ -310,7 +310,7 @@ def test_large_nodes_go_on_splitting(spark, monkeypatch):
 
 
 def test_runs_grow_with_recall_and_depth():
-    assert ngram_join.runs_for(0.9, 1) == 3 and ngram_join.runs_for(0.99) > ngram_join.runs_for(0.9) > ngram_join.runs_for(0.9, 1)
+    assert ngram_join.repeats(0.9, ngram_join.survival(1)) == 3 and ngram_join.runs_for(0.99) > ngram_join.runs_for(0.9) > 3
 
 
 @given(st.lists(st.lists(st.integers(0, 30), max_size=20), min_size=1, max_size=8))
