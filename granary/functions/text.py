@@ -111,9 +111,14 @@ def resolve_link(base: Column, href: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """The href of each anchor in any case and quoting, the first of several; empty ones left out."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?i)<a(?=[\s/])((?:[\s/]++|{_ATTRIBUTE})*+)>"), F.lit(1))
-    values = F.transform(tags, lambda x: F.regexp_extract(x, rf"(?i)^(?:[\s/]++|(?!href(?:[\s/=]|$)){_ATTRIBUTE})*+href\s*+=\s*+({_VALUE})", 1))
+    """The href of each anchor in any case and quoting, the first of several; empty ones left out.
+
+    A tag that is never closed is read to the end and left out, so what lies in it is
+    read once: the time is linear, also for a page of nothing but beginnings of tags.
+    """
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?i)<a(?=[\s/])(?:[\s/]++|{_ATTRIBUTE})*+(?:>|\z)"), F.lit(0))
+    closed = F.filter(tags, lambda x: x.endswith(">"))
+    values = F.transform(closed, lambda x: F.regexp_extract(x, rf"(?i)^<a(?:[\s/]++|(?!href(?:[\s/=]|$)){_ATTRIBUTE})*+href\s*+=\s*+({_VALUE})", 1))
     return F.filter(F.transform(values, lambda x: F.regexp_replace(x, r"""^(?s)(["'])(.*)\1$""", "$2")), lambda x: x != "")
 
 

@@ -13,14 +13,14 @@ from granary.runtime import shared_path
 
 
 def resolved(src: Column, href: Column) -> Column:
-    """``href`` against ``src`` as ``join_urls`` does it; plain absolute and root-relative ones don't go to Python."""
+    """``href`` against ``src`` as ``join_urls`` does it. Plain absolute and root-relative ones are resolved in the JVM; Python gets nulls in their place."""
     plain = href.rlike(r"^(?:[a-z][a-z0-9+.-]*:/)?/[^\s\x00-\x20]*$") & ~href.rlike(r"(?:^|/)\.\.?(?:[/?#;]|$)") & ~href.rlike(r"[?#;](?:#|$)|[\[\]]")
     rest = F.coalesce(~plain, F.lit(False))
     return F.when(rest, join_urls(F.when(rest, src), F.when(rest, href))).otherwise(X.resolve_link(src, href))
 
 
 def decoded(href: Column) -> Column:
-    """Character references resolved; only hrefs with others than ``&amp;`` go to Python."""
+    """Character references resolved. ``&amp;`` alone is resolved in the JVM; Python gets nulls in place of hrefs that have no other."""
     rest = F.coalesce(href.rlike("&(?!amp;)#?[a-zA-Z0-9]"), F.lit(False))
     return F.when(rest, unescaped(F.when(rest, href))).otherwise(F.replace(href, F.lit("&amp;"), F.lit("&")))
 
@@ -42,6 +42,12 @@ def new_links(found: DataFrame, visited: DataFrame) -> DataFrame:
     return found.where("url is not null").select(X.normalize_url(F.col("url")).alias("norm_url")).distinct().join(seen, "norm_url", "left_anti")
 
 
+def frontier(pages: DataFrame, domains: tuple[str, ...], visited: DataFrame | None = None) -> DataFrame:
+    """(norm_url) of what a crawl fetches next: valid links of ``pages`` that aren't visited (nor pages of these)."""
+    seen = pages.select("url") if visited is None else visited.select("url").unionByName(pages.select("url"))
+    return new_links(valid_links(links(pages), domains), seen)
+
+
 def detail_links(listing: DataFrame) -> DataFrame:
     """(url, type) of course and program pages that listing pages link to, each once."""
     found = links(listing).withColumn("type", X.page_kind(F.col("href"))).where("type is not null and url is not null")

@@ -248,7 +248,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir).select("metadata.doc_id", "score", "vector_rank", "bm25_rank", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {RESULTS} SELECT 'CONTEXT:' || chr(10) || string_agg('[Source ' || rank || '] ' || title || ' — ' || heading || chr(10) || 'URL: ' || url || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION: the of payment return shipping the' || chr(10) || chr(10) || 'Use only the CONTEXT above. Cite every source with its URL and add a Sources section at the end.' AS prompt FROM res")
+@query(f"WITH {RESULTS} SELECT 'CONTEXT:' || chr(10) || string_agg('[Source ' || rank || '] ' || title || ' — ' || heading || chr(10) || 'URL: ' || url || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION: the of payment return shipping the' || chr(10) || chr(10) || 'Answer from these sources and from nothing else. Say after each statement which source it comes from, by its URL, and list the URLs that you used at the end.' AS prompt FROM res")
 def context_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.context_prompt(_hybrid(spark, sf_dir), QUESTION)
 
@@ -325,13 +325,16 @@ def link_resolve_rfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A page with links of all kinds, which the table lacks, and what they resolve to, worked out by hand.
 ODD_PAGE = ("http://a.example.org/x/y", """<a href="next.html">1</a><A HREF='../up/'>2</A><a class=c href=bare?p=1>3</a><a href="/q?a=1&amp;b=2">4</a><a href='?page=2'>5</a><a href="#top">6</a>
 <a href="//other.example.org/z">7</a><a href="http://B.example.org/k/../m">8</a><a title="href='no'" href="&#47;num">9</a><a href="">10</a><a name=n>11</a><a href="y">itself</a><a href="mailto:x@y.z">12</a>""")
-ODD_LINKS = ["http://a.example.org/x/next.html", "http://a.example.org/up", "http://a.example.org/x/bare", "http://a.example.org/q", "http://other.example.org/z", "http://B.example.org/k/../m", "http://a.example.org/num", "mailto://x@y.z"]
+ODD_LINKS = ["http://a.example.org/x/next.html", "http://a.example.org/up", "http://a.example.org/x/bare", "http://a.example.org/q", "http://a.example.org/num"]
+#: The hosts that a crawl stays on: a domain of the table's, which has links to itself, and the odd page's.
+CRAWLED = (*HOSTS, "a.example.org")
 
 
-@query(f"WITH {HREFS}, seen AS (SELECT DISTINCT {NORMAL} AS norm_url FROM pages) SELECT DISTINCT {NORMAL} AS norm_url FROM links WHERE {NORMAL} NOT IN (SELECT norm_url FROM seen) UNION SELECT unnest({ODD_LINKS})")
+@query(f"WITH {HREFS}, seen AS (SELECT DISTINCT {NORMAL} AS norm_url FROM pages) SELECT DISTINCT {NORMAL} AS norm_url FROM links WHERE starts_with(url, 'http') AND {AUTHORITY} IN ({', '.join(map(repr, CRAWLED))}) AND NOT ({SKIP}) AND {NORMAL} NOT IN (SELECT norm_url FROM seen) UNION SELECT unnest({ODD_LINKS})")
 def link_frontier_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid links only: of the site's hosts, without those to be skipped."""
     rows = _pages(spark, sf_dir).select("url", "html").unionByName(spark.range(1).select(F.lit(ODD_PAGE[0]).alias("url"), F.lit(ODD_PAGE[1]).alias("html")))
-    return crawl.new_links(crawl.links(rows), rows)
+    return crawl.frontier(rows, CRAWLED)
 
 
 KINDS = "('https://h.example.edu/undergraduate/courses/2026/COMP1511'), ('https://h.example.edu/undergraduate/programs/2026/3778'), ('https://h.example.edu/postgraduate/courses/2026/MATH5905?x=1'), ('https://h.example.edu/research/programs/2026/1650'), ('https://h.example.edu/undergraduate/courses/2026'), ('/about')"

@@ -165,6 +165,30 @@ def test_links_of_all_kinds(spark):
     assert [tuple(r) for r in crawl.detail_links(rows).collect()] == [("https://h.example/a/undergraduate/courses/2026/COMP1511", "course")]
 
 
+def test_hostile_pages_are_searched_for_links_in_linear_time(spark):
+    """A megabyte of beginnings of tags; what stands before them is found."""
+    import time
+
+    from granary.functions import text as X
+
+    for part in ("<a ", '<a x="', "<a href=", "<a <a", "<a x='y\" ", "<a/"):
+        rows = spark.createDataFrame([("<a href=first>" + part * (1_000_000 // len(part)),)], "html string")
+        began = time.time()
+        assert rows.select(X.hrefs(F.col("html")).alias("h")).first().h[0] == "first"
+        assert time.time() - began < 5, part
+    rows = spark.createDataFrame([("<a href=1><a <a href=2><a x='>' href=3>text<a href=4",)], "html string")
+    assert rows.select(X.hrefs(F.col("html")).alias("h")).first().h == ["1", "2", "3"]
+
+
+def test_a_frontier_has_valid_links_only(spark):
+    base = "http://a.example.org/x"
+    html = "".join(f"<a href='{x}'>" for x in ("y", "y/", "/z?q=1", "mailto:x@y.z", "http://evil.com/p", "/search", "/f.pdf", "#top", "http://b.example.org/k", "x", "//a.example.org/w"))
+    rows = spark.createDataFrame([(base, html), ("http://a.example.org/w", "")], "url string, html string")
+    found = lambda *more: sorted(r.norm_url for r in crawl.frontier(rows, ("a.example.org", "b.example.org"), *more).collect())
+    assert found() == ["http://a.example.org/y", "http://a.example.org/z", "http://b.example.org/k"]
+    assert found(spark.createDataFrame([("http://b.example.org/k/",)], "url string")) == ["http://a.example.org/y", "http://a.example.org/z"]
+
+
 def test_deep_pages_take_time_in_proportion():
     import time
 
