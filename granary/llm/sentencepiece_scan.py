@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, fresh, table, written
@@ -396,13 +396,20 @@ def _encoded(docs: DataFrame, tokenizer: str, doc_id: str, text: str, size: int,
     many = F.ceil(n / size).cast("int")
     many = F.when((many > 1) & (n - (many - 1) * size < 2 * longest), many - 1).otherwise(many)  # as chunks_of
 
-    def window(i: Column) -> Column:
-        lo, hi = i * size, F.when(i == F.col("many") - 1, F.col("n")).otherwise((i + 1) * size)
-        at, to = F.greatest(lo - longest, F.lit(0)), F.least(hi + longest, F.col("n"))
-        return F.struct(i.alias("chunk"), *[c.cast("long").alias(k) for k, c in (("at", at), ("lo", lo), ("hi", hi), ("n", F.col("n")))], F.substring(F.col("s"), (at + 1).cast("int"), (to - at).cast("int")).alias("window"))
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The windows of each text, some at a time: one pass over it, however many chunks it has."""
+        for b in batches:
+            for h, s, n_, many_ in zip(b["hash"], b["s"], b["n"], b["many"], strict=True):
+                for i in range(0, int(many_), 64):
+                    rows = []
+                    for k in range(i, min(i + 64, int(many_))):
+                        lo, hi = k * size, n_ if k == many_ - 1 else (k + 1) * size
+                        at, to = max(lo - longest, 0), min(hi + longest, n_)
+                        rows.append((h, k, at, lo, hi, n_, s[at:to]))
+                    yield pd.DataFrame(rows, columns=["hash", "chunk", "at", "lo", "hi", "n", "window"])
 
     windows = distinct.select("hash", covered.alias("s"), n.alias("n"), many.alias("many"))
-    windows = windows.select("hash", F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), window)).alias("w")).select("hash", "w.*")
+    windows = windows.mapInPandas(cut, "hash binary, chunk int, at long, lo long, hi long, n long, window string")
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = model(tokenizer)
