@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary import schemas
@@ -113,58 +113,77 @@ def upserted(existing: DataFrame, new: DataFrame, id: str = "id", seq: str | lis
 
 
 class Collection:
-    """A named collection: rows dealt into BUCKETS by a hash of their id, and a manifest that names each bucket's version.
-
-    An upsert writes the buckets that it touches as a new version, whole, and then a
-    manifest, so readers never see half of one, and a job that fails leaves the
-    collection as it was. ``vacuum`` removes versions that no manifest names.
+    """A named collection: what each upsert put in, as a table of its own (a delta), and a manifest that says which of them count, in which order.
+
+    A row counts unless a later delta has its id, so an upsert writes its rows and
+    nothing else, however large the collection is. Beyond DELTAS of them the newest become
+    one, with the older ones that aren't over twice as large, so a row is rewritten a
+    logarithm of times. The manifest's last row is written last: readers see a collection
+    before or after an upsert, and one that is stopped leaves it as it was.
+    ``vacuum`` removes deltas that the manifest no longer names.
     """
 
-    BUCKETS = 64
+    DELTAS = 8
 
     def __init__(self, spark: SparkSession, path: str, name: str = "pages", schema: str = schemas.VECTOR):
         self.spark, self.path, self.schema = spark, f"{path.rstrip('/')}/{name}", schema
 
-    def _manifest(self) -> tuple[int, dict[int, int]]:
-        """The last version's number, and the version of each bucket that has one."""
+    def _manifest(self) -> tuple[int, list[tuple[int, int]]]:
+        """The last number, and (delta, rows) of those that count, the oldest first."""
         if not exists(self.spark, f"{self.path}/manifest"):
-            return 0, {}
-        last = self.spark.read.schema("number int, buckets map<string,int>").json(f"{self.path}/manifest").orderBy(F.desc("number")).first()
-        return (last.number, {int(b): v for b, v in (last.buckets or {}).items()}) if last else (0, {})
-
-    def _name(self, number: int, buckets: dict[int, int]) -> None:
-        self.spark.createDataFrame([(number, {str(b): v for b, v in buckets.items()})], "number int, buckets map<string,int>").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-
-    def _read(self, versions: dict[int, int]) -> DataFrame:
-        out = self.spark.createDataFrame([], self.schema)
-        for v in sorted(set(versions.values())):
-            part = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/v{v}")
-            out = out.unionByName(part.where(F.col("bucket").isin(*[b for b, w in versions.items() if w == v])).drop("bucket"))
+            return 0, []
+        last = self.spark.read.schema("number int, deltas array<struct<delta:int,n:bigint>>").json(f"{self.path}/manifest").orderBy(F.desc("number")).first()
+        return (last.number, [(d.delta, d.n) for d in last.deltas or []]) if last else (0, [])
+
+    def _name(self, number: int, deltas: list[tuple[int, int]]) -> None:
+        self.spark.createDataFrame([(number, deltas)], "number int, deltas array<struct<delta:int,n:bigint>>").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
+    def _read(self, deltas: list[tuple[int, int]]) -> DataFrame:
+        """The rows of these deltas that no later one of them replaces. Only ids of the later ones are looked at; few are broadcast."""
+        out, later = self.spark.createDataFrame([], self.schema), None
+        for delta, _ in reversed(deltas):
+            rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/d{delta}")
+            out = out.unionByName(rows if later is None else rows.join(later, "id", "left_anti"))
+            later = rows.select("id") if later is None else later.unionByName(rows.select("id"))
         return out
 
+    def _write(self, rows: DataFrame, delta: int) -> tuple[int, int]:
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/d{delta}")
+        return delta, seen.get["n"]
+
     def read(self) -> DataFrame:
         return self._read(self._manifest()[1])
 
     def upsert(self, new: DataFrame, seq: str | list[str] = "seq") -> int:
-        """Puts ``new`` in and gives the number of rows after. ``new`` is read twice: once for the buckets that it touches."""
-        number, versions = self._manifest()
-        bucket = F.pmod(F.xxhash64("id"), F.lit(self.BUCKETS)).cast("int")
-        touched = [r.b for r in new.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
-        if touched:
-            old = self._read({b: versions[b] for b in touched if b in versions})
-            out = upserted(old, new, seq=seq).withColumn("bucket", bucket)
-            out.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/v{number + 1}")
-            self._name(number + 1, versions | dict.fromkeys(touched, number + 1))
+        """Puts ``new`` in and gives the number of rows after."""
+        number, deltas = self._manifest()
+        columns = [c.name for c in self.spark.createDataFrame([], self.schema).schema]
+        put = self._write(latest(new, seq=seq).select(*columns), number + 1)
+        if put[1]:
+            deltas = [*deltas, put]
+            self._name(number + 1, deltas)
+            if len(deltas) > self.DELTAS:
+                self.compact()
         return self.read().count()
 
+    def compact(self) -> None:
+        """Makes the newest deltas one, with all older ones that have at most twice the rows of those after them."""
+        number, deltas = self._manifest()
+        first = max(0, len(deltas) - max(2, self.DELTAS // 2 + 1))
+        while first and deltas[first - 1][1] <= 2 * sum(n for _, n in deltas[first:]):
+            first -= 1
+        if len(deltas) - first > 1:
+            self._name(number + 1, [*deltas[:first], self._write(self._read(deltas[first:]), number + 1)])
+
     def clear(self) -> None:
-        self._name(self._manifest()[0] + 1, {})
+        self._name(self._manifest()[0] + 1, [])
 
     def vacuum(self) -> None:
-        """Removes the files of versions that the manifest no longer names; nothing may be reading them."""
-        number, versions = self._manifest()
-        for v in set(range(1, number + 1)) - set(versions.values()):
-            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
+        """Removes the files of deltas that the manifest no longer names; nothing may be reading them."""
+        number, deltas = self._manifest()
+        for d in set(range(1, number + 1)) - {d for d, _ in deltas}:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/d{d}")
             folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def peek(self, n: int = 10) -> DataFrame:

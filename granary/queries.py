@@ -426,7 +426,7 @@ latest AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY id ORDER BY
 
 @query(f"WITH {VERSIONS} SELECT id, text, note FROM latest UNION ALL SELECT id, text, note FROM old WHERE id NOT IN (SELECT id FROM latest)")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some rows are new, some come twice, and some twice with the same place."""
+    """Into a collection: some rows are new, some come twice, and some twice with the same place."""
     docs = _docs(spark, sf_dir)
     old = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("text"), F.col("source").alias("note"))
 
@@ -436,18 +436,29 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang, source = F.col("lang"), F.col("source")
     new = part("n_chars % 3 = 0", "new ", lang, 1).unionByName(part("n_chars % 6 = 0", "newer ", source, 2)).unionByName(part("n_chars % 9 = 0", "tied ", lang, 1))
     new = new.unionByName(part("n_chars % 12 = 0", "tied ", F.lit("zz"), 2)).unionByName(part("n_chars % 7 = 0", "", lang, 1, 100000000))
-    return vectors.upserted(old, new)
+    collection = vectors.Collection(spark, shared_path(spark, "upserts"), "versions", "id bigint, text string, note string")
+    collection.upsert(old.withColumn("seq", F.lit(0)))
+    collection.upsert(new)
+    return collection.read()
 
 
 @query("SELECT (SELECT count(*) FROM pages) AS total_chunks, array_to_string(list_sort(list(DISTINCT url)), ' ') AS sample_urls FROM (SELECT url FROM pages ORDER BY page_id LIMIT 10)")
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.struct("url").alias("metadata"))
-    return vectors.statistics(rows).withColumn("sample_urls", F.array_join("sample_urls", " "))
+    return _urls(spark, sf_dir).stats().withColumn("sample_urls", F.array_join("sample_urls", " "))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> vectors.Collection:
+    """A collection of the pages' urls, put in by two upserts of which the second has a part of the first again."""
+    rows = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.struct("url").alias("metadata"), F.lit(0).alias("seq"))
+    out = vectors.Collection(spark, shared_path(spark, "urls"), "pages", "id bigint, metadata struct<url:string>")
+    out.upsert(rows.where("id % 4 <> 1").withColumn("metadata", F.when(F.col("id") % 4 == 0, F.struct(F.lit("before").alias("url"))).otherwise(F.col("metadata"))))
+    out.upsert(rows.where("id % 4 < 2"))
+    return out
 
 
 @query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10")
 def collection_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", "url").orderBy("page_id").limit(10)
+    return _urls(spark, sf_dir).peek(10).select(F.col("id").alias("page_id"), "metadata.url")
 
 
 @query(f"""SELECT 'https://handbook.example.edu/' || level || '/courses/2026?query=' || area AS url, area FROM (SELECT unnest({list(SITE.areas)}) AS area), (VALUES ('undergraduate'), ('postgraduate')) l(level)

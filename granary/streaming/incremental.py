@@ -17,7 +17,7 @@ def upsert_stream(spark: SparkSession, folder: str, collection: Collection, chec
 
     Of pages with one url in a batch the one crawled last counts. A batch that is run
     again puts the same ids in again, so the collection is the same as after one run.
-    Only the buckets that a batch touches are written.
+    A batch writes its own rows only.
     """
     pages = spark.readStream.schema(schemas.PAGE).json(folder)
 

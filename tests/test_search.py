@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -141,12 +142,48 @@ def test_collection(spark, tmp_path):
     assert c.read().count() == 0
 
 
-def test_upserts_write_the_buckets_they_touch(spark, tmp_path):
-    c = vectors.Collection(spark, str(tmp_path))
-    c.upsert(vector_rows(spark, *((str(i), "1", 0) for i in range(300))))
-    assert c.upsert(vector_rows(spark, ("7", "2", 0))) == 300
-    assert len(list((tmp_path / "pages/v2").glob("bucket=*"))) == 1
-    assert {r.id for r in c.read().where("text = '2'").collect()} == {"7"}
+def written_bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_upserts_write_their_own_rows_only(spark, tmp_path):
+    """What 200 rows write doesn't depend on how many there are; what is rewritten later stays in proportion."""
+    sizes = {}
+    for n in (1000, 10_000):
+        c = vectors.Collection(spark, str(tmp_path / str(n)), schema="id string, text string")
+        new = lambda a, z, say: spark.range(a, z).select(F.col("id").cast("string").alias("id"), F.concat(F.lit(say), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit(0).alias("seq"))  # noqa: E731, B023
+        assert c.upsert(new(0, n, "old")) == n
+        assert c.upsert(new(n - 100, n + 100, "new").coalesce(1)) == n + 100
+        sizes[n] = written_bytes(tmp_path / str(n) / "pages/d2")
+        assert c.read().where("text like 'new%'").count() == 200
+    assert abs(sizes[1000] - sizes[10_000]) < 0.1 * sizes[1000]
+
+
+def test_many_upserts_become_few_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors.Collection, "DELTAS", 3)
+    c = vectors.Collection(spark, str(tmp_path), schema="id int, text string")
+    rng, want = random.Random(4), {}
+    for k in range(9):
+        rows = [(rng.randrange(60 * (k == 0) + 30), f"{k} {i}", i) for i in range(40 if k == 0 else 6)]
+        for i, t, s in rows:
+            want[i] = t
+        assert c.upsert(spark.createDataFrame(rows, "id int, text string, seq int")) == len(want)
+        assert len(c._manifest()[1]) <= 3
+    assert {r.id: r.text for r in c.read().collect()} == want
+    c.vacuum()
+    assert {r.id: r.text for r in c.read().collect()} == want and len(list((tmp_path / "pages").glob("d*"))) <= 3
+
+
+def test_a_stopped_upsert_leaves_the_collection(spark, tmp_path, monkeypatch):
+    c = vectors.Collection(spark, str(tmp_path), schema="id int, text string")
+    frame = lambda *rows: spark.createDataFrame([(*r, 0) for r in rows], "id int, text string, seq int")
+    c.upsert(frame((1, "a"), (2, "b")))
+    with monkeypatch.context() as m:
+        m.setattr(vectors.Collection, "_name", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError, match="stopped"):
+            c.upsert(frame((1, "c"), (3, "d")))
+    assert {tuple(r) for r in c.read().collect()} == {(1, "a"), (2, "b")}
+    assert c.upsert(frame((2, "e"))) == 2 and {tuple(r) for r in c.read().collect()} == {(1, "a"), (2, "e")}
 
 
 @pytest.mark.parametrize("turn", [0, 1])
