@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
@@ -36,6 +35,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from granary.functions.text import tokens
 from granary.operators.lexical import EPSILON, K1, B, counted_terms
 from granary.runtime import shared_path
+from granary.sources.files import exists
 
 #: Postings that a block has about, and at most.
 BLOCK, MOST = 128, 512
@@ -80,12 +80,8 @@ class TextIndex:
         self.avgdl = self.length / self.n if self.n else 0.0
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).json(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        there = exists(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(schema).json(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
     def _of(self, name: str, schema: StructType | str, segments: list[int] | None = None) -> DataFrame:
         """A table of the segments, with ``segment``."""
