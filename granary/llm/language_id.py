@@ -28,6 +28,8 @@ from .graph import small
 BUCKETS, EFFECTIVE, KAPPA = 1 << 14, 60.0, 20.0
 #: Labelled rows for fitting: about as many, shared among the languages, of at most so many characters; languages with so many rows at least.
 SAMPLE_ROWS, SAMPLE_CHARS, LEAST_ROWS = 4000, 20_000, 5
+#: Languages of a model at most: their counts come to the driver, and 64 KB of each to every worker.
+MOST_LANGUAGES = 200
 #: A language's share of the sample at least, however many languages there are.
 LANGUAGE_ROWS = 200
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
@@ -70,17 +72,19 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> LanguageMod
     Each language has a share of its own, so every one with LEAST_ROWS labelled
     rows is in the model, whatever the size of the others; without such a one,
     those with the most rows. Longer texts serve only for a language with too few
-    others. Equal texts of a language count once, so copies neither fill the sample
+    others. More than MOST_LANGUAGES of them raise ValueError. Equal texts of a language count once, so copies neither fill the sample
     nor keep others out; the text with the least hash is always taken.
     """
     rows = docs.select(column(docs, label).alias("l"), column(docs, text).alias("t")).where("l is not null and l <> '' and t is not null")
     hashed, fits = F.pmod(F.xxhash64("t"), F.lit(1 << 30)), F.char_length("t") <= SAMPLE_CHARS
     different = lambda c: F.greatest(F.approx_count_distinct(c, 0.02), F.lit(1))
     sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.min(hashed).alias("first"), F.count_if(fits).alias("n_fit"), F.min(F.when(fits, hashed)).alias("first_fit"), different(F.xxhash64("t")).alias("texts"), different(F.when(fits, F.xxhash64("t"))).alias("texts_fit"))
-    found = sizes.where(F.col("n") >= LEAST_ROWS).collect()  # a row a language
+    found = sizes.where(F.col("n") >= LEAST_ROWS).limit(MOST_LANGUAGES + 1).collect()  # a row a language
     if not found:
         most = sizes.agg(F.max("n")).first()[0]
-        found = sizes.where(F.col("n") == most).collect() if most else []
+        found = sizes.where(F.col("n") == most).limit(MOST_LANGUAGES + 1).collect() if most else []
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels: they are taken for languages, of which each is {BUCKETS} numbers of the model")
     if not found:
         return LanguageModel({})
     wanted = max(SAMPLE_ROWS // len(found), LANGUAGE_ROWS)
@@ -139,10 +143,16 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", declared
     evidence, said, suffix, domain, host = fresh(docs, "evidence_", "said_", "suffix_", "domain_", "host_")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times BUCKETS numbers
 
+    def weighed(x: str | None) -> np.ndarray:
+        """The text's evidence for each language and for none, and each language's share of it: the text alone, and 0 without letters."""
+        e = shared.value.evidence(x)
+        own = np.exp(e[: len(langs)] - e[: len(langs)].max()) if e[len(langs)] < 0 else np.zeros(len(langs))
+        return np.r_[e, own / max(own.sum(), 1.0)]
+
     @F.pandas_udf("array<double>")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([shared.value.evidence(x) for x in b])
+            yield pd.Series([weighed(x) for x in b])
 
     empty = F.lit("")
     at = host_of(address) if address is not None else empty
@@ -150,12 +160,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", declared
     scored = scored.withColumns({suffix: F.when(F.col(host).contains("."), F.substring_index(host, ".", -1)).otherwise(empty), domain: F.substring_index(host, ".", -2)})
     scored = written(scored.select(*[column(docs, c) for c in carry], evidence, said, suffix, domain, host), "evidence")
     e = F.col(evidence)
-    alone = [F.exp(e[i] - F.greatest(*[e[j] for j in range(len(langs))], F.lit(-1e300))) if len(langs) > 1 else F.lit(1.0) for i in range(len(langs))]
     has_text = e[len(langs)] < 0
-    share = [F.when(has_text, a / sum(alone[1:], alone[0])).otherwise(0.0) for a in alone]
-    counted = scored.select(said, suffix, domain, host, *[s.alias(f"n{i}") for i, s in enumerate(share)])
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
-    total = counted.agg(*sums).first()
+    counted = scored.select(said, suffix, domain, host, F.when(has_text, 1.0).otherwise(0.0).alias("n"), *[e[len(langs) + 1 + i].alias(f"n{i}") for i in range(len(langs))])
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in ["", *range(len(langs))]]  # the rows, and how they are shared among the languages
+    total = counted.agg(*sums[1:]).first()
     total = [float(x or 0) for x in total]
     whole = [(x + 1) / (sum(total) + len(langs)) for x in total]
 
@@ -164,17 +172,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", declared
 
     def ratios(key: str, name: str) -> DataFrame:
         """log P(key | l) up to a constant, KAPPA rows of no news added; the empty key says nothing."""
-        n = [F.col(f"n{i}") for i in range(len(langs))]
-        row = sum(n[1:], n[0])
-        value = [F.when(F.col(key) == "", 0.0).otherwise(F.log((n[i] + KAPPA * whole[i]) / (row + KAPPA) / whole[i])) for i in range(len(langs))]
+        value = [F.when(F.col(key) == "", 0.0).otherwise(F.log((F.col(f"n{i}") + KAPPA * whole[i]) / (F.col("n") + KAPPA) / whole[i])) for i in range(len(langs))]
         return written(smoothed([key]).select(key, F.array(*value).alias(name)), name)
 
     declares, ends = ratios(said, "declares"), ratios(suffix, "ends")
-    by_domain = smoothed([domain]).select(domain, *[F.col(f"n{i}").alias(f"d{i}") for i in range(len(langs))])
+    by_domain = smoothed([domain]).select(domain, *[F.col(f"n{i}").alias(f"d{i}") for i in ["", *range(len(langs))]])
     by_host = smoothed([host, domain]).join(by_domain, domain)
-    n, d = [F.col(f"n{i}") for i in range(len(langs))], [F.col(f"d{i}") for i in range(len(langs))]
-    in_domain, in_host = sum(d[1:], d[0]), sum(n[1:], n[0])
-    prior = [F.log((n[i] + KAPPA * (d[i] + KAPPA * whole[i]) / (in_domain + KAPPA)) / (in_host + KAPPA)) for i in range(len(langs))]
+    prior = [F.log((F.col(f"n{i}") + KAPPA * (F.col(f"d{i}") + KAPPA * whole[i]) / (F.col("d") + KAPPA)) / (F.col("n") + KAPPA)) for i in range(len(langs))]
     priors = written(by_host.select(host, F.array(*prior).alias("prior")), "prior")
     out = scored.join(small(priors), host, "left").join(small(declares), said, "left").join(small(ends), suffix, "left")
     z = [e[i] + F.col("prior")[i] + F.col("declares")[i] + F.col("ends")[i] for i in range(len(langs))]

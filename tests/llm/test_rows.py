@@ -307,6 +307,17 @@ def test_languages_of_held_out_texts(spark):
     assert all(r.language_ == r.want and r.accepted and r.confidence > 0.9 for r in found)
 
 
+def test_many_languages_are_planned_in_proportion(spark, monkeypatch):
+    """A hundred made-up languages, each with words of its own letters; more than MOST_LANGUAGES are an error."""
+    words = lambda k: " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(20))
+    docs = spark.createDataFrame([(k, words(k) + f" {i}", f"l{k:03}", f"h{k % 7}.example.org") for k in range(100) for i in range(5)], "k int, text string, lang string, url string")
+    found = language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), address=F.col("url")).collect()
+    assert len(found) == 500 and all(r.language == r.lang and r.accepted for r in found)
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 99)
+    with pytest.raises(ValueError, match="more than 99"):
+        language_id.fit(docs)
+
+
 def test_rare_languages_are_in_the_model(spark):
     rows = [(prose("en", 6, i), "en") for i in range(20_000)] + [(prose("de", 30, i), "de") for i in range(5)] + [("ville rivière époque", "fr")] * 6
     rows += [("slova reka gorod " * 2000, "ru")] * 5 + [("x y", "zz")] * 4
