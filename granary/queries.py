@@ -139,6 +139,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir)[0].search(QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(rf"""WITH {TERMS}, m AS (SELECT avg(idf) AS mean FROM idf),
+q AS (SELECT question_id, term, count(*) AS times FROM (SELECT conv_id || '-' || turn AS question_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM conversations WHERE length(text) BETWEEN 2 AND 1000) GROUP BY ALL),
+w AS (SELECT question_id, term, times * CASE WHEN idf < 0 THEN 0.25e0 * mean ELSE idf END AS weight FROM q JOIN idf USING (term), m),
+tf AS (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM toks) GROUP BY ALL),
+s AS (SELECT question_id, doc_id, round(sum(weight * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM w JOIN tf USING (term), n GROUP BY ALL)
+SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
+def bm25_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents for every valid question of the conversations."""
+    asked = answer.valid_questions(table(spark, sf_dir, "conversations")).select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), "text")
+    out = _stored(spark, sf_dir)[0].search_many(asked, 5, 6)
+    return out.select("question_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20")
 def bm25_increments_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From an index that grew in three steps: some documents, all others and older versions of some, and their true versions."""
