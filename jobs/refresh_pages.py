@@ -25,7 +25,6 @@ import os
 import sys
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +57,13 @@ class Config:
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not be there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _begin(spark: SparkSession, out: str) -> None:
+    """Empty tables where there are none yet."""
+    for name, schema, by in (("pages", LOG, ["run"]), ("chunks", CHUNK, ["run", "type"]), ("marks", MARK, [])):
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*by).parquet(f"{out}/{name}")
 
 
 def marks(spark: SparkSession, out: str) -> DataFrame:
@@ -108,6 +107,7 @@ def _fields(schema: str) -> list[tuple[str, str]]:
 def run(spark: SparkSession, pages: str, out: str, c: Config = Config()) -> dict[str, int]:
     """One refresh; gives its counts, those of its mark. ``pages`` is a path."""
     ship(spark)
+    _begin(spark, out)
     rows = spark.read.parquet(pages)
     if c.skip:
         rows = rows.where(~F.coalesce(F.lower("url").rlike("|".join(c.skip)), F.lit(False)))
