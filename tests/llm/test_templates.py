@@ -31,7 +31,7 @@ def compared(spark, signatures):
     return sum(sizes), sum(s * (s - 1) // 2 for s in sizes), max(sizes)
 
 
-@pytest.mark.parametrize(("shared", "own"), [(100, 100), (200, 100)])  # similarities of 1/3 and 1/2
+@pytest.mark.parametrize(("shared", "own"), [(100, 100)])  # a similarity of 1/3
 def test_pairs_grow_with_the_pages_of_a_template(spark, monkeypatch, shared, own):
     """Measured without Spark for LIMIT 32 and 500, 2,000 and 8,000 pages: 21, 59 and 108 thousand pairs of 125, 1,999 and 31,996 thousand at 1/3; 94, 284 and 786 thousand at 1/2."""
     monkeypatch.setattr(J, "LIMIT", 32)
@@ -43,9 +43,9 @@ def test_pairs_grow_with_the_pages_of_a_template(spark, monkeypatch, shared, own
 def test_near_pages_of_a_template_are_found(spark, monkeypatch):
     """Pairs at 0.9 among pages that share a half, below the third level, and a group of near copies beside them."""
     monkeypatch.setattr(J, "LIMIT", 32)
-    signatures = template_pages(700, 100, 50, twins=100, seed=3)
+    signatures = template_pages(300, 100, 50, twins=50, seed=3)
     base = np.random.default_rng(9).integers(0, 2**63, 150).astype(np.uint64)
-    for i in range(200):  # near copies of one page: pivots settle them
+    for i in range(100):  # near copies of one page: pivots settle them
         own = base.copy()
         own[i % 150] = np.uint64(i + 1)
         signatures.append(J.signature(own))
@@ -56,7 +56,7 @@ def test_near_pages_of_a_template_are_found(spark, monkeypatch):
         nodes.setdefault(r.node, []).append(int.from_bytes(r.key, "big"))
     for members in nodes.values():
         own = set(members)
-        together |= {i for i in members if i < 100 and 600 + i in own}
-    assert len(together) >= 99
+        together |= {i for i in members if i < 50 and 250 + i in own}
+    assert len(together) >= 49
     copies = [m for m in nodes.values() if len(m) > 32]
-    assert all(sum(700 <= i for i in m) >= len(m) - 32 for m in copies)  # large nodes are near copies but for a few
+    assert all(sum(300 <= i for i in m) >= len(m) - 64 for m in copies)  # large nodes are near copies but for LIMIT members, and pages that are near to a pivot
