@@ -159,7 +159,7 @@ class Collection:
         """Puts ``new`` in and gives the number of rows after."""
         number, deltas = self._manifest()
         columns = [c.name for c in self.spark.createDataFrame([], self.schema).schema]
-        put = self._write(latest(new, seq=seq).select(*columns), number + 1)
+        put = self._write(self._latest(new, seq, f"{self.path}/repeated{number + 1}").select(*columns), number + 1)
         if put[1]:
             deltas = [*deltas, put]
             self._name(number + 1, deltas)
@@ -167,6 +167,16 @@ class Collection:
                 self.compact()
         return self.read().count()
 
+    def _latest(self, new: DataFrame, seq: str | list[str], path: str) -> DataFrame:
+        """As ``latest``, but only rows whose id is repeated are shuffled and compared; texts and embeddings of others stay where they are."""
+        new.groupBy("id").count().where("count > 1").select(F.col("id").alias("id_")).write.mode("overwrite").parquet(path)
+        ids = self.spark.read.parquet(path)
+        if ids.isEmpty():
+            return new
+        same = F.col("id").eqNullSafe(F.col("id_"))
+        last = latest(new.join(ids, same, "left_semi"), seq=seq)
+        return new.join(ids, same, "left_anti").select(*last.columns).unionByName(last)
+
     def compact(self) -> None:
         """Makes the newest deltas one, with all older ones that have at most twice the rows of those after them."""
         number, deltas = self._manifest()

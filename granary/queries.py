@@ -104,29 +104,46 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
-_STORED: dict[tuple, tuple[str, TextIndex, DataFrame]] = {}
+_STORED: dict[tuple, tuple[str, TextIndex | DataFrame]] = {}
 METADATA = "struct<url:string,title:string,section_heading:string,doc_id:bigint>"
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[TextIndex, DataFrame]:
-    """The documents' index and their collection, read from disk; both are written once for each application and folder, anew if they have been removed."""
-    key = spark.sparkContext.applicationId, sf_dir
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], TextIndex | DataFrame]) -> TextIndex | DataFrame:
+    """What ``make`` writes at a path: once for each application and folder, anew if it has been removed."""
+    key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _STORED or not files.exists(spark, _STORED[key][0]):
-        path = shared_path(spark, "search")
-        meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"), "doc_id")
-        docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", meta.alias("metadata"))
-        index = TextIndex(spark, f"{path}/words").add(docs)
-        collection = vectors.Collection(spark, path, "documents", f"id bigint, text string, metadata {METADATA}, embedding array<double>")
-        collection.upsert(index.documents().drop("segment", "row", "dl").withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
-        _STORED[key] = path, index, collection.read()
-    return _STORED[key][1:]
+        path = shared_path(spark, name)
+        _STORED[key] = path, make(path)
+    return _STORED[key][1]
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = F.struct(F.concat(F.lit("https://www."), "source", F.lit(".example/"), "lang").alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("section_heading"), "doc_id")
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", meta.alias("metadata"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The documents' index, read from disk."""
+    return _once(spark, sf_dir, "words", lambda path: TextIndex(spark, path).add(_searched(spark, sf_dir)))
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' collection, read from disk; it needs no index."""
+
+    def make(path: str) -> DataFrame:
+        out = vectors.Collection(spark, path, "documents", f"id bigint, text string, metadata {METADATA}, embedding array<double>")
+        out.upsert(_searched(spark, sf_dir).withColumn("embedding", vectors.hashed_embedding(F.col("text"))).withColumn("seq", F.lit(0)))
+        return out.read()
+
+    return _once(spark, sf_dir, "collection", make)
 
 
 @query(f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(len(list_distinct(w)))::BIGINT FROM toks) AS n_postings, (SELECT count(DISTINCT doc_id) FROM documents) AS n_vectors")
 def search_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the index and the collection that the search queries read, and counts what they hold."""
-    _STORED.pop((spark.sparkContext.applicationId, sf_dir), None)
-    index, collection = _stored(spark, sf_dir)
+    for name in ("words", "collection"):
+        _STORED.pop((spark.sparkContext.applicationId, sf_dir, name), None)
+    index, collection = _index(spark, sf_dir), _collection(spark, sf_dir)
     one = index.terms.agg(F.count("*").alias("n_terms")).withColumn("n_documents", F.lit(index.n))
     return one.crossJoin(index.blocks.agg(F.sum("n").alias("n_postings"))).crossJoin(collection.agg(F.count("*").alias("n_vectors")))
 
@@ -136,7 +153,7 @@ TOP = f"WITH {BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC
 
 @query(TOP)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir)[0].search(QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return _index(spark, sf_dir).search(QUESTION, 20, 6).select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(rf"""WITH {TERMS}, m AS (SELECT avg(idf) AS mean FROM idf),
@@ -148,7 +165,7 @@ SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id O
 def bm25_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for every valid question of the conversations."""
     asked = answer.valid_questions(table(spark, sf_dir, "conversations")).select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), "text")
-    out = _stored(spark, sf_dir)[0].search_many(asked, 5, 6)
+    out = _index(spark, sf_dir).search_many(asked, 5, 6)
     return out.select("question_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -171,7 +188,7 @@ def bm25_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM bm JOIN toks USING (doc_id) WHERE list_has_any(w, ['the', 'of', 'payment', 'return', 'shipping'])")
 def bm25_index_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _stored(spark, sf_dir)[0]
+    index = _index(spark, sf_dir)
     ids = index.documents().select("segment", "row", F.col("id").alias("doc_id"))
     return index.scores(QUESTION).join(ids, ["segment", "row"]).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -253,7 +270,7 @@ def hashed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.hybrid_search(*_stored(spark, sf_dir), QUESTION, 5, digits=6)
+    return retrieve.hybrid_search(_index(spark, sf_dir), _collection(spark, sf_dir), QUESTION, 5, digits=6)
 
 
 @query(f"WITH {RANKED} SELECT doc_id, score, vector_rank, bm25_rank, rank FROM best")
@@ -273,7 +290,7 @@ def unique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RANKED} SELECT doc_id, similarity, rank FROM veck WHERE rank <= 5")
 def vector_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieve.vector_only_search(_stored(spark, sf_dir)[1], QUESTION, 5, digits=6)
+    best = retrieve.vector_only_search(_collection(spark, sf_dir), QUESTION, 5, digits=6)
     return best.select(F.col("id").alias("doc_id"), "similarity", F.col("rank").cast("long").alias("rank"))
 
 

@@ -321,3 +321,22 @@ def test_refresh_takes_all_fetched_pages(spark, tmp_path):
     fetched = spark.createDataFrame([(f"https://www.example.edu/p{i}", text + f"<p>Number {i} of them all</p>") for i in range(7)], "url string, html string")
     s = Settings(raw_dir=str(tmp_path / "raw"), processed_dir=str(tmp_path / "p"), index_dir=str(tmp_path / "i"), site=Site(), max_pages=3)
     assert refresh(spark, fetched, s)["n_pages"] == 7
+
+
+def test_a_vector_search_builds_no_index_of_words(spark, data, tmp_path, monkeypatch):
+    from granary import queries as Q
+
+    monkeypatch.setattr(Q, "_STORED", {})
+    assert Q.QUERIES["vector_only_search"](spark, data).count() == 5
+    assert [key[2] for key in Q._STORED] == ["collection"]
+
+
+def test_an_upsert_of_distinct_ids_shuffles_no_rows(spark, tmp_path):
+    from granary.operators.vectors import Collection
+
+    c = Collection(spark, str(tmp_path), "c", "id bigint, text string")
+    rows = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (None, "c", 0)], "id bigint, text string, seq int")
+    assert "Aggregate" not in c._latest(rows, "seq", f"{tmp_path}/x")._jdf.queryExecution().toString()
+    assert c.upsert(rows) == 3
+    twice = rows.unionByName(spark.createDataFrame([(2, "z", 1), (2, "y", 1), (None, "d", 1)], "id bigint, text string, seq int"))
+    assert sorted(map(tuple, c._latest(twice, "seq", f"{tmp_path}/y").collect()), key=repr) == [(1, "a"), (2, "z"), (None, "d")]
