@@ -43,6 +43,8 @@ BLOCK, MOST = 128, 512
 SEEDS, FEW = 64, 100_000
 #: Segments from which on ``add`` merges the smallest ones.
 SEGMENTS = 8
+#: Postings that a task sorts into blocks about: few enough for memory, however many there are.
+SORTED = 500_000
 MARK = "version int, segments array<int>, n bigint, length bigint, mean_idf double"
 TERMS = "term string, df bigint, own bigint, shift int, best double"
 BLOCKS = "term string, range bigint, first bigint, last bigint, n bigint, best double, postings array<struct<row:bigint,tf:bigint,dl:bigint>>"
@@ -163,8 +165,11 @@ class TextIndex:
     def vacuum(self) -> None:
         """Removes the files of segments that the last mark doesn't name; nothing may be reading them."""
         for s in set(range(1, self._next())) - set(self.segments):
-            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/s{s}")
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            self._removed(f"{self.path}/s{s}")
+
+    def _removed(self, path: str) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _next(self) -> int:
         """A number above all that marks ever named. A change that was stopped has none, and is overwritten."""
@@ -183,6 +188,8 @@ class TextIndex:
         dead = self._of("dead", DEAD, of).where(~F.col("segment").isin(of)) if of is not None else gone.select("segment", "row") if gone is not None else self.spark.createDataFrame([], DEAD)
         dead.write.mode("overwrite").parquet(f"{folder}/dead")
         found = docs.select("row", "dl", F.explode(counted_terms(F.col(text))).alias("t")).select("row", "dl", "t.term", "t.tf")
+        found.write.mode("overwrite").parquet(f"{folder}/counted")  # texts are tokenized once for terms and blocks
+        found = self.spark.read.schema(found.schema).parquet(f"{folder}/counted")
         found = found.withColumn("part", part(F.col("tf"), F.col("dl"), avgdl))
         terms = found.groupBy("term").agg(F.count("*").alias("own"), F.max("part").alias("best"))
         if of is not None:
@@ -198,13 +205,16 @@ class TextIndex:
         terms = terms.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("own", F.lit(0)).alias("own"), F.coalesce(shift, F.lit(62)).alias("shift"), F.coalesce("best", F.lit(0.0)).alias("best"))
         terms.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
         frequent = self._of("terms", TERMS, [number]).where(F.col("own") > BLOCK).select("term", "shift")
-        # one shuffle of postings besides a join with the frequent terms, which is one only where these are many
-        ranged = found.join(frequent, "term", "left").withColumn("range", F.expr("shiftright(row, coalesce(shift, 62))"))
+        # one shuffle of postings, for the join with the frequent terms and for the blocks, in parts that a task sorts in memory
+        postings = self._of("terms", TERMS, [number]).agg(F.sum("own")).first()[0] or 0
+        dealt = found.repartition(max(1, -(-postings // SORTED)), "term")
+        ranged = dealt.join(frequent, "term", "left").withColumn("range", F.expr("shiftright(row, coalesce(shift, 62))"))
         cut = F.floor((F.row_number().over(Window.partitionBy("term", "range").orderBy("row")) - 1) / MOST).alias("cut")
         blocks = ranged.select("term", "range", "row", "tf", "dl", "part", cut).groupBy("term", "range", "cut").agg(
             F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n"), F.max("part").alias("best"), F.array_sort(F.collect_list(F.struct("row", "tf", "dl"))).alias("postings")
         )
         blocks.drop("cut").sortWithinPartitions("term", "range", "first").write.mode("overwrite").parquet(f"{folder}/blocks")
+        self._removed(f"{folder}/counted")
 
     def _marked(self, segments: list[int]) -> TextIndex:
         """The index of these segments, once its mark is written."""

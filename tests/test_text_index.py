@@ -157,3 +157,13 @@ def test_empty_indexes(spark, tmp_path):
     index = index.add(frame(spark, [(1, "w0 w1", "m"), (1, "w0", "again"), (2, None, "m")]))
     assert [(r.id, r.metadata) for r in index.search("w0", 5).collect()] == [] or index.n == 3  # both have it: its idf is negative
     assert {r.metadata for r in index.search("w1", 5).collect()} <= {"m"}
+
+
+def test_blocks_are_sorted_in_parts_and_texts_are_tokenized_once(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(T, "SORTED", 2000)
+    index = TextIndex(spark, str(tmp_path / "a")).add(frame(spark, rows))
+    files = [x for x in os.listdir(tmp_path / "a" / "s1" / "blocks") if x.endswith(".parquet")]
+    assert len(files) > 4  # as the postings ask for, more than the session's partitions
+    assert not os.path.exists(tmp_path / "a" / "s1" / "counted")
+    monkeypatch.setattr(T, "SORTED", 10**6)
+    assert contents(index) == contents(TextIndex(spark, str(tmp_path / "b")).add(frame(spark, rows)))
