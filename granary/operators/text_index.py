@@ -28,6 +28,8 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
@@ -45,6 +47,8 @@ SEEDS, FEW = 64, 100_000
 SEGMENTS = 8
 #: Postings that a task sorts into blocks about: few enough for memory, however many there are.
 SORTED = 500_000
+#: Documents and questions that one task compares at once in ``search_many``.
+DOCUMENTS, QUESTIONS = 8_192, 65_536
 MARK = "version int, segments array<int>, n bigint, length bigint, mean_idf double"
 TERMS = "term string, df bigint, own bigint, shift int, best double"
 BLOCKS = "term string, range bigint, first bigint, last bigint, n bigint, best double, postings array<struct<row:bigint,tf:bigint,dl:bigint>>"
@@ -348,63 +352,60 @@ class TextIndex:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _asked(self, questions: DataFrame, question_id: str, text: str) -> DataFrame:
-        """(q, segment, term, weight, worth, bound, shift) of the terms of each question that the index knows, and how high each can lift a score (``highest``)."""
-        terms = questions.select(F.col(question_id).alias("q"), F.explode(counted_terms(F.col(text))).alias("t")).select("q", "t.term", F.col("t.tf").alias("times"))
-        terms = self._kept(terms, "terms")
-        known = self._of("terms", TERMS).join(terms.select("term").distinct(), "term", "left_semi")
-        df = known.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        idf = F.log(F.lit(float(self.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        weighed = terms.join(df.select("term", F.when(idf < 0, EPSILON * self.mean_idf).otherwise(idf).alias("idf")), "term")
-        inflation = self._of("totals", TOTALS).select("segment", F.greatest(F.lit(1.0), F.lit(self.avgdl) * F.col("own") / F.greatest("own_length", F.lit(1))).alias("inflation"))
-        parts = known.where("own > 0").join(F.broadcast(inflation), "segment").select("segment", "term", "shift", "best", "inflation")  # a row a segment is broadcast
-        weight = F.col("times") * F.col("idf") * (K1 + 1)
-        rows = weighed.select("q", "term", weight.alias("weight")).join(parts, "term").withColumn("worth", F.col("weight") * F.col("inflation"))
-        rows = rows.withColumn("bound", F.least("weight", F.col("worth") * F.col("best"))).drop("best", "inflation")
-        return self._kept(rows.withColumn("highest", F.max("bound").over(Window.partitionBy("q", "term"))), "asked")
-
-    def _parts(self, blocks: DataFrame) -> DataFrame:
-        """(q, segment, row, score): what each posting of ``blocks``, which have a question's ``weight``, adds."""
-        flat = blocks.select("q", "segment", "weight", F.explode("postings").alias("p"))
-        return flat.select("q", "segment", F.col("p.row").alias("row"), (F.col("weight") * part(F.col("p.tf"), F.col("p.dl"), self.avgdl)).alias("score"))
-
     def search_many(self, questions: DataFrame, k: int, digits: int | None = None, question_id: str = "question_id", text: str = "text", id: str = "id") -> DataFrame:
         """(question_id, id, score, rank): for each row of ``questions`` the k best documents, as ``search`` finds them one by one.
 
-        The same three steps, each a join of all questions' terms with blocks: a
-        threshold for each question from the best blocks of its rarest term; blocks of
-        the terms that can reach it, by their bounds; lookups of the others. So a
-        (question, document) pair is a row only if they share a term that matters. Questions
-        without a known term have no rows; question ids are distinct.
+        Groups of about DOCUMENTS documents meet groups of about QUESTIONS questions, a
+        task for each pair of groups. It adds up what a question's terms give to the
+        group's documents and keeps the k best, so no table has a row for each
+        (question, document) pair. Every shared term is added up: work is the sum over terms
+        of questions times documents that have them. Questions without a known term
+        have no rows; question ids are distinct.
         """
-        slack = 1e-9 if digits is None else 10.0**-digits
-        blocks, asked = self.blocks, self._asked(questions, question_id, text)
-        # 1. the threshold: the k-th best of what the rarest term adds to documents of its SEEDS best blocks
-        rarest = asked.groupBy("q").agg(F.max_by("term", F.struct("highest", "term")).alias("term"))
-        first = asked.join(rarest, ["q", "term"]).join(blocks.select("segment", "term", "range", "first", "best"), ["segment", "term"])
-        order = Window.partitionBy("q").orderBy(F.desc(F.col("best") * F.col("worth")), "segment", "range", "first")
-        seeds = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEEDS).select("q", "segment", "term", "range", "first", "weight")
-        lifted = self._parts(seeds.join(blocks.select("segment", "term", "range", "first", "postings"), ["segment", "term", "range", "first"])).join(self.dead, ["segment", "row"], "left_anti")
-        nth = lifted.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "segment", "row"))).where(F.col("nth") == k)
-        reached = nth.select("q", (F.col("score") - slack).alias("reached")).where("reached > 0" if self.mean_idf >= 0 else "false")  # bounds hold for weights of at least 0
-        # 2. what a question's other terms can add to a term's, and the terms that together stay below the threshold
-        terms = asked.select("q", "term", "highest").distinct().join(reached, "q", "left").withColumn("reached", F.coalesce("reached", F.lit(float("-inf"))))
-        rising = F.sum("highest").over(Window.partitionBy("q").orderBy("highest", "term"))
-        terms = terms.withColumns({"rising": rising, "total": F.sum("highest").over(Window.partitionBy("q"))}).withColumn("looked_up", F.col("rising") < F.col("reached"))
-        terms = terms.withColumn("rest", F.coalesce(F.max(F.when(F.col("looked_up"), F.col("rising"))).over(Window.partitionBy("q")), F.lit(0.0)))
-        asked = self._kept(asked.drop("highest").join(terms, ["q", "term"]), "planned")
-        near = asked.where("not looked_up").join(blocks, ["segment", "term"]).where(F.least(F.col("weight"), asked.worth * blocks.best) + F.col("total") - F.col("highest") >= F.col("reached"))
-        found = self._parts(near).groupBy("q", "segment", "row").agg(F.sum("score").alias("score"))
-        limits = asked.groupBy("q").agg(F.max("reached").alias("reached"), F.max("rest").alias("rest"))
-        found = self._kept(found.join(limits, "q").where(F.col("score") + F.col("rest") >= F.col("reached")).select("q", "segment", "row", "score"), "found")
-        # 3. what the other terms add to these
-        wanted = found.select("q", "segment", "row").join(asked.where("looked_up").select("q", "segment", "term", "weight", "shift"), ["q", "segment"])
-        wanted = wanted.withColumn("range", F.call_function("shiftright", F.col("row"), F.col("shift"))).drop("shift")
-        held = wanted.join(blocks.select("segment", "term", "range", "first", "last", "postings"), ["segment", "term", "range"]).where("row between first and last")
-        p = F.get(F.filter("postings", lambda x: x.row == F.col("row")), F.lit(0))
-        more = held.withColumn("p", p).where("p is not null").select("q", "segment", "row", (F.col("weight") * part(F.col("p.tf"), F.col("p.dl"), self.avgdl)).alias("score"))
-        whole = found.unionByName(more).groupBy("q", "segment", "row").agg(F.sum("score").alias("score"))
+        terms = self._kept(questions.select(F.col(question_id).alias("q"), F.explode(counted_terms(F.col(text))).alias("t")).select("q", "t.term", F.col("t.tf").alias("times")), "terms")
+        known = self._of("terms", TERMS).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        idf = F.log(F.lit(float(self.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        weight = F.when(idf < 0, EPSILON * self.mean_idf).otherwise(idf) * (K1 + 1)
+        known = self._kept(known.select("term", F.monotonically_increasing_id().alias("number"), weight.alias("weight")), "known")
+        asked = terms.join(known, "term").groupBy("q").agg(F.collect_list(F.struct("number", (F.col("times") * F.col("weight")).alias("weight"))).alias("t"))
+        asked = self._kept(asked.select("q", F.col("t.number").alias("numbers"), F.col("t.weight").alias("weights")), "asked")
+        parts, groups = max(1, -(-asked.count() // QUESTIONS)), max(1, -(-self.n // DOCUMENTS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asks = asked.withColumns({"qb": F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"), "db": every(groups)})
+        flat = self.blocks.join(known.select("term", "number"), "term").select("segment", "number", F.explode("postings").alias("p"))
+        flat = flat.select("segment", F.col("p.row").alias("row"), "number", part(F.col("p.tf"), F.col("p.dl"), self.avgdl).alias("part"))
+        ids = self.documents().select("segment", "row", F.col(id).alias("id"))
+        held = flat.join(ids, ["segment", "row"]).withColumns({"db": F.pmod(F.xxhash64("segment", "row"), F.lit(groups)).cast("int"), "qb": every(parts)})
+        slack = 1e-9 if digits is None else 2 * 10.0**-digits  # of sums in another order, and of rounded ones
+
+        def best(own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+            rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+            docs = members[["id", "segment", "row"]].drop_duplicates(["segment", "row"]).sort_values(["id", "segment", "row"], na_position="first")
+            at = pd.MultiIndex.from_frame(docs[["segment", "row"]]).get_indexer(pd.MultiIndex.from_frame(members[["segment", "row"]]))
+            order = np.argsort(members["number"].to_numpy(), kind="stable")
+            at, added = at[order], members["part"].to_numpy()[order]
+            numbers, first = np.unique(members["number"].to_numpy()[order], return_index=True)
+            ends = np.append(first, len(order))
+            for i, (ns, ws) in enumerate(zip(own["numbers"], own["weights"], strict=True)):
+                score = np.zeros(len(docs))
+                for j, n, w in sorted(zip(np.searchsorted(numbers, ns).tolist(), ns.tolist(), ws.tolist(), strict=True)):
+                    if j < len(numbers) and numbers[j] == n:
+                        score[at[ends[j] : ends[j + 1]]] += w * added[ends[j] : ends[j + 1]]
+                least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+                found = np.flatnonzero((score >= least - slack) & (score > 0))
+                found = found[np.argsort(-score[found], kind="stable")]  # documents are in the order of their ids
+                same = score[found]
+                nth = np.arange(len(found)) - np.searchsorted(-same, -same)
+                found = found[nth < k]  # of equal ones, such as copies, the first
+                rows.append((i, found, score[found]))
+            owner = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(int)
+            found = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, int)
+            out = {"q": own["q"].to_numpy()[owner], "segment": docs["segment"].to_numpy()[found], "row": docs["row"].to_numpy()[found]}
+            return pd.DataFrame(out | {"score": np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)})
+
+        kind = {f.name: f.dataType.simpleString() for f in asked.schema.fields}["q"]
+        whole = asks.groupBy("db", "qb").cogroup(held.groupBy("db", "qb")).applyInPandas(best, f"q {kind}, segment int, row bigint, score double")
         whole = (whole if digits is None else whole.withColumn("score", F.round("score", digits))).where("score > 0")
-        named = whole.join(self.documents().select("segment", "row", F.col(id).alias("id")), ["segment", "row"])
+        named = whole.join(ids, ["segment", "row"])
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "segment", "row"))
         return named.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("question_id"), "id", "score", "rank")

@@ -167,3 +167,20 @@ def test_blocks_are_sorted_in_parts_and_texts_are_tokenized_once(spark, tmp_path
     assert not os.path.exists(tmp_path / "a" / "s1" / "counted")
     monkeypatch.setattr(T, "SORTED", 10**6)
     assert contents(index) == contents(TextIndex(spark, str(tmp_path / "b")).add(frame(spark, rows)))
+
+
+def test_many_questions_meet_documents_in_groups(spark, tmp_path, monkeypatch, rows):
+    """Frequent terms and copies: a group keeps k rows a question, and no plan has a row for each question and document."""
+    monkeypatch.setattr(T, "DOCUMENTS", 400)
+    monkeypatch.setattr(T, "QUESTIONS", 15)
+    copies = rows + [(10_000 + i, "w0 w1 w300", "m") for i in range(500)]
+    index = TextIndex(spark, str(tmp_path / "a")).add(frame(spark, copies))
+    asked = [(f"q{i}", f"w0 w1 w2 w{i % 3} w{200 + i % 2}") for i in range(30)] + [("c", "w300 w1")]
+    out = index.search_many(spark.createDataFrame(asked, "question_id string, text string"), 7, 6)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.question_id, []).append((r["rank"], r.id, r.score))
+    for name, query in (asked[0], asked[1], asked[-1]):
+        assert sorted(found[name]) == by_scan(spark, copies, query, 7)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and len(found) == 31
