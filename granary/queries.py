@@ -18,7 +18,7 @@ from granary.functions.html import join_urls, page_fields
 from granary.operators import answer, chunks, crawl, lexical, pages, retrieve, vectors
 from granary.operators.text_index import TextIndex
 from granary.operators.vector_index import VectorIndex
-from granary.runtime import shared_path, ship, table
+from granary.runtime import prepared, shared_path, table
 from granary.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ HOSTS = ("blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.n
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepared(spark)
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run

@@ -340,3 +340,18 @@ def test_an_upsert_of_distinct_ids_shuffles_no_rows(spark, tmp_path):
     assert c.upsert(rows) == 3
     twice = rows.unionByName(spark.createDataFrame([(2, "z", 1), (2, "y", 1), (None, "d", 1)], "id bigint, text string, seq int"))
     assert sorted(map(tuple, c._latest(twice, "seq", f"{tmp_path}/y").collect()), key=repr) == [(1, "a"), (2, "z"), (None, "d")]
+
+
+def test_queries_hand_bounded_batches_to_python(spark, data):
+    from granary import queries as Q
+
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+    before = {x: spark.conf.get(x, None) for x in names}
+    try:
+        for x in names:
+            spark.conf.unset(x)
+        Q.QUERIES["chunk_documents"](spark, data)
+        assert all(0 < int(spark.conf.get(x)) <= most for x, most in names.items())
+    finally:
+        for x, v in before.items():
+            spark.conf.unset(x) if v is None else spark.conf.set(x, v)
