@@ -17,9 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    """Divided by its norm; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    """Divided by its norm, which is computed once and not for each component; a zero vector stays zero."""
+    divided = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return F.get(F.transform(F.array(norm(a)), divided), F.lit(0))
 
 
 def cosine_distance(a: Column, b: Column, length: Column | None = None) -> Column:

@@ -28,6 +28,13 @@ from granary.operators import vectors
 MAX_LISTS = 16_384
 #: Vectors a list that centroids are fitted on (a sample by a hash of the id); every vector is indexed.
 SAMPLE = 256
+#: Vectors a list among which the driver chooses the first centroids, and rounds of k-means at most.
+FIRST, ROUNDS = 4, 20
+#: Vectors and queries that one task compares at once in ``search_many``, and pairs at a time.
+BLOCK, QUERIES, TILE = 16_384, 8_192, 1 << 22
+LISTS = 16_384
+#: Vectors a list that centroids are fitted on (a sample by a hash of the id); every vector is indexed.
+SAMPLE = 256
 #: Vectors and queries that one task compares at once in ``search_many``.
 BLOCK, QUERIES = 8_192, 8_192
 LISTS = "list int, centroid array<double>"
@@ -43,24 +50,83 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
+def _units(column: pd.Series) -> np.ndarray:
+    x = _matrix(column)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids, less what is the same for all centroids of a row."""
+    return np.einsum("ij,ij->i", c, c)[None, :] - 2 * x @ c.T
+
+
 def usable(embedding: Column) -> Column:
     """Whether a vector has a direction: no nulls, all components finite, and not all of them zero."""
     n = V.norm(embedding)
     return F.coalesce((n > 0) & (n < F.lit(float("inf"))) & ~F.isnan(n), F.lit(False))
 
 
+def spread(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
+    """At most ``lists`` rows of ``x``, each chosen by its squared distance from those before (k-means++); no two are equal."""
+    draw, chosen = np.random.default_rng(seed), [0]
+    away = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < lists and away.max() > 1e-12:
+        chosen.append(int(draw.choice(len(x), p=away / away.sum())))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(1))
+        away[chosen[-1]] = 0
+    return x[chosen]
+
+
 def fit(rows: DataFrame, lists: int, n: int, seed: int = 42, id: str = "id", embedding: str = "embedding") -> np.ndarray:
-    """Centroids (at most ``lists``) of the unit vectors of ``rows``, by k-means over a sample of about SAMPLE for each list."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """Centroids (at most ``lists``) of the unit vectors of ``rows``, by k-means over a sample of about SAMPLE for each list.
 
+    The driver gets FIRST vectors a list, and a sum a list in each round: Spark's own
+    k-means sends it the distances of all pairs of centroids in each.
+    """
     if not n:
         return np.zeros((0, 1))
-    share = min(1.0, lists * SAMPLE / n)
-    part = rows.where(F.pmod(F.xxhash64(id), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    units = part.select(array_to_vector(V.normalized(F.col(embedding))).alias("features")).persist()
+    spark, place = rows.sparkSession, F.pmod(F.xxhash64(id), F.lit(1 << 30))
+    within = lambda each: rows.where(place <= int(min(1.0, lists * each / n) * (1 << 30)))
+    first = within(FIRST).orderBy(F.xxhash64(F.lit(seed), id), id).select(embedding).limit(2 * FIRST * lists).collect()
+    first = first or rows.select(embedding).limit(1).collect()
+    centers = spread(_units(pd.Series([r[0] for r in first])), lists, seed)
+    units = within(SAMPLE).select(F.col(embedding).alias("x")).persist()
+
+    def one_round(c: np.ndarray) -> list:
+        sent = spark.sparkContext.broadcast(c)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c = sent.value
+            total, count = np.zeros(c.shape), np.zeros(len(c), np.int64)
+            for b in batches:
+                if len(b):
+                    x = _units(b["x"])
+                    near = _squares(x, c).argmin(1)
+                    np.add.at(total, near, x)
+                    count += np.bincount(near, minlength=len(c))
+            at = np.flatnonzero(count)
+            yield pd.DataFrame({"list": at.astype(np.int32), "n": count[at], "total": pd.Series(list(total[at]), dtype=object)})
+
+        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found: dict[int, tuple[int, np.ndarray]] = {}
+            for b in batches:
+                for i, n, t in zip(b["list"], b["n"], b["total"], strict=True):
+                    m, u = found.get(i, (0, 0.0))
+                    found[i] = m + n, u + np.asarray(t)
+            yield pd.DataFrame({"list": list(found), "n": [m for m, _ in found.values()], "total": pd.Series([u for _, u in found.values()], dtype=object)})
+
+        kind = "list int, n long, total array<double>"
+        return units.mapInPandas(sums, kind).repartition("list").mapInPandas(added, kind).collect()
+
     try:
-        return np.array(KMeans(k=max(2, lists), seed=seed, maxIter=20).fit(units).clusterCenters())
+        for _ in range(ROUNDS):
+            new = centers.copy()
+            for r in one_round(centers):
+                new[r.list] = np.array(r.total) / r.n
+            moved, centers = ((new - centers) ** 2).sum(1).max(), new
+            if moved <= 1e-8:
+                break
+        return centers
     finally:
         units.unpersist()
 
@@ -69,7 +135,7 @@ class VectorIndex:
     """An index at ``path``: ``vectors`` (by list) and their ``columns``, ``centroids``, and ``sizes`` (n and radius of each list)."""
 
     def __init__(self, spark: SparkSession, path: str, id: str = "id", embedding: str = "embedding"):
-        self.spark, self.path, self.id, self.embedding = spark, path.rstrip("/"), id, embedding
+        self.spark, self.path, self.id, self.embedding, self._read = spark, path.rstrip("/"), id, embedding, None
         found = sorted(spark.read.schema(LISTS).parquet(f"{self.path}/centroids").collect())
         self.centroids = np.array([r.centroid for r in found]) if found else np.zeros((0, 1))
 
@@ -98,10 +164,8 @@ class VectorIndex:
             c = centers.value
             if not len(found):
                 return pd.DataFrame({"list": np.zeros(0, np.int32), "distance": np.zeros(0)})
-            x = _matrix(found)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            squares = np.einsum("ij,ij->i", c, c)[None, :] - 2 * x @ c.T
-            best = squares.argmin(1)
+            x = _units(found)
+            best = _squares(x, c).argmin(1)
             return pd.DataFrame({"list": best.astype(np.int32), "distance": np.linalg.norm(x - c[best], axis=1)})
 
         good = usable(F.col(self.embedding))
@@ -110,13 +174,16 @@ class VectorIndex:
         none = rows.where(~good).withColumns({"list": F.lit(NOWHERE), "distance_": F.lit(0.0)})
         # ranges of (list, hash of the id): a list that holds much is written by several tasks, small ones share a task
         dealt = some.unionByName(none).withColumn("hash_", F.xxhash64(self.id)).repartitionByRange("list", "hash_").drop("hash_")
+        self._read = None
         dealt.write.mode(mode).partitionBy("list").parquet(f"{self.path}/vectors")
         stored = self._stored()
         stored.groupBy("list").agg(F.count("*").alias("n"), F.max("distance_").alias("radius")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sizes")
 
     def _stored(self) -> DataFrame:
-        columns = self.spark.read.parquet(f"{self.path}/columns").schema
-        return self.spark.read.schema(columns.add("distance_", DoubleType()).add("list", IntegerType())).parquet(f"{self.path}/vectors")
+        if self._read is None:  # the folders are listed once for each state of the index
+            columns = self.spark.read.parquet(f"{self.path}/columns").schema
+            self._read = self.spark.read.schema(columns.add("distance_", DoubleType()).add("list", IntegerType())).parquet(f"{self.path}/vectors")
+        return self._read
 
     def rows(self) -> DataFrame:
         """All that is stored, as it was given, with its ``list``."""
@@ -163,51 +230,54 @@ class VectorIndex:
     def search_many(self, queries: DataFrame, k: int, probes: int | None = None, digits: int | None = None, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
         """(query_id, id, distance, rank, list): the k nearest for each row of ``queries``, in one job.
 
-        Queries go to the lists that they probe (all without ``probes``: exact), and meet
-        the members of a list in blocks: of at most about BLOCK members and QUERIES queries, as
-        products of matrices that keep k rows a query. So no table has a row for each pair, and a list
-        that holds a third of all vectors, or is asked for by all queries, is many tasks.
+        Without ``probes`` all queries meet all vectors, whatever their list; with it,
+        queries go to the lists that they probe. They meet in blocks of at most about BLOCK
+        members and QUERIES queries, as products of matrices that keep k rows a query. So no
+        table has a row for each pair, and a list that holds a third of all vectors, or is
+        asked for by all queries, is many tasks.
         Queries without a direction have no rows; vectors without one are left out.
         """
-        centers, most, spark = self.spark.sparkContext.broadcast(self.centroids), probes or len(self.centroids), self.spark
-        kind = {f.name: f.dataType.simpleString() for f in self.rows().schema.fields}[self.id]
-        asked = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_id]
-        good = queries.where(usable(F.col(vector))).select(F.col(query_id).alias("q"), F.transform(V.normalized(F.col(vector)), lambda x: x.cast("double")).alias("qv"))
+        centers, spark, kinds = self.spark.sparkContext.broadcast(self.centroids), self.spark, dict(self.rows().dtypes)
+        good = queries.where(usable(F.col(vector))).select(F.col(query_id).alias("q"), F.col(vector).alias("qv"))
 
         @F.pandas_udf("array<int>")
         def probed(found: pd.Series) -> pd.Series:
-            if not len(found) or not len(centers.value):
-                return pd.Series([[]] * len(found), dtype=object)
             c = centers.value
-            squares = np.einsum("ij,ij->i", c, c)[None, :] - 2 * _matrix(found) @ c.T
-            return pd.Series(list(np.argsort(squares, axis=1, kind="stable")[:, :most].astype(np.int32)), dtype=object)
+            if not len(found) or not len(c):
+                return pd.Series([[]] * len(found), dtype=object)
+            return pd.Series(list(np.argsort(_squares(_units(found), c), axis=1, kind="stable")[:, :probes].astype(np.int32)), dtype=object)
 
-        size = self.sizes()
-        blocks = spark.createDataFrame([(i, -(-n // BLOCK)) for i, (n, _) in size.items()] or [(0, 1)], "list int, blocks int")
+        # a cell: a list, or all of them
+        size = {i: n for i, (n, _) in self.sizes().items() if i >= 0}
+        cells = size if probes else {0: sum(size.values())}
+        blocks = spark.createDataFrame([(i, max(1, -(-n // BLOCK))) for i, n in cells.items()] or [(0, 1)], "cell int, blocks int")
         parts = max(1, -(-good.count() // QUERIES))
-        asks = good.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("list", F.explode(probed("qv"))).join(F.broadcast(blocks), "list")
+        asks = good.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("cell", F.explode(probed("qv")) if probes else F.lit(0)).join(F.broadcast(blocks), "cell")
         asks = asks.withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        held = self.rows().where(F.col("list") >= 0).select(F.col(self.id).alias("v"), V.normalized(F.col(self.embedding)).alias("vv"), "list").join(F.broadcast(blocks), "list")
+        held = self.rows().where(F.col("list") >= 0).select(F.col(self.id).alias("v"), F.col(self.embedding).alias("vv"), "list", (F.col("list") if probes else F.lit(0)).alias("cell")).join(F.broadcast(blocks), "cell")
         held = held.withColumn("vb", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).drop("blocks")
 
-        def compare(key: tuple, own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-            rows: list[pd.DataFrame] = []
+        def compare(own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+            out = [own.iloc[:0].assign(v=[], distance=[], list=[])]
             if len(own) and len(members):
-                ids, x = members["v"].to_numpy(), _matrix(members["vv"])
-                for a in range(0, len(own), 512):
-                    some = own.iloc[a : a + 512]
-                    distance = 1 - _matrix(some["qv"]) @ x.T
+                members = members.sort_values("v", ignore_index=True)  # of equal distances the smaller id
+                asked, x, keep = _units(own["qv"]), _units(members["vv"]), min(k, len(members))
+                step = max(1, TILE // len(members))
+                for a in range(0, len(own), step):
+                    distance = 1 - asked[a : a + step] @ x.T
                     if digits is not None:
                         distance = np.round(distance, digits)
-                    keep = min(k, len(ids))
                     last = np.partition(distance, keep - 1, axis=1)[:, keep - 1]
-                    for q, d, z in zip(some["q"], distance, last, strict=True):
-                        at = np.flatnonzero(d <= z)
-                        at = at[np.lexsort((ids[at], d[at]))][:keep]
-                        rows.append(pd.DataFrame({"q": q, "v": ids[at], "distance": d[at], "list": key[0]}))
-            return pd.concat(rows) if rows else pd.DataFrame({"q": [], "v": [], "distance": [], "list": []})
-
-        near = asks.groupBy("list", "vb", "qb").cogroup(held.groupBy("list", "vb", "qb")).applyInPandas(compare, f"q {asked}, v {kind}, distance double, list int")
+                    row, at = np.nonzero(distance <= last[:, None])
+                    order = np.lexsort((at, distance[row, at], row))
+                    row, at = row[order], at[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < keep
+                    row, at = row[best], at[best]
+                    out.append(pd.DataFrame({"q": own["q"].to_numpy()[a + row], "v": members["v"].to_numpy()[at], "distance": distance[row, at], "list": members["list"].to_numpy()[at]}))
+            return pd.concat(out[1:] or out)[["q", "v", "distance", "list"]]
+
+        keys = ["cell", "vb", "qb"]
+        near = asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(compare, f"q {dict(good.dtypes)['q']}, v {kinds[self.id]}, distance double, list int")
         rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "v"))
         best = near.withColumn("rank", rank).where(F.col("rank") <= k)
         return best.select(F.col("q").alias("query_id"), F.col("v").alias("id"), "distance", "rank", "list")
@@ -225,12 +295,12 @@ class VectorIndex:
             if not len(found):
                 return pd.Series([], dtype="int32")
             c = centers.value
-            squares = np.einsum("ij,ij->i", c, c)[None, :] - 2 * _matrix(found) @ c.T
+            squares = _squares(_units(found), c)
             own = np.take_along_axis(squares, lists.to_numpy()[:, None], 1)
             earlier = (squares < own) | ((squares == own) & (np.arange(len(c)) < lists.to_numpy()[:, None]))
             return pd.Series(earlier.sum(1).astype(np.int32))
 
-        asked = queries.select(F.col(query_id).alias("query_id"), F.transform(V.normalized(F.col(vector)), lambda x: x.cast("double")).alias("qv"))
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv"))
         true = self.search_many(queries, k, None, None, query_id, vector).join(asked, "query_id")
         counts = np.zeros(max(1, len(self.centroids)))
         for r in true.groupBy(place("qv", "list").alias("p")).agg(F.count("*").alias("n")).collect():

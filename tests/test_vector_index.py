@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import vectors as V
 from granary.operators import vectors
-from granary.operators.vector_index import NOWHERE, VectorIndex, default_lists
+from granary.operators.vector_index import NOWHERE, VectorIndex, default_lists, fit
 
 
 def made(spark, n, dimensions=16, groups=40, seed=1):
@@ -84,6 +85,39 @@ def test_large_lists_and_many_queries_go_in_blocks(spark, tmp_path, monkeypatch)
     assert [r[1] for r in whole if r[0] == 0] == [0, 1000, 1001, 1002, 1003, 1004, 1005]
 
 
+def test_little_of_a_fit_goes_to_the_driver(spark):
+    """A sum for each list and round, and not the distances of all pairs of lists."""
+    sent = lambda: sum(x.resultSize() for x in (stages.apply(i) for i in range(stages.size())))
+    store = lambda: spark.sparkContext._jsc.sc().statusStore()
+    rows, _ = made(spark, 3000, 64)
+    stages = store().stageList(None, False, False, getattr(store(), "stageList$default$4")(), None)
+    before = sent()
+    centers = fit(rows, 150, 3000)
+    stages = store().stageList(None, False, False, getattr(store(), "stageList$default$4")(), None)
+    assert centers.shape == (150, 64) and len(np.unique(centers, axis=0)) == 150
+    assert sent() - before < 150 * 64 * 8 * 20 + 1_500_000
+
+
+def test_fit_of_equal_vectors(spark):
+    rows = spark.range(500).select("id", F.array(F.lit(3.0), (F.col("id") % 3).cast("double")).alias("embedding"))
+    assert len(fit(rows, 20, 500)) == 3
+
+
+def test_an_exact_search_has_no_row_for_each_query_and_list(index):
+    found, rows, _ = index
+    queries = rows.where("id % 50 = 0 and id < 10000").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    plan = lambda probes: found.search_many(queries, 20, probes)._jdf.queryExecution().toString()
+    assert "probed" in plan(3) and "probed" not in plan(None)
+
+
+def test_a_norm_is_computed_once_a_vector(spark):
+    rows = spark.range(3).select(F.array(F.col("id").cast("double"), F.lit(4.0)).alias("x")).repartition(2)
+    unit = rows.select(V.normalized(F.col("x")).alias("u"))
+    assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert sorted(r.u for r in unit.collect()) == [[0.0, 1.0], [1 / 17**0.5, 4 / 17**0.5], [2 / 20**0.5, 4 / 20**0.5]]
+    assert spark.range(1).select(V.normalized(F.array(F.lit(0.0), F.lit(0.0))).alias("u")).first().u == [0.0, 0.0]
+
+
 def test_vectors_that_are_added_are_found(spark, tmp_path):
     rows, x = made(spark, 900, 8)
     found = VectorIndex.build(rows.where("id < 500"), str(tmp_path / "a"), 10)
