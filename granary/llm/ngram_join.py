@@ -14,7 +14,10 @@ others, as pages of one template do. A common path gets rarer with each level, s
 node splits in several ways at once, as many as keep ``DEEP`` of the pairs down to the
 level at which halving would make it small. A node of which all but LIMIT
 members are near to some pivots that hang together isn't split: pivots settle those
-(``graph.linked``), and only the rest is compared.
+(``graph.linked``), and only the rest is compared. If they are half of the node
+or more, the rest may be MANY times LIMIT: it is compared with all, as in a block.
+Going on, the rows in nodes would grow with the square of a group of near copies
+that has many stragglers.
 
 1. Equal texts are one class, so copies cost no comparison.
 2. Nodes are counted before anything but keys moves; nodes of one member end there.
@@ -32,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,9 +45,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, column, forget, table, written
-from .graph import Relation, components, linked, roots, settle, small
+from .graph import PIVOTS, Relation, components, linked, roots, settle, small
 
-SIZE, DEPTH, LIMIT, FOUR = 128, 3, 256, 4.0
+SIZE, DEPTH, LIMIT, MANY, FOUR = 128, 3, 256, 16, 4.0
 #: The share of the pairs at the threshold that levels below DEPTH are to keep.
 DEEP = 0.8
 _WORD = regex.compile(WORD)
@@ -221,6 +225,16 @@ class Sets(Relation):
 
 def buckets(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
     """(key, node, size) of the nodes in which the members of ``classes`` (key, signature) are to meet, and the written tables that this reads."""
+    members, sizes, tables = meetings(classes, threshold, recall)
+    return members.join(sizes, "node"), tables
+
+
+def meetings(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(key, node) of the members of ``classes`` (key, signature) in the nodes in which they are to meet, (node, size) of these nodes, and the written tables that both read.
+
+    A table of nodes only picks members (semi and anti joins), so no join makes more
+    rows than it gets members.
+    """
     spark, runs, least = classes.sparkSession, runs_for(recall), least_bytes(threshold)
     by_key = classes.select("key", "signature")
 
@@ -239,13 +253,13 @@ def buckets(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFr
 
     @F.pandas_udf("binary")
     def hanging(found: pd.Series) -> pd.Series:
-        """Of each node's pivots the largest set that hangs together."""
+        """Of each node's pivots the largest set that hangs together, as sketches."""
         out = []
         for own in found:
             x = np.frombuffer(b"".join(own), "<u4").reshape(-1, SIZE)
             low = x.astype(np.uint8)
             root = roots(Agreeing(low, least).near, np.zeros(len(x), bool))
-            out.append(x[root == np.bincount(root).argmax()].tobytes())
+            out.append(low[root == np.bincount(root).argmax()].tobytes())
         return pd.Series(out, dtype=object)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,39 +268,45 @@ def buckets(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFr
             far = np.ones(len(b), bool)
             for bytes_ in np.unique(size):
                 at = np.flatnonzero(size == bytes_)
-                pivots = np.frombuffer(b"".join(b["pivots"].iloc[at]), "<u4").reshape(len(at), -1, SIZE).astype(np.uint8)
+                pivots = np.frombuffer(b"".join(b["pivots"].iloc[at]), np.uint8).reshape(len(at), -1, SIZE)
                 far[at] = ~((own[at][:, None, :] == pivots).sum(2) >= least).any(1)
             yield pd.DataFrame({"node": b["node"], "open": far.astype(np.int64)})
 
     def sparse(large: DataFrame) -> DataFrame:
-        """(node) of those in which more than LIMIT members aren't near to its pivots: four members by hash, of which those count that hang together. Counts are summed before they move."""
-        some = large.groupBy("node", F.pmod(F.xxhash64("key"), F.lit(4))).agg(F.min_by("key", F.xxhash64("key", "node")).alias("key")).join(by_key, "key")
+        """(node) of those in which more than LIMIT members, and half of all or MANY times LIMIT, aren't near to its pivots: PIVOTS members by hash, of which those count that hang together. Counts are summed before they move."""
+        some = large.groupBy("node", F.pmod(F.xxhash64("key"), F.lit(PIVOTS))).agg(F.min_by("key", F.xxhash64("key", "node")).alias("key")).join(by_key, "key")
         chosen = small(written(some.groupBy("node").agg(F.collect_list("signature").alias("p")).select("node", hanging("p").alias("pivots")), "pivots_of_nodes"))
         told = large.select("key", "node").join(by_key, "key").join(chosen, "node").select("node", "signature", "pivots").mapInPandas(near, "node long, open long")
-        return small(written(told.groupBy("node").agg(F.sum("open").alias("open")).where(F.col("open") > LIMIT).select("node"), "sparse"))
+        counted = told.groupBy("node").agg(F.sum("open").alias("open"), F.count("*").alias("size"))
+        return small(written(counted.where((F.col("open") > LIMIT) & ((F.col("open") > MANY * LIMIT) | (2 * F.col("open") > F.col("size")))).select("node"), "sparse"))
 
-    nodes, leaves, level = written(by_key.mapInPandas(split(runs, True), "key binary, node long"), "nodes"), [], 0
-    met = None
+    nodes, tables, level = written(by_key.mapInPandas(split(runs, True), "key binary, node long"), "nodes"), [], 0
+    met, sizes = [], []
     while True:
         level += 1
         at_most = nodes.count()
         counts = written(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", at_most // 2, 200_000)
-        members = written(nodes.join(small(counts), "node"), "members", at_most, 200_000)
-        largest = counts.agg(F.max("size")).first()[0] or 0
+        few, many = counts.where(F.col("size") <= LIMIT), counts.where(F.col("size") > LIMIT)
+        done = written(nodes.join(small(few.select("node")), "node", "left_semi"), "members", at_most, 200_000)
+        met, sizes, tables = [*met, done], [*sizes, few], [*tables, counts, done]
+        if many.isEmpty():
+            break
+        large = written(nodes.join(small(many.select("node")), "node", "left_semi"), "large", at_most, 200_000)
         forget(spark, nodes)
-        forget(spark, counts)
-        leaves.append(members)
-        done, large = members.where(F.col("size") <= LIMIT), members.where(F.col("size") > LIMIT)
-        if largest > LIMIT and level >= DEPTH:
+        ways, deeper = 1, large
+        if level >= DEPTH:
             wide = sparse(large)
-            done = done.unionByName(large.join(wide, "node", "left_anti"))
-            large = large.join(wide, "node", "left_semi")
-        met = done.select("key", "node", "size") if met is None else met.unionByName(done.select("key", "node", "size"))
-        if largest <= LIMIT or (level >= DEPTH and wide.isEmpty()):
-            return met, leaves
-        # the first level below DEPTH splits in several ways, for all levels that are to come if each halves
-        ways = repeats(DEEP, survival(math.ceil(math.log2(largest / LIMIT)) + 2)) if level == DEPTH else 1
-        nodes = written(large.select("key", "node").join(by_key, "key").mapInPandas(split(ways, False), "key binary, node long"), "nodes")
+            met, sizes, tables = [*met, large.join(wide, "node", "left_anti")], [*sizes, many.join(wide, "node", "left_anti")], [*tables, large]
+            if wide.isEmpty():
+                break
+            deeper = large.join(wide, "node", "left_semi")
+            if level == DEPTH:  # the first level below splits in several ways, for all levels that are to come if each halves
+                largest = many.join(wide, "node", "left_semi").agg(F.max("size")).first()[0]
+                ways = repeats(DEEP, survival(math.ceil(math.log2(largest / LIMIT)) + 2))
+        nodes = written(deeper.select("key", "node").join(by_key, "key").mapInPandas(split(ways, False), "key binary, node long"), "nodes")
+        if level < DEPTH:
+            forget(spark, large)
+    return reduce(DataFrame.unionByName, met).select("key", "node"), reduce(DataFrame.unionByName, sizes), tables
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995, count: bool = True) -> DataFrame:
@@ -317,9 +337,9 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes", rows.count(), 2_000)
     forget(spark, signed)
-    met, leaves = buckets(classes, threshold, recall)
+    met, sizes, leaves = meetings(classes, threshold, recall)
     least = least_bytes(threshold)
-    sizes = met.select("node", F.col("size").alias("rows_"), (F.col("size") * SIZE).alias("bytes_")).where(F.col("rows_") > 1).distinct()
+    sizes = sizes.select("node", F.col("size").alias("rows_"), (F.col("size") * SIZE).alias("bytes_"))
     # Sorted, a class is tied to the smallest of its component in each node, mostly the same one: few distinct ties.
     ties = linked(met.join(classes.select("key", "sketch"), "key"), ["node"], ["sketch"], Sketches(least), sizes)
     ties = written(ties.select(F.col("key").alias("a"), F.col("top").alias("b")).distinct(), "ties")
