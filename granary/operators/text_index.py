@@ -28,13 +28,13 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from granary.functions.text import tokens
+from granary.operators import text_many
 from granary.operators.lexical import EPSILON, K1, B, counted_terms
 from granary.runtime import shared_path
 from granary.sources.files import exists
@@ -47,8 +47,10 @@ SEEDS, FEW = 64, 100_000
 SEGMENTS = 8
 #: Postings that a task sorts into blocks about: few enough for memory, however many there are.
 SORTED = 500_000
-#: Documents and questions that one task compares at once in ``search_many``.
-DOCUMENTS, QUESTIONS = 8_192, 65_536
+#: Documents and questions that one task compares at once in ``search_many``; questions below which these aren't divided further for want of tasks.
+DOCUMENTS, QUESTIONS, FEWEST = 16_384, 65_536, 1_024
+#: Parts of a group of documents whose postings one task collects.
+PACKS = 4
 MARK = "version int, segments array<int>, n bigint, length bigint, mean_idf double"
 TERMS = "term string, df bigint, own bigint, shift int, best double"
 BLOCKS = "term string, range bigint, first bigint, last bigint, n bigint, best double, postings array<struct<row:bigint,tf:bigint,dl:bigint>>"
@@ -58,7 +60,7 @@ TOTALS = "n bigint, length bigint, own bigint, own_length bigint"
 
 def part(tf: Column, dl: Column, avgdl: float) -> Column:
     """What a term's frequency adds, below one; the score is its sum, weighted."""
-    return tf / (tf + K1 * (1 - B + B * dl / F.lit(max(avgdl, 1e-9))))
+    return tf / (tf + K1 * (1 - B + B * dl / max(avgdl, 1e-9)))
 
 
 @dataclass(frozen=True)
@@ -213,11 +215,15 @@ class TextIndex:
         postings = self._of("terms", TERMS, [number]).agg(F.sum("own")).first()[0] or 0
         dealt = found.repartition(max(1, -(-postings // SORTED)), "term")
         ranged = dealt.join(frequent, "term", "left").withColumn("range", F.expr("shiftright(row, coalesce(shift, 62))"))
-        cut = F.floor((F.row_number().over(Window.partitionBy("term", "range").orderBy("row")) - 1) / MOST).alias("cut")
-        blocks = ranged.select("term", "range", "row", "tf", "dl", "part", cut).groupBy("term", "range", "cut").agg(
-            F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n"), F.max("part").alias("best"), F.array_sort(F.collect_list(F.struct("row", "tf", "dl"))).alias("postings")
+        # a range has at most 2 ** shift numbers and a term's postings, so about the square root of BLOCK times the documents; it is cut where it has more than MOST
+        whole = ranged.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("row", "tf", "dl", "part"))).alias("p"))
+        cuts = whole.select("term", "range", "p", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size(p) - 1) div {MOST} as int)"))).alias("cut"))
+        cuts = cuts.select("term", "range", F.when(F.size("p") <= MOST, F.col("p")).otherwise(F.slice("p", F.col("cut") * MOST + 1, MOST)).alias("p"))
+        blocks = cuts.select(
+            "term", "range", F.get("p", F.lit(0)).getField("row").alias("first"), F.element_at("p", -1).getField("row").alias("last"), F.size("p").cast("long").alias("n"),
+            F.array_max(F.col("p.part")).alias("best"), F.arrays_zip(F.col("p.row").alias("row"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl")).alias("postings"),
         )
-        blocks.drop("cut").sortWithinPartitions("term", "range", "first").write.mode("overwrite").parquet(f"{folder}/blocks")
+        blocks.sortWithinPartitions("term", "range", "first").write.mode("overwrite").parquet(f"{folder}/blocks")
         self._removed(f"{folder}/counted")
 
     def _marked(self, segments: list[int]) -> TextIndex:
@@ -352,14 +358,20 @@ class TextIndex:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _apart(self, n: int) -> list[int]:
+        """n keys that ``repartition`` by n puts into partitions of their own, but for rare ones: a task each, none of which waits for another."""
+        tried = self.spark.range(n * (n.bit_length() + 8)).select(F.col("id").cast("int").alias("key"))
+        found = {r.place: r.key for r in tried.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("place")).agg(F.min("key").alias("key")).collect()}
+        return [found.get(i, -1 - i) for i in range(n)]
+
     def search_many(self, questions: DataFrame, k: int, digits: int | None = None, question_id: str = "question_id", text: str = "text", id: str = "id") -> DataFrame:
         """(question_id, id, score, rank): for each row of ``questions`` the k best documents, as ``search`` finds them one by one.
 
-        Groups of about DOCUMENTS documents meet groups of about QUESTIONS questions, a
-        task for each pair of groups. It adds up what a question's terms give to the
-        group's documents and keeps the k best, so no table has a row for each
-        (question, document) pair. Every shared term is added up: work is the sum over terms
-        of questions times documents that have them. Questions without a known term
+        Groups of about DOCUMENTS documents meet groups of at most about QUESTIONS questions, a
+        task for each pair of groups (see ``operators.text_many``). It keeps the k best of each
+        question, so no table has a row for each (question, document) pair. A document's terms
+        are collected once and travel as one row. Every shared term is added up: work is the
+        product of questions and documents. Questions without a known term
         have no rows; question ids are distinct.
         """
         terms = self._kept(questions.select(F.col(question_id).alias("q"), F.explode(counted_terms(F.col(text))).alias("t")).select("q", "t.term", F.col("t.tf").alias("times")), "terms")
@@ -369,43 +381,30 @@ class TextIndex:
         known = self._kept(known.select("term", F.monotonically_increasing_id().alias("number"), weight.alias("weight")), "known")
         asked = terms.join(known, "term").groupBy("q").agg(F.collect_list(F.struct("number", (F.col("times") * F.col("weight")).alias("weight"))).alias("t"))
         asked = self._kept(asked.select("q", F.col("t.number").alias("numbers"), F.col("t.weight").alias("weights")), "asked")
-        parts, groups = max(1, -(-asked.count() // QUESTIONS)), max(1, -(-self.n // DOCUMENTS))
+        count, groups = asked.count(), max(1, -(-self.n // DOCUMENTS))
+        # where groups are few, questions are divided further, so that all cores have tasks
+        parts = max(1, -(-count // QUESTIONS), min(-(-2 * self.spark.sparkContext.defaultParallelism // groups), -(-count // FEWEST)))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         asks = asked.withColumns({"qb": F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"), "db": every(groups)})
-        flat = self.blocks.join(known.select("term", "number"), "term").select("segment", "number", F.explode("postings").alias("p"))
-        flat = flat.select("segment", F.col("p.row").alias("row"), "number", part(F.col("p.tf"), F.col("p.dl"), self.avgdl).alias("part"))
-        ids = self.documents().select("segment", "row", F.col(id).alias("id"))
-        held = flat.join(ids, ["segment", "row"]).withColumns({"db": F.pmod(F.xxhash64("segment", "row"), F.lit(groups)).cast("int"), "qb": every(parts)})
+        place = F.pmod(F.xxhash64("segment", "row"), F.lit(groups * PACKS)).cast("int").alias("b")
+        flat = self.blocks.join(known.select("term", "number"), "term").select("segment", "number", F.explode("postings").alias("p")).select("segment", "p.row", "number", "p.tf")
+        ids = self.documents().select("segment", "row", F.col(id).alias("id"), "dl")
+        kind = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *ids.schema.fields]}
+        rows = f"segment int, row bigint, id {kind['id']}, dl bigint, numbers array<bigint>, tfs array<bigint>"
+        whole = flat.select("*", place).groupBy("b").cogroup(ids.select("*", place).groupBy("b"))
+        whole = whole.applyInPandas(lambda postings, docs: text_many.packed(postings, docs).drop(columns="b"), rows)
+        held = whole.withColumns({"db": F.pmod(F.xxhash64("segment", "row"), F.lit(groups)).cast("int"), "qb": every(parts)})
         slack = 1e-9 if digits is None else 2 * 10.0**-digits  # of sums in another order, and of rounded ones
+        avgdl, key = self.avgdl, F.element_at(F.lit(self._apart(groups * parts)), F.col("db") * parts + F.col("qb") + 1).alias("task")
 
         def best(own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-            rows: list[tuple[int, np.ndarray, np.ndarray]] = []
-            docs = members[["id", "segment", "row"]].drop_duplicates(["segment", "row"]).sort_values(["id", "segment", "row"], na_position="first")
-            at = pd.MultiIndex.from_frame(docs[["segment", "row"]]).get_indexer(pd.MultiIndex.from_frame(members[["segment", "row"]]))
-            order = np.argsort(members["number"].to_numpy(), kind="stable")
-            at, added = at[order], members["part"].to_numpy()[order]
-            numbers, first = np.unique(members["number"].to_numpy()[order], return_index=True)
-            ends = np.append(first, len(order))
-            for i, (ns, ws) in enumerate(zip(own["numbers"], own["weights"], strict=True)):
-                score = np.zeros(len(docs))
-                for j, n, w in sorted(zip(np.searchsorted(numbers, ns).tolist(), ns.tolist(), ws.tolist(), strict=True)):
-                    if j < len(numbers) and numbers[j] == n:
-                        score[at[ends[j] : ends[j + 1]]] += w * added[ends[j] : ends[j + 1]]
-                least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-                found = np.flatnonzero((score >= least - slack) & (score > 0))
-                found = found[np.argsort(-score[found], kind="stable")]  # documents are in the order of their ids
-                same = score[found]
-                nth = np.arange(len(found)) - np.searchsorted(-same, -same)
-                found = found[nth < k]  # of equal ones, such as copies, the first
-                rows.append((i, found, score[found]))
-            owner = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(int)
-            found = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, int)
-            out = {"q": own["q"].to_numpy()[owner], "segment": docs["segment"].to_numpy()[found], "row": docs["row"].to_numpy()[found]}
-            return pd.DataFrame(out | {"score": np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)})
-
-        kind = {f.name: f.dataType.simpleString() for f in asked.schema.fields}["q"]
-        whole = asks.groupBy("db", "qb").cogroup(held.groupBy("db", "qb")).applyInPandas(best, f"q {kind}, segment int, row bigint, score double")
+            return text_many.best(own, members, k, slack, lambda tf, dl: part(tf, dl, avgdl))
+
+        asks, held = (x.select("*", key).repartition(groups * parts, "task").groupBy("task") for x in (asks, held))
+        whole = asks.cogroup(held).applyInPandas(best, f"q {kind['q']}, segment int, row bigint, score double")
         whole = (whole if digits is None else whole.withColumn("score", F.round("score", digits))).where("score > 0")
+        # ids join what each question's k best scores leave, equal ones included
+        whole = whole.withColumn("nth", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("nth") <= k)
         named = whole.join(ids, ["segment", "row"])
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "segment", "row"))
         return named.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("question_id"), "id", "score", "rank")
