@@ -196,8 +196,8 @@ class TextIndex:
         found = docs.select("row", "dl", F.explode(counted_terms(F.col(text))).alias("t")).select("row", "dl", "t.term", "t.tf")
         found.write.mode("overwrite").parquet(f"{folder}/counted")  # texts are tokenized once for terms and blocks
         found = self.spark.read.schema(found.schema).parquet(f"{folder}/counted")
-        found = found.withColumn("part", part(F.col("tf"), F.col("dl"), avgdl))
-        terms = found.groupBy("term").agg(F.count("*").alias("own"), F.max("part").alias("best"))
+        added = part(F.col("tf"), F.col("dl"), avgdl).alias("part")
+        terms = found.groupBy("term").agg(F.count("*").alias("own"), F.max(added).alias("best"))
         if of is not None:
             before = self._of("terms", TERMS, of).groupBy("term").agg(F.sum("df").alias("df"))
             terms = terms.join(before, "term", "full")
@@ -214,7 +214,7 @@ class TextIndex:
         # one shuffle of postings, for the join with the frequent terms and for the blocks, in parts that a task sorts in memory
         postings = self._of("terms", TERMS, [number]).agg(F.sum("own")).first()[0] or 0
         dealt = found.repartition(max(1, -(-postings // SORTED)), "term")
-        ranged = dealt.join(frequent, "term", "left").withColumn("range", F.expr("shiftright(row, coalesce(shift, 62))"))
+        ranged = dealt.select("*", added).join(frequent, "term", "left").withColumn("range", F.expr("shiftright(row, coalesce(shift, 62))"))
         # a range has at most 2 ** shift numbers and a term's postings, so about the square root of BLOCK times the documents; it is cut where it has more than MOST
         whole = ranged.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("row", "tf", "dl", "part"))).alias("p"))
         cuts = whole.select("term", "range", "p", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size(p) - 1) div {MOST} as int)"))).alias("cut"))
@@ -383,16 +383,18 @@ class TextIndex:
         asked = self._kept(asked.select("q", F.col("t.number").alias("numbers"), F.col("t.weight").alias("weights")), "asked")
         count, groups = asked.count(), max(1, -(-self.n // DOCUMENTS))
         # where groups are few, questions are divided further, so that all cores have tasks
-        parts = max(1, -(-count // QUESTIONS), min(-(-2 * self.spark.sparkContext.defaultParallelism // groups), -(-count // FEWEST)))
+        parts = max(1, -(-count // QUESTIONS), min(-(-self.spark.sparkContext.defaultParallelism // groups), -(-count // FEWEST)))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         asks = asked.withColumns({"qb": F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"), "db": every(groups)})
-        place = F.pmod(F.xxhash64("segment", "row"), F.lit(groups * PACKS)).cast("int").alias("b")
-        flat = self.blocks.join(known.select("term", "number"), "term").select("segment", "number", F.explode("postings").alias("p")).select("segment", "p.row", "number", "p.tf")
+        place = F.element_at(F.lit(self._apart(groups * PACKS)), F.pmod(F.xxhash64("segment", "row"), F.lit(groups * PACKS)).cast("int") + 1).alias("b")
+        # lengths are the documents': only numbers and frequencies are read and shuffled
+        held = self.blocks.select("segment", "term", F.col("postings.row").alias("row"), F.col("postings.tf").alias("tf")).join(known.select("term", "number"), "term")
+        flat = held.select("segment", "number", F.explode(F.arrays_zip("row", "tf")).alias("p")).select("segment", "p.row", "number", F.col("p.tf").cast("int").alias("tf"))
         ids = self.documents().select("segment", "row", F.col(id).alias("id"), "dl")
         kind = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *ids.schema.fields]}
-        rows = f"segment int, row bigint, id {kind['id']}, dl bigint, numbers array<bigint>, tfs array<bigint>"
-        whole = flat.select("*", place).groupBy("b").cogroup(ids.select("*", place).groupBy("b"))
-        whole = whole.applyInPandas(lambda postings, docs: text_many.packed(postings, docs).drop(columns="b"), rows)
+        rows = f"segment int, row bigint, id {kind['id']}, dl bigint, numbers array<bigint>, tfs array<int>"
+        flat, named = (x.select("*", place).repartition(groups * PACKS, "b").groupBy("b") for x in (flat, ids))
+        whole = flat.cogroup(named).applyInPandas(lambda postings, docs: text_many.packed(postings, docs).drop(columns="b"), rows)
         held = whole.withColumns({"db": F.pmod(F.xxhash64("segment", "row"), F.lit(groups)).cast("int"), "qb": every(parts)})
         slack = 1e-9 if digits is None else 2 * 10.0**-digits  # of sums in another order, and of rounded ones
         avgdl, key = self.avgdl, F.element_at(F.lit(self._apart(groups * parts)), F.col("db") * parts + F.col("qb") + 1).alias("task")
@@ -400,6 +402,7 @@ class TextIndex:
         def best(own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
             return text_many.best(own, members, k, slack, lambda tf, dl: part(tf, dl, avgdl))
 
+        # by number of tasks, so that Spark doesn't put small ones together
         asks, held = (x.select("*", key).repartition(groups * parts, "task").groupBy("task") for x in (asks, held))
         whole = asks.cogroup(held).applyInPandas(best, f"q {kind['q']}, segment int, row bigint, score double")
         whole = (whole if digits is None else whole.withColumn("score", F.round("score", digits))).where("score > 0")
